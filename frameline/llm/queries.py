@@ -1,8 +1,14 @@
 """Queries of the corpus operators, by name, and their SQL where SQL can express them."""
 
 from .bpe import op10_bpe
+from .langid import op6_langid
+from .quality import op4_quality
+from .tokencount import op3_token_counts
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op4_quality": op4_quality,
+    "op6_langid": op6_langid,
     "op10_bpe": op10_bpe,
 }
 
