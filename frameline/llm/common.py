@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``; bytes.split() uses the same set.
 WORD_RULE = r"[^\x20\x09-\x0D]+"
+SPACE_RULE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
