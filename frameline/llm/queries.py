@@ -2,6 +2,7 @@
 
 from .ann import op1_ann
 from .bpe import op10_bpe
+from .jaccard import op8_jaccard
 from .langid import op6_langid
 from .lm import op5_lm
 from .media import op9_media
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_lm": op5_lm,
     "op6_langid": op6_langid,
     "op7_mixing": op7_mixing,
+    "op8_jaccard": op8_jaccard,
     "op9_media": op9_media,
     "op10_bpe": op10_bpe,
 }
