@@ -194,12 +194,13 @@ def copies(rate: Column, doc_id: Column, seed: int = 5) -> Column:
 TARGETS = {"clean": 0.97, "poor": 0.02, "toxic": 0.01}
 
 
-def labelled_documents(spark, sf_dir: str) -> DataFrame:
+def labelled_documents(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, domain) of the labelled rows of ``docs`` (default: all documents)."""
     labels = common.table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() | F.col("toxic").isNotNull())
     labels = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").otherwise("clean")
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(labels, "doc_id").select("doc_id", "text", domain.alias("domain"))
+    docs = common.table(spark, sf_dir, "documents") if docs is None else docs
+    return docs.select("doc_id", "text").join(labels, "doc_id").select("doc_id", "text", domain.alias("domain"))
 
 
 def op7_mixing(spark, sf_dir: str, targets: Mapping[str, float] = TARGETS) -> DataFrame:
