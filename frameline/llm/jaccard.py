@@ -16,9 +16,11 @@ that was not computed exactly:
    first, inserted one by one; a probe walks the trie carrying the overlap of the path
    so far, shared by all sets below, and leaves a subtree when even the remaining
    lengths cannot reach the threshold.
-5. Clusters of more than ``CHUNK`` sets are cut into chunks, joined, and their components
-   joined again by representatives; what is then still apart is decided pair by pair,
-   for pairs that share one of their rarest n-grams and stand in different components.
+5. Clusters of more than ``CHUNK`` sets are cut into chunks and joined; then dealt into
+   other chunks twice more, each with the ``HUBS`` sets that had most links added, so
+   that what hangs together through a common original meets it.  What is then still
+   apart is decided pair by pair, for pairs that share one of their rarest n-grams and
+   stand in different components.
 
 Hashes: 64 bits an n-gram and a class, so wrong equality is possible in principle (a
 chance of about 1e-9 in a quarter of a million documents).
@@ -45,6 +47,8 @@ from .graph import components
 
 #: Sets of one trie at most; distinct words kept by a task; sets a task remembers.
 CHUNK, CACHE_WORDS, CACHE_SETS = 256, 400_000, 500_000
+#: Sets with most links that join every chunk of their cluster in the later rounds, and the number of these.
+HUBS, HUB_ROUNDS = 16, 2
 #: N-gram hashes below 2**62 are the lowest quarter; of these, 48 bits are kept.
 LOW, LOW_SHIFT, LOW_BYTES = 62, 14, 6
 #: N-grams of the lowest quarter in more sets than this are left to step 3's second half.
@@ -224,9 +228,9 @@ class SetTrie:
         return found
 
 
-def trie_links(sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each set the place of the first set of its component, by an exact trie join."""
-    root = list(range(len(sets)))
+def trie_links(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """For each set the place of the first set of its component, by an exact trie join, and its number of links."""
+    root, degree = list(range(len(sets))), [0] * len(sets)
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -235,7 +239,7 @@ def trie_links(sets: list[np.ndarray], percent: int) -> list[int]:
         return k
 
     if not sets:
-        return root
+        return root, degree
     _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(-times, kind="stable")  # frequent first, so that paths share their beginnings
     rank = np.empty(len(order), np.int64)
@@ -247,20 +251,24 @@ def trie_links(sets: list[np.ndarray], percent: int) -> list[int]:
         for other in trie.probe(s, len(order)):
             a, b = find(k), find(other)
             root[max(a, b)] = min(a, b)
+            degree[k] += 1
+            degree[other] += 1
         trie.insert(s, k)
-    return [find(k) for k in range(len(sets))]
+    return [find(k) for k in range(len(sets))], degree
 
 
 def _joined(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Local components (sid, root) of the groups in ``placed`` (sid, cluster, chunk)."""
+    """Local components (cluster, sid, root) of the groups in ``placed`` (sid, cluster, chunk); degree is given for each group's set with most links, else null."""
 
     def run(group: pa.Table) -> pa.Table:
         order = np.argsort(group["sid"].to_numpy(), kind="stable")
         sid, raw = group["sid"].to_numpy()[order], group["tokens"].to_pylist()
-        root = trie_links([np.frombuffer(raw[k], "<u8") for k in order], percent)
-        return pa.table({"sid": pa.array(sid), "root": pa.array(sid[root])})
+        root, degree = trie_links([np.frombuffer(raw[k], "<u8") for k in order], percent)
+        hub = int(np.argmax(degree))
+        shown = [d if k == hub and d else None for k, d in enumerate(degree)]
+        return pa.table({"cluster": pa.array(group["cluster"].to_numpy()), "sid": pa.array(sid), "root": pa.array(sid[root]), "degree": pa.array(shown, pa.int64())})
 
-    return sets.join(placed, "sid").select("sid", "cluster", "chunk", "tokens").groupBy("cluster", "chunk").applyInArrow(run, "sid bigint, root bigint")
+    return sets.join(placed, "sid").select("sid", "cluster", "chunk", "tokens").groupBy("cluster", "chunk").applyInArrow(run, "cluster bigint, sid bigint, root bigint, degree bigint")
 
 
 def _chunked(members: DataFrame, salt: int) -> DataFrame:
@@ -290,35 +298,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that give the components of all sets.  ``prefixes``: kind, token, sid, n."""
+    """(a, b): links that give the components of all sets.  ``prefixes``: kind, token, sid, n, rn."""
     heads = prefixes.groupBy("kind", "token").agg(F.min("sid").alias("head"), F.max("sid").alias("tail")).where("head <> tail").drop("tail")
     bound = prefixes.join(heads, ["kind", "token"]).where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
     clusters = common.stage(components(bound).select(F.col("id").alias("sid"), F.col("root").alias("cluster")), "jaccard-clusters")
     found = common.stage(_joined(sets, _chunked(clusters, 1), percent), "jaccard-joined")
     links = found.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
 
-    large = clusters.groupBy("cluster").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK)
+    large = common.stage(clusters.groupBy("cluster").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK).select("cluster"), "jaccard-large")
     if large.limit(1).count() == 0:
         return links
-    # representatives of the chunks' components, joined again until no more of them meet
-    member = clusters.join(large.select("cluster"), "cluster", "left_semi")
-    left, salt = None, 1
-    while True:
-        roots = components(links)
-        comp = common.stage(member.join(roots.select(F.col("id").alias("sid"), "root"), "sid", "left").select("sid", "cluster", F.coalesce("root", "sid").alias("comp")), "jaccard-comps")
-        stand = comp.groupBy("cluster", "comp").agg(F.max("sid").alias("sid")) if salt % 2 else comp.groupBy("cluster", "comp").agg(F.min("sid").alias("sid"))
-        n = comp.select("comp").distinct().count()
-        if left is not None and n == left and salt > 2:
-            break
-        left, salt = n, salt + 1
-        more = _joined(sets, _chunked(stand.select("sid", "cluster"), salt), percent)
-        links = common.stage(links.unionByName(more.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))), "jaccard-links")
+    member = common.stage(clusters.join(large, "cluster", "left_semi"), "jaccard-member")
+    for salt in range(2, 2 + HUB_ROUNDS):
+        w = Window.partitionBy("cluster").orderBy(F.desc("degree"), "sid")  # one row a chunk
+        hubs = found.where("degree is not null").join(large, "cluster", "left_semi").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= HUBS)
+        placed = common.stage(_chunked(member, salt), "jaccard-placed")
+        added = hubs.select("sid", "cluster").join(placed.select("cluster", "chunk").distinct(), "cluster").select("sid", "cluster", "chunk")
+        found = common.stage(_joined(sets, placed.unionByName(added).distinct(), percent), "jaccard-joined")
+        links = common.stage(links.unionByName(found.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))), "jaccard-links")
+    roots = components(links).select(F.col("id").alias("sid"), "root")
+    comp = common.stage(member.join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("comp")), "jaccard-comps")
     # what is still apart: pairs of different components that share one of their rarest n-grams
     own = prefixes.join(comp.select("sid", "comp"), "sid")
     mixed = own.groupBy("kind", "token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("kind", "token")
     own = common.stage(own.join(mixed, ["kind", "token"], "left_semi"), "jaccard-apart")
-    other = own.select("kind", "token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
+    other = own.select("kind", "token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rn").alias("rm"), F.col("comp").alias("comp_b"))
+    # at the first n-gram that both share, no more can follow than stand behind it
+    reach = F.least(F.col("n") - F.col("rn"), F.col("m") - F.col("rm")) + 1
     pairs = own.join(other, ["kind", "token"]).where("comp < comp_b").where(F.col("m") * 100 >= F.col("n") * percent).where(F.col("n") * 100 >= F.col("m") * percent)
+    pairs = pairs.where(reach * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
     apart = _verified(pairs.select(F.col("sid").alias("a"), "b").distinct(), sets, percent)
     return common.stage(links.unionByName(apart), "jaccard-links")
 
@@ -340,7 +348,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tokens = packed.withColumn("pos", _position(F.col("sid"))).mapInArrow(_unpacked(LOW_BYTES, member), TOKENS).distinct()
     ranked = common.stage(_rarest(common.stage(tokens, "jaccard-tokens"), rest, percent), "jaccard-ranked")
     cold = F.coalesce("df", F.lit(1)) <= COLD
-    first = ranked.where(F.col("df").isNotNull() & cold & (F.col("rn") <= p)).select(F.lit(0).alias("kind"), "token", "sid", "n")
+    first = ranked.where(F.col("df").isNotNull() & cold & (F.col("rn") <= p)).select(F.lit(0).alias("kind"), "token", "sid", "n", "rn")
     enough = ranked.where(cold).groupBy("sid").agg(F.count("*").alias("cold"))
     heavy = common.stage(rest.join(enough, "sid", "left").where(F.coalesce("cold", F.lit(0)) < p).select("sid", "id", "n"), "jaccard-heavy")
 
@@ -361,7 +369,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = common.stage(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
 
     all_tokens = sets.join(heavy.select("sid"), "sid", "left_semi").select("sid", F.col("tokens").alias("low")).mapInArrow(_unpacked(8), TOKENS)
-    second = _rarest(all_tokens, heavy, percent).where(F.col("df").isNotNull() & (F.col("rn") <= p)).select(F.lit(1).alias("kind"), "token", "sid", "n")
+    second = _rarest(all_tokens, heavy, percent).where(F.col("df").isNotNull() & (F.col("rn") <= p)).select(F.lit(1).alias("kind"), "token", "sid", "n", "rn")
     prefixes = common.stage(first.unionByName(second), "jaccard-prefixes")
 
     roots = components(_links(sets, prefixes, percent)).select(F.col("id").alias("sid"), "root")
