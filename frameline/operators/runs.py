@@ -23,9 +23,10 @@ def true_runs(df: DataFrame, flag: Column, keys=SHOT) -> DataFrame:
 def consecutive_runs(df: DataFrame, value: str, keys=("clip_id",)) -> DataFrame:
     """Runs of integers that grow by one; a repeated integer starts a new run."""
     w = Window.partitionBy(*keys).orderBy(value)
-    starts = (F.coalesce(F.lag(value).over(w) + 1, F.lit(None)) != F.col(value)) | F.lag(value).over(w).isNull()
+    starts = F.lag(value).over(w).isNull() | (F.lag(value).over(w) + 1 != F.col(value))
     rows = df.select(*keys, value, F.when(starts, 1).otherwise(0).alias("starts"))
-    rows = rows.withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = Window.partitionBy(*keys).orderBy(value, "starts")  # of equal integers, the one that goes on first
+    rows = rows.withColumn("run", F.sum("starts").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*keys, "run").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("run")
 
 

@@ -100,7 +100,8 @@ def run_1(spark, sf_dir):
 @query(
     "run_2_consecutive_runs",
     """, v AS (SELECT clip_id, k, lag(k) OVER (PARTITION BY clip_id ORDER BY k) AS p FROM sv_base),
-    w AS (SELECT clip_id, k, sum(CASE WHEN p IS NULL OR p + 1 <> k THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS r FROM v)
+    u AS (SELECT clip_id, k, CASE WHEN p IS NULL OR p + 1 <> k THEN 1 ELSE 0 END AS s FROM v),
+    w AS (SELECT clip_id, k, sum(s) OVER (PARTITION BY clip_id ORDER BY k, s ROWS UNBOUNDED PRECEDING) AS r FROM u)
     SELECT clip_id, min(k) AS first, max(k) AS last FROM w GROUP BY clip_id, r""",
 )
 def run_2(spark, sf_dir):
