@@ -35,8 +35,10 @@ from . import common
 
 HEAD, BLOCK, SUFFIXES = 1024, 32, 32
 #: Words with their counts in the broadcast, at most.
-KNOWN = 300_000
-CACHE_WORDS = 200_000
+KNOWN = 150_000
+CACHE_WORDS = 100_000
+#: Documents taken at once, and distinct words a task counts before it hands them on.
+SLICE, COUNTED = 250, 250_000
 BUCKETS, OWN, BOS = 256, 192, 255
 COARSE = 32
 BLOCKS = HEAD // BLOCK
@@ -58,7 +60,7 @@ class Vocabulary:
     def __init__(self, words: list[bytes], counts: list[int]):
         self.index = {w: i for i, w in enumerate(words)}
         self.size = len(words)
-        n = len(words) + CACHE_WORDS + 1_000_000
+        n = len(words) + CACHE_WORDS + 300_000
         self.bucket, self.cls = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
         self.log_count = np.zeros(n)
         self.log_count[: self.size] = np.log10(np.array(counts, np.float64) + 1)
@@ -123,10 +125,10 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["w", "c"])
 
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                for t in whole.slice(i, 500)[0].to_pylist():
+            for i in range(0, whole.num_rows, SLICE):
+                for t in whole.slice(i, SLICE)[0].to_pylist():
                     seen.update(tokens(t))
-                if len(seen) > 600_000:
+                if len(seen) > COUNTED:
                     yield out()
                     seen.clear()
         if seen:
@@ -142,9 +144,9 @@ def _cells(texts: DataFrame, shared, text_col: str) -> DataFrame:
         vocab = _vocabulary(shared)
         sums = [np.zeros(BUCKETS * BUCKETS * CLASSES, np.int32), np.zeros(COARSE * COARSE * HEAD, np.int32)]
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
+            for i in range(0, whole.num_rows, SLICE):
                 vocab.trim()
-                ids, cls, one, two, _ = events(vocab, [tokens(t) for t in whole.slice(i, 1000)[0].to_pylist()])
+                ids, cls, one, two, _ = events(vocab, [tokens(t) for t in whole.slice(i, SLICE)[0].to_pylist()])
                 cell, n = np.unique((one * BUCKETS + two) * CLASSES + cls, return_counts=True)
                 sums[0][cell] += n.astype(np.int32)
                 head = cls < BLOCKS
@@ -291,8 +293,8 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
         tag, _, room, all_room, end_count, end_known = model.value
         by_class, by_word = _kept(("tables", tag), tables)
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                b = whole.slice(i, 1000)
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
                 vocab.trim()
                 split = [tokens(t) for t in b[text_col].to_pylist()]
                 ids, cls, one, two, starts = events(vocab, split)
