@@ -3,7 +3,7 @@
 import pytest
 
 import oracle
-from frameline.plans import registry
+from frameline.plans import more, registry  # noqa: F401  (more adds its queries to the registry)
 
 SF = "/root/testdata/sf0.001"
 
