@@ -10,24 +10,27 @@ from ..operators import intervals, sampling, scores, windows
 from ..sources import timeline as T
 from .registry import iou_sql, mask, query, shot_runs, six
 
-#: Three logits of a row, from its columns.
-LOGITS = F.array(F.col("open_prob"), F.col("k") / 50.0, F.lit(0.5))
 LOGITS_SQL = "[open_prob, k / 50.0::DOUBLE, 0.5::DOUBLE]"
 
 
+def logits():
+    """Three logits of a row, from its columns."""
+    return F.array(F.col("open_prob"), F.col("k") / 50.0, F.lit(0.5))
+
+
 @query("mth_1_log_softmax", f"SELECT clip_id, frame_idx, round(open_prob - ln(exp(open_prob) + exp(k / 50.0::DOUBLE) + exp(0.5::DOUBLE)), 6) AS first FROM sv_base")
 def mth_1(spark, sf_dir):
-    return T.base(spark, sf_dir).select("clip_id", "frame_idx", F.round(scores.log_softmax(LOGITS)[0], 6).alias("first"))
+    return T.base(spark, sf_dir).select("clip_id", "frame_idx", F.round(scores.log_softmax(logits())[0], 6).alias("first"))
 
 
 @query("mth_2_suppressed_best", f"SELECT clip_id, frame_idx, CASE WHEN k / 50.0::DOUBLE >= 0.5 THEN 1 ELSE 2 END AS best FROM sv_base")
 def mth_2(spark, sf_dir):
-    return T.base(spark, sf_dir).select("clip_id", "frame_idx", scores.best_place(scores.suppressed(LOGITS, [0])).alias("best"))
+    return T.base(spark, sf_dir).select("clip_id", "frame_idx", scores.best_place(scores.suppressed(logits(), [0])).alias("best"))
 
 
 @query("mth_4_language_arg_max", f"SELECT clip_id, frame_idx, CAST(list_position({LOGITS_SQL}, list_max({LOGITS_SQL})) - 1 AS INTEGER) AS best FROM sv_base")
 def mth_4(spark, sf_dir):
-    return T.base(spark, sf_dir).select("clip_id", "frame_idx", scores.best_place(LOGITS).alias("best"))
+    return T.base(spark, sf_dir).select("clip_id", "frame_idx", scores.best_place(logits()).alias("best"))
 
 
 @query("agg_13_average_log_prob", "SELECT clip_id, round(sum(ln(open_prob + 0.01::DOUBLE)) / (count(*) + 1), 6) AS avg_lp FROM sv_base GROUP BY 1")
@@ -67,24 +70,26 @@ def prj_17(spark, sf_dir):
     return T.frames(spark, sf_dir).where("valid_face").select("clip_id", "frame_idx", *[F.round(c, 6).alias(n) for c, n in zip(back, windows.BOX)])
 
 
-POINTS = F.array(*[F.struct((F.col("x1") + dx).alias("x"), (F.col("y1") + F.col("mar") * dy).alias("y")) for dx, dy in ((0.0, 1.0), (8.0, 20.0), (3.0, 5.0))])
+def points():
+    """Three landmarks of a frame, from its box."""
+    return F.array(*[F.struct((F.col("x1") + dx).alias("x"), (F.col("y1") + F.col("mar") * dy).alias("y")) for dx, dy in ((0.0, 1.0), (8.0, 20.0), (3.0, 5.0))])
 
 
 @query("prj_12_landmark_bounds", "SELECT clip_id, frame_idx, least(x1, x1) AS x1, round(y1 + mar, 6) AS y1, x1 + 8 AS x2, round(y1 + 20 * mar, 6) AS y2 FROM sv_frames WHERE valid_face")
 def prj_12(spark, sf_dir):
-    out = scores.bounds(POINTS)
+    out = scores.bounds(points())
     return T.frames(spark, sf_dir).where("valid_face").select("clip_id", "frame_idx", *[F.round(c, 6).alias(n) for c, n in zip(out, windows.BOX)])
 
 
 @query("prj_13_shift_rescale", "SELECT clip_id, frame_idx, round(8 * 2.0::DOUBLE, 6) AS x, round(mar * 20 * 0.5::DOUBLE, 6) AS y FROM sv_frames WHERE valid_face")
 def prj_13(spark, sf_dir):
-    at = scores.rescaled(scores.shifted(POINTS, F.col("x1"), F.col("y1")), F.lit(2.0), F.lit(0.5))[1]
+    at = scores.rescaled(scores.shifted(points(), F.col("x1"), F.col("y1")), F.lit(2.0), F.lit(0.5))[1]
     return T.frames(spark, sf_dir).where("valid_face").select("clip_id", "frame_idx", F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"))
 
 
 @query("agg_9_landmark_distance", ", a AS (SELECT clip_id, x1, y1, mar FROM sv_frames WHERE valid_face QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx) = 1) SELECT f.clip_id, f.frame_idx, round((sqrt(pow(f.x1 - a.x1, 2) + pow(f.y1 + f.mar - a.y1 - a.mar, 2)) + sqrt(pow(f.x1 - a.x1, 2) + pow(f.y1 + 20 * f.mar - a.y1 - 20 * a.mar, 2)) + sqrt(pow(f.x1 - a.x1, 2) + pow(f.y1 + 5 * f.mar - a.y1 - 5 * a.mar, 2))) / 3, 6) AS dist FROM sv_frames f JOIN a USING (clip_id) WHERE valid_face")
 def agg_9(spark, sf_dir):
-    rows = T.frames(spark, sf_dir).where("valid_face").select("clip_id", "frame_idx", POINTS.alias("p"))
+    rows = T.frames(spark, sf_dir).where("valid_face").select("clip_id", "frame_idx", points().alias("p"))
     anchor = rows.groupBy("clip_id").agg(F.min_by("p", "frame_idx").alias("a"))
     return rows.join(anchor, "clip_id").select("clip_id", "frame_idx", F.round(scores.mean_distance(F.col("p"), F.col("a")), 6).alias("dist"))
 
