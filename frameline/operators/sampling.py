@@ -68,3 +68,18 @@ def boomerang(df: DataFrame, n: str, at: str = "frame_idx") -> DataFrame:
 
 def pad_or_trim(values: Column, n: int) -> Column:
     return F.slice(F.concat(values, F.array_repeat(F.lit(0.0), n)), 1, n)
+
+
+def beam_step(beams: DataFrame, key: str, beam: str, total: str, log_probs: str, size: int, end_token: int) -> DataFrame:
+    """(key, beam, token, score, finished): one step of a beam search over given log-probabilities.
+
+    Each beam offers its ``size`` + 1 best tokens; of all offers, by falling score, those are
+    taken that come before ``size`` unfinished ones are full.
+    """
+    offers = beams.select(key, beam, total, F.posexplode(log_probs).alias("token", "lp"))
+    own = Window.partitionBy(key, beam).orderBy(F.desc("lp"), "token")
+    offers = offers.withColumn("rn", F.row_number().over(own)).where(F.col("rn") <= size + 1).withColumn("score", F.col(total) + F.col("lp"))
+    all_beams = Window.partitionBy(key).orderBy(F.desc("score"), beam, "token")
+    unfinished = F.sum((F.col("token") != end_token).cast("int")).over(all_beams.rowsBetween(Window.unboundedPreceding, -1))
+    taken = offers.withColumn("before", F.coalesce(unfinished, F.lit(0))).where(F.col("before") < size)
+    return taken.select(key, beam, "token", "score", (F.col("token") == end_token).alias("finished"))

@@ -224,3 +224,26 @@ def agg_5(spark, sf_dir):
     return shot_runs(spark, sf_dir).groupBy("clip_id", "shot_id").agg(F.count("*").alias("n_runs"), F.max("n_frames").alias("longest"), F.sum("n_frames").alias("frames"))
 
 
+
+
+@query(
+    "top_7_beam_step",
+    f""", o AS (SELECT clip_id, frame_idx AS beam, ln(open_prob + 0.01::DOUBLE) AS total, CAST(i AS INTEGER) AS token, list_extract({LOGITS_SQL}, i + 1) AS lp FROM (SELECT *, unnest(range(0, 3)) AS i FROM sv_base WHERE frame_idx < 4)),
+    p AS (SELECT *, round(total + lp, 9) AS score FROM o QUALIFY row_number() OVER (PARTITION BY clip_id, beam ORDER BY lp DESC, token) <= 3),
+    r AS (SELECT *, coalesce(sum(CASE WHEN token <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY score DESC, beam, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM p)
+    SELECT clip_id, beam, token, round(score, 6) AS score, token = 1 AS finished FROM r WHERE before_ < 2""",
+)
+def top_7(spark, sf_dir):
+    rows = T.base(spark, sf_dir).where("frame_idx < 4")
+    beams = rows.select("clip_id", F.col("frame_idx").alias("beam"), F.log(F.col("open_prob") + 0.01).alias("total"), logits().alias("lps"))
+    return sampling.beam_step(beams, "clip_id", "beam", "total", "lps", 2, 1).select("clip_id", "beam", "token", *six("score"), "finished")
+
+
+@query(
+    "prj_19_margin_crop",
+    "SELECT clip_id, frame_idx, x1, y1, x2, least(480.0::DOUBLE, y2 + greatest(0, 10 + 4 * (frame_idx % 7 - 3))) AS y2 FROM sv_frames WHERE valid_face",
+)
+def prj_19(spark, sf_dir):
+    """The lower edge moved down by a margin that is never negative, within the frame."""
+    margin = F.greatest(F.lit(0), 10 + 4 * (F.col("frame_idx") % 7 - 3))
+    return T.frames(spark, sf_dir).where("valid_face").select("clip_id", "frame_idx", "x1", "y1", "x2", F.least(F.lit(480.0), F.col("y2") + margin).alias("y2"))
