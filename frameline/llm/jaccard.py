@@ -327,7 +327,14 @@ def _links(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     reach = F.least(F.col("n") - F.col("rn"), F.col("m") - F.col("rm")) + 1
     pairs = own.join(other, ["kind", "token"]).where("comp < comp_b").where(F.col("m") * 100 >= F.col("n") * percent).where(F.col("n") * 100 >= F.col("m") * percent)
     pairs = pairs.where(reach * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
-    apart = _verified(pairs.select(F.col("sid").alias("a"), "b").distinct(), sets, percent)
+    # both sets' rarest n-grams are held against each other before any whole set is moved
+    rarest = prefixes.groupBy("kind", "sid").agg(F.collect_list("token").alias("ts"))  # a set's own: bounded by its text
+    pairs = pairs.select("kind", F.col("sid").alias("a"), "b", "n", "m").distinct()
+    pairs = pairs.join(rarest.select("kind", F.col("sid").alias("a"), F.col("ts").alias("x")), ["kind", "a"]).join(rarest.select("kind", F.col("sid").alias("b"), F.col("ts").alias("y")), ["kind", "b"])
+    n, m = F.col("n"), F.col("m")
+    after = F.greatest(n - _prefix(n, percent), m - _prefix(m, percent))  # n-grams behind the rarest ones
+    close = (F.size(F.array_intersect("x", "y")) + after) * (100 + percent) >= (n + m) * percent
+    apart = _verified(common.stage(pairs.where(close).select("a", "b").distinct(), "jaccard-pairs"), sets, percent)
     return common.stage(links.unionByName(apart), "jaccard-links")
 
 
