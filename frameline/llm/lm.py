@@ -35,10 +35,10 @@ from . import common
 
 HEAD, BLOCK, SUFFIXES = 1024, 32, 32
 #: Words with their counts in the broadcast, at most.
-KNOWN = 150_000
-CACHE_WORDS = 100_000
+KNOWN = 100_000
+CACHE_WORDS = 50_000
 #: Documents taken at once, and distinct words a task counts before it hands them on.
-SLICE, COUNTED = 250, 250_000
+SLICE, COUNTED = 250, 150_000
 BUCKETS, OWN, BOS = 256, 192, 255
 COARSE = 32
 BLOCKS = HEAD // BLOCK
@@ -119,6 +119,7 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(w binary, c long) over all texts: counted in each task, then summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         seen: Counter = Counter()
 
         def out():
@@ -133,6 +134,8 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
                     seen.clear()
         if seen:
             yield out()
+        seen.clear()
+        pa.default_memory_pool().release_unused()
 
     return texts.select(text_col).mapInArrow(run, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -152,6 +155,7 @@ def _cells(texts: DataFrame, shared, text_col: str) -> DataFrame:
                 head = cls < BLOCKS
                 cell, n = np.unique(((one[head] % COARSE) * COARSE + two[head] % COARSE) * HEAD + ids[head], return_counts=True)
                 sums[1][cell] += n.astype(np.int32)
+        pa.default_memory_pool().release_unused()
         for kind, a in enumerate(sums):
             at = np.flatnonzero(a)
             for j in range(0, len(at), 200_000):
@@ -164,6 +168,11 @@ def _cells(texts: DataFrame, shared, text_col: str) -> DataFrame:
 _KEPT: dict = {}
 
 
+def _forget() -> None:
+    """Drops an earlier model's vocabulary and tables, where the worker process is the same."""
+    _KEPT.clear()
+
+
 def _kept(key, make):
     if key not in _KEPT:
         for old in [k for k in _KEPT if k[0] == key[0]]:
