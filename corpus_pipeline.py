@@ -21,6 +21,8 @@ from frameline.llm import bpe, common, jaccard, langid, mixing, quality
 LEAST_LANGUAGE_SCORE = 0.5
 #: A document with a smaller vote for label 1 is rejected.
 LEAST_QUALITY = 0.3
+#: Near copies: this similarity (percent) or more on word n-grams of this length; op8_jaccard keeps its own contract.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.jaccard_components(docs)
+    found = jaccard.jaccard_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     first = common.stage(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "pipeline-first")
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
