@@ -9,16 +9,16 @@ words, line lengths) and, for each domain, the share of words from a lexicon tha
 learned from the labelled texts.  The labelled texts may be a bounded sample
 (``sample_docs``, drawn by a hash of the id).
 
-Fit: least squares over the rates by projected gradient, started at rate 1 for all.
-A document's gradient depends on its posteriors alone, and the posteriors on its
-bins, so documents with equal bins share a rate: the rounds run over the table of
-bins (at most ``BINS ** features`` rows, summed over all documents by Spark), and
-every round's domain totals are one distributed sum of a few numbers.
+Fit: least squares over the rates, to the end; of all rates that come equally near the
+targets, those nearest to 1.  A document's gradient depends on its posteriors alone,
+and the posteriors on its bins, so documents with equal bins share a rate: the Newton
+rounds run over the table of bins (at most ``BINS ** features`` rows, summed over all
+documents by Spark), and every round's sums are one aggregation to a few numbers.
 
 Defined results: a null text is empty and has 0 tokens; domains without a target have
 target 0; without labelled rows all posteriors are equal; targets that cannot be met
 are met as nearly as rates of 0 or more allow; equal texts get equal posteriors and
-rates; an empty table gives an empty result; columns of the input are kept, and a new
+rates; texts without words count for no domain and keep rate 1; an empty table gives an empty result; columns of the input are kept, and a new
 column whose name is taken raises ``ValueError``.
 """
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,46 +119,79 @@ def posteriors(bins: list[str], table: list, priors: list[float]) -> list[Column
     return [p / sum(parts[1:], parts[0]) for p in parts]
 
 
-def rate_of(p: list[Column], history: list[list[float]], look_ahead: bool = False) -> Column:
-    """A document's rate after the rounds in ``history`` (each: the gap of every domain, then the round's momentum).
+def rate_of(p: list[Column], push: list[float]) -> Column:
+    """A document's rate under the fit's ``push`` on every domain: the nonnegative rate nearest to 1 plus its posteriors' pushes."""
+    return F.greatest(F.lit(0.0), sum((q * F.lit(float(v)) for q, v in zip(p, push)), F.lit(1.0)))
 
-    ``look_ahead`` gives the point at which the next round measures its gaps.
-    """
-    if not history:
-        return F.lit(1.0)
-    rounds = F.array(*[F.array(*map(F.lit, h)) for h in history])
-
-    def step(s: Column, h: Column) -> Column:
-        push = sum((q * h[k] for k, q in enumerate(p)), F.lit(0.0))
-        x = F.greatest(F.lit(0.0), s["y"] - push)
-        return F.struct(x.alias("x"), (x + h[len(p)] * (x - s["x"])).alias("y"))
-
-    last = F.aggregate(rounds, F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")), step)
-    return last["y" if look_ahead else "x"]
 
+def fit_rates(cells: DataFrame, domains: list[str], targets: Mapping[str, float], total: float, rounds: int = 400, close: float = 1e-5) -> list[float]:
+    """One number a domain, for `rate_of`: the least-squares rates of 0 or more, of all these those nearest to 1.  ``cells``: columns tokens and p0, p1, ... .
 
-def fit_rates(cells: DataFrame, domains: list[str], targets: Mapping[str, float], total: float, rounds: int = 30, close: float = 1e-5) -> list[list[float]]:
-    """The rounds of the projected gradient, for `rate_of`.  ``cells``: columns tokens and p0, p1, ... .
-
-    The step of a rate is its gradient over the document's share of all tokens; so scaled,
-    the curvature is at most 1 and unit steps with Nesterov's momentum converge.
+    Minimises the squared gap to the targets plus ``eps`` times the squared distance of the
+    rates from 1 (by tokens), for falling ``eps``; the optimum is `rate_of` at gap / eps with
+    the sign turned, found by Newton steps.  A step needs the domains' totals and the
+    domains x domains sums over the rows with a rate, one aggregation.  Ends when no gap is
+    over ``close``, or when the duality gap shows that the squared gap is within a
+    thousandth of the least possible; ``RuntimeError`` if ``rounds`` are too few for that.
     """
+    size = len(domains)
     weight = sum(targets.get(d, 0.0) for d in domains)
-    want = [targets.get(d, 0.0) / weight for d in domains] if weight > 0 else [0.0] * len(domains)
-    history: list[list[float]] = []
+    want = np.array([targets.get(d, 0.0) / weight for d in domains] if weight > 0 else [0.0] * size)
     if not total:
-        return history
-    p = [F.col(f"p{k}") for k in range(len(domains))]
-    t = 1.0
-    for _ in range(rounds):
-        weighed = cells.select((rate_of(p, history, True) * F.col("tokens")).alias("y"), *p)
-        now = weighed.agg(*[F.sum(F.col("y") * q).alias(f"t{k}") for k, q in enumerate(p)]).first()
-        gap = [now[f"t{k}"] / total - w for k, w in enumerate(want)]
-        if max(map(abs, gap)) < close or (history and max(abs(a - b) for a, b in zip(gap, history[-1])) < close):
+        return []
+    counted = cells.where("tokens > 0")
+    p = [F.col(f"p{k}") for k in range(size)]
+    share = F.col("tokens") / F.lit(float(total))
+    # decimals, so that the order of the rows changes nothing
+    exact = lambda x: F.sum(x.cast("decimal(38,16)")).cast("double")
+    done = 0
+
+    def at(push: np.ndarray, eps: float):
+        """Objective, its gradient and curvature, the totals, and the greatest push on a row."""
+        nonlocal done
+        if done >= rounds:
+            raise RuntimeError(f"the rates have not converged in {rounds} rounds")
+        done += 1
+        x = rate_of(p, push)
+        on = F.when(x > 0, share).otherwise(0.0)
+        pairs = [(i, j) for i in range(size) for j in range(i + 1)]
+        r = counted.agg(
+            exact(share * x * x).alias("s"),
+            F.max(sum((q * F.lit(float(v)) for q, v in zip(p, push)), F.lit(0.0))).alias("most"),
+            *[exact(share * x * q).alias(f"t{k}") for k, q in enumerate(p)],
+            *[exact(on * p[i] * p[j]).alias(f"h{i}_{j}") for i, j in pairs],
+        ).first()
+        totals, curve = np.array([r[f"t{k}"] for k in range(size)]), eps * np.eye(size)
+        for i, j in pairs:
+            curve[i, j] += r[f"h{i}_{j}"]
+            curve[j, i] = curve[i, j]
+        return eps / 2 * push @ push + r["s"] / 2 - want @ push, eps * push + totals - want, curve, totals, r["most"]
+
+    push, eps = np.zeros(size), 1e-2
+    while True:
+        value, slope, curve, totals, most = at(push, eps)
+        while np.abs(slope).max() > 1e-12:
+            move, step = -np.linalg.solve(curve, slope), 1.0
+            while True:
+                new = at(push + step * move, eps)
+                if new[0] <= value + 1e-4 * step * (slope @ move) or np.abs(new[1]).max() <= np.abs(slope).max() / 2:
+                    break
+                step /= 2
+                if step < 1e-6:
+                    break
+            if step < 1e-6:  # as near as doubles allow
+                break
+            push = push + step * move
+            value, slope, curve, totals, most = new
+        gap = totals - want
+        if np.abs(gap).max() <= close:
+            break
+        # the tokens of the best rates are no more than the targets' and the gap's; no row has a steeper way down than eps * most
+        mass = want.sum() + size**0.5 * np.linalg.norm(gap)
+        if gap @ totals + mass * eps * max(0.0, most) <= 1e-3 * (gap @ gap):
             break
-        t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        history.append([*gap, (before - 1) / t])
-    return history
+        eps /= 10
+    return [float(v) for v in push]
 
 
 def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], text_col: str = "text", budget: float | None = None) -> DataFrame:
@@ -177,8 +211,8 @@ def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], text_c
     cells = seen.groupBy(*bins).agg(F.sum("n_tokens").alias("tokens"))
     cells = common.stage(cells.select("*", *[x.alias(n) for n, x in zip(p, posteriors(bins, table, priors))]), "mixing-cells")
     there = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
-    history = fit_rates(cells, domains, targets, float(budget if budget is not None else there))
-    rated = cells.withColumn("x", rate_of([F.col(x) for x in p], history))
+    push = fit_rates(cells, domains, targets, float(budget if budget is not None else there))
+    rated = cells.withColumn("x", F.when(F.col("tokens") > 0, rate_of([F.col(x) for x in p], push)).otherwise(1.0))
     # at most BINS ** features rows, in practice a few thousand
     rated = F.broadcast(rated.select(*bins, F.array(*p).alias("membership"), F.col("x").alias("rate")))
     return seen.join(rated, bins).select(*[F.col(f"`{c}`") for c in df.columns], *new)

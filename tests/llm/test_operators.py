@@ -175,6 +175,30 @@ def test_mixing_rates_against_numpy(spark):
     assert (x >= 0).all() and np.abs((x * tokens) @ p / total - want).max() < 2e-3
 
 
+def test_mixing_is_the_least_squares_fit_with_production_parameters(spark):
+    cells = lambda rows: spark.createDataFrame(rows, "tokens double, p0 double, p1 double, p2 double")
+    p = [F.col("p0"), F.col("p1"), F.col("p2")]
+    rng = np.random.default_rng(6)
+    bins = [(float(t), *map(float, q / q.sum())) for t, q in zip(rng.integers(1, 500, 60), rng.dirichlet([3, 0.6, 0.6], 60) + [0, 0, 0.013])]
+    for purest in ([], [(40.0, 0.97, 0.02, 0.01)]):  # out of reach for the first, met by one small bin in the second
+        rows = bins + purest + [(0.0, 1.0, 0.0, 0.0)]
+        df, (tokens, q) = cells(rows), (np.array(rows)[:, 0], np.array(rows)[:, 1:])
+        want, total = np.array([0.97, 0.02, 0.01]), tokens.sum()
+        push = mixing.fit_rates(df, ["clean", "poor", "toxic"], mixing.TARGETS, float(total))
+        x = np.array([r[0] for r in df.select(mixing.rate_of(p, push)).collect()]) * (tokens > 0)
+        # the best mix of one, two or three bins is the best of all: three domains
+        best = np.inf
+        n = int((tokens > 0).sum())
+        for k in range(n):
+            for j in range(k + 1):
+                a = q[[j, k]].T if j < k else q[[k]].T
+                y = np.linalg.lstsq(a, want, rcond=None)[0]
+                if (y >= 0).all():
+                    best = min(best, np.linalg.norm(a @ y - want))
+        gap = (x * tokens) @ q / total - want
+        assert (x >= 0).all() and np.linalg.norm(gap) <= best * 1.001 + 2e-5
+
+
 def test_mixing_moves_towards_the_targets(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op7_mixing"](spark, sf).toPandas()
