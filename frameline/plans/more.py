@@ -168,7 +168,9 @@ def rsm_2(spark, sf_dir):
 
 @query("rsm_3_pad_or_trim", "SELECT clip_id, array_to_string([CASE WHEN i <= len(l) THEN l[i] ELSE 0 END FOR i IN range(1, 31)], ',') AS ks FROM (SELECT clip_id, list(k ORDER BY frame_idx) AS l FROM sv_base WHERE frame_idx < 40 GROUP BY 1)")
 def rsm_3(spark, sf_dir):
-    rows = T.base(spark, sf_dir).where("frame_idx < 40").groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "k"))).alias("l"))
+    own = Window.partitionBy("clip_id").orderBy("frame_idx")
+    first = T.base(spark, sf_dir).withColumn("rn", F.row_number().over(own)).where("rn <= 30")  # what the trim keeps, whatever the frames' numbers
+    rows = first.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "k"))).alias("l"))
     ks = sampling.pad_or_trim(F.transform("l", lambda s: s["k"].cast("double")), 30)
     return rows.select("clip_id", F.array_join(F.transform(ks, lambda v: v.cast("int").cast("string")), ",").alias("ks"))
 

@@ -138,3 +138,12 @@ def test_nearest_keeps_ties_in_order(spark):
     anchor = spark.createDataFrame([(1, 0, [0.0])], "g bigint, anchor_id bigint, anchor array<double>")
     got = sampling.nearest_to(rows, anchor, "g", "i", G.euclidean(F.col("v"), F.col("anchor")), 2).orderBy("rank").collect()
     assert [r.i for r in got] == [1, 2]
+
+
+def test_pad_or_trim_takes_the_first_rows_of_a_whole_clip(spark, monkeypatch):
+    from frameline.plans import registry
+
+    rows = [(1, 50 + i, i) for i in range(45)] + [(2, 39 + i, 7) for i in range(3)]
+    monkeypatch.setattr(T, "base", lambda *_: spark.createDataFrame(rows, "clip_id bigint, frame_idx int, k int"))
+    got = {r.clip_id: r.ks for r in registry.QUERIES["rsm_3_pad_or_trim"](spark, "").collect()}
+    assert got == {1: ",".join(map(str, range(30))), 2: ",".join(["7"] * 3 + ["0"] * 27)}
