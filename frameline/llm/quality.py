@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +31,28 @@ from . import common
 
 DIM = 2048
 CACHE_WORDS = 300_000
+#: Longer words are read in parts of this many characters, and outlines in parts of this many runs; all of them count.
+PART, RUNS = 64, 8
 _RUNS = re.compile(r"([a-zß-öø-ÿ]+)|([A-ZÀ-ÖØ-Þ]+)|([0-9]+)|([^\W\d_]+)|(.)", re.S)
 
 
-def shape(word: str) -> str:
-    """Outline of a word: a run of lower-case letters is a, of capitals A (one: B), of digits 0, of other letters x; signs stay."""
+def shapes(word: str) -> list[str]:
+    """Outlines of a word, of 8 runs each: a run of lower-case letters is a, of capitals A (one: B), of digits 0, of other letters x; signs stay."""
     out, last = [], ""
-    for m in _RUNS.finditer(word[:64]):
+    for m in _RUNS.finditer(word):
         k = m.lastindex
         now = ("a", "B" if len(m.group()) == 1 else "A", "0", "x", m.group())[k - 1]
         if now != last:
             out.append(now)
         last = now
-    return "".join(out[:8])
+    return ["".join(out[i : i + RUNS]) for i in range(0, len(out), RUNS)]
+
+
+def parts_of(words: list[str]) -> list[str]:
+    """The words, those over PART characters in parts."""
+    if max(map(len, words)) <= PART:
+        return words
+    return [w[i : i + PART] for w in words for i in range(0, len(w), PART)]
 
 
 def _slot(feature: str) -> int:
@@ -55,10 +65,10 @@ _LINE = _slot("\0line")
 
 
 class _Shapes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > CACHE_WORDS:
             self.clear()
-        s = self[word] = _slot(shape(word))
+        s = self[word] = tuple(map(_slot, shapes(word)))
         return s
 
 
@@ -69,10 +79,11 @@ def features(texts: list[str | None], known: _Shapes) -> np.ndarray:
         words = (t or "").split()
         if not words:
             continue
-        out[i] = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=DIM)
+        parts = parts_of(words)
+        out[i] = np.bincount(np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), np.int64), minlength=DIM)
         out[i, _REPEAT] += sum(map(str.__eq__, words, words[1:]))
         out[i, _LINE] += t.count("\n")
-        out[i] *= 1000.0 / len(words)
+        out[i] *= 1000.0 / len(parts)
     return np.log1p(out)
 
 
