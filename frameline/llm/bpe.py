@@ -9,8 +9,10 @@ token stand side by side unmerged, which `_Merges.stays_apart` decides from the
 ranks along the two facing edges.
 
 Defined results: a null text is the empty text, which has no tokens; texts of any
-length are encoded whole; equal texts give equal ids; all input columns are kept,
-and a new column whose name is taken raises ``ValueError``.
+length are encoded whole; equal texts give equal ids, and repeated rows are encoded
+one by one; an empty table gives an empty result; a symbol that no token of the model
+covers raises ``ValueError``; all input columns are kept under any name, and a new
+column whose name is taken raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Distinct raw words whose ids a task keeps at once.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Below this code point, letters and their lower-case forms are the same in every Unicode version.
 _STABLE = "ɐ"
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -180,12 +182,13 @@ class WordTrie:
             before = word[:n]  # the last letter's state belongs to the word's end, not to the path
             t, w = find(advance(nodes[n], word[n] + end), n + 1, last)
             out, i = [], n + 1
-            while t >= 0:
+            while i and t >= 0:
                 out.append(pack[t])
                 i -= w
-                if not i:
-                    break
-                t, w = last[i], width[i]
+                if i:
+                    t, w = last[i], width[i]
+            if i:
+                raise ValueError(f"the model has no token for a symbol of {word!r}")
             out.reverse()
             yield word, b"".join(out)
 
@@ -201,6 +204,8 @@ class Codec:
         self.trie = WordTrie(spec["model"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # a special token can only stand where the first two characters of one do
+        self.marks = re.compile("|".join(map(re.escape, sorted({t[:2] for t in self.special})))) if self.special else None
         self.to_byte = _byte_letters()
         top = max([*spec["model"]["vocab"].values(), *self.special.values()]) + 1
         self.names = [b""] * top
@@ -210,7 +215,7 @@ class Codec:
 
     def _pieces(self, raw: str) -> list[str | int]:
         """Normalised pieces of one white-space-free word, in the model's symbols; an int is a special token."""
-        if self.split_special and "<|" in raw:
+        if self.split_special and self.marks.search(raw):
             parts = self.split_special.split(raw)
             if len(parts) > 1:
                 return [y for x in parts for y in ([self.special[x]] if x in self.special else self._pieces(x) if x else [])]
@@ -261,53 +266,41 @@ def _byte_letters() -> list[str]:
     return out
 
 
-_CODECS: dict[int, Codec] = {}
-
-
-def codec_of(tokenizer_json: str) -> Codec:
-    """One codec a worker process, kept between tasks."""
-    key = hash(tokenizer_json)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(tokenizer_json)
-    return _CODECS[key]
-
-
-def _mapped(df: DataFrame, extra: str, names: list[str], fn, tokenizer_path: str) -> DataFrame:
-    if clash := {c.lower() for c in df.columns} & {n.lower() for n in names}:
-        raise ValueError(f"column names taken: {sorted(clash)}")
+def _mapped(df: DataFrame, extra: str, fn, tokenizer_path: str) -> DataFrame:
     with open(tokenizer_path, encoding="utf-8") as f:  # read on the driver only; bounded by the vocabulary
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
+        shared, key = df.sparkSession.sparkContext.broadcast(f.read()), common.uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        codec = common.kept(key, lambda: Codec(shared.value))
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                cols = fn(codec, part)
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *names])
+                yield part, fn(codec, part)
 
-    return df.mapInArrow(run, common.add_columns_schema(df, extra))
+    return common.add_columns(df, extra, run)
 
 
 def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds ``ids_col``: the text's ids as packed little-endian unsigned 32-bit integers."""
-    return _mapped(df, f"`{ids_col}` binary", [ids_col], lambda c, b: [pa.array(c.encode_batch(b[text_col].to_pylist()), pa.binary())], tokenizer_path)
+    at = common.place_of(df, text_col)
+    return _mapped(df, f"`{ids_col}` binary", lambda c, b: [pa.array(c.encode_batch(b[at].to_pylist()), pa.binary())], tokenizer_path)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col``: the text that the packed ids decode to; null ids decode to the empty text."""
-    return _mapped(df, f"`{out_col}` string", [out_col], lambda c, b: [pa.array([c.decode(x) for x in b[ids_col].to_pylist()], pa.string())], tokenizer_path)
+    at = common.place_of(df, ids_col)
+    return _mapped(df, f"`{out_col}` string", lambda c, b: [pa.array([c.decode(x) for x in b[at].to_pylist()], pa.string())], tokenizer_path)
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """`encode` and `decode` in one pass over the batches."""
+    at = common.place_of(df, text_col)
 
     def both(c: Codec, b: pa.RecordBatch) -> list[pa.Array]:
-        ids = c.encode_batch(b[text_col].to_pylist())
+        ids = c.encode_batch(b[at].to_pylist())
         return [pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())]
 
-    return _mapped(df, f"`{ids_col}` binary, `{out_col}` string", [ids_col, out_col], both, tokenizer_path)
+    return _mapped(df, f"`{ids_col}` binary, `{out_col}` string", both, tokenizer_path)
 
 
 def default_tokenizer() -> str:

@@ -1,4 +1,4 @@
-"""What the corpus operators share: stage tables, the shared folder, table readers.
+"""What the corpus operators share: stage tables, the shared folder, table readers, Arrow steps.
 
 Stage tables go to the folder in ``spark.checkpoint.dir``.  They are plain
 Parquet, so a lost executor costs a re-read and never a re-computation.
@@ -6,11 +6,17 @@ Parquet, so a lost executor costs a re-read and never a re-computation.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``; bytes.split() uses the same set.
 WORD_RULE = r"[^\x20\x09-\x0D]+"
@@ -18,9 +24,12 @@ SPACE_RULE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where none is named."""
+    """The cluster's shared folder; without one, a local folder in local mode, where all tasks see it, and an error elsewhere."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="frameline-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -51,15 +60,60 @@ def hash_below(doc_id: Column, fraction: float, seed: int = 7) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1_000_000)) < F.lit(int(round(fraction * 1_000_000)))
 
 
-def add_columns_schema(df: DataFrame, extra: str) -> str:
-    """DDL of ``df`` plus ``extra`` columns, for mapInArrow; names are quoted."""
-    own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return f"{own}, {extra}" if own else extra
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores added until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def refuse(df: DataFrame, new: Iterable[str]) -> None:
+    """``ValueError`` if ``df`` has a column of one of the names."""
+    if clash := {c.lower() for c in df.columns} & {n.lower() for n in new}:
+        raise ValueError(f"column names taken: {sorted(clash)}")
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """Where the column stands; its exact name goes before one of other case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def add_columns(df: DataFrame, new: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]]) -> DataFrame:
+    """``df`` with the columns of the DDL text ``new``, filled by ``run`` in Arrow batches.
+
+    ``run`` takes batches whose columns are known by place only, so that any name may
+    stand in ``df``, and gives slices of them, each with its new columns.
+    """
+    fields = StructType.fromDDL(new).fields
+    refuse(df, (f.name for f in fields))
+    safe = [f"c{k}" for k in range(len(df.columns) + len(fields))]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cols in run(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=safe)
+
+    schema = StructType([StructField(s, f.dataType, True) for s, f in zip(safe, [*df.schema.fields, *fields])])
+    return df.toDF(*safe[: len(df.columns)]).mapInArrow(whole, schema).toDF(*df.columns, *(f.name for f in fields))
+
+
+_KEPT: dict = {}
+
+
+def forget() -> None:
+    """Drops what earlier tasks of this worker process kept, and hands free memory back to the system."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def kept(key: str, make: Callable):
+    """The value under ``key``, made at first use.  A worker process keeps one value: what another operator or run left goes first."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]

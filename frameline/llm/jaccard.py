@@ -29,7 +29,8 @@ Defined results: a null or word-less text has an empty set and is linked with no
 fewer words than ``n`` give one n-gram of all of them; equal sets are linked; a repeated
 row is a document of its own with the same id; rows with a null id are answered with
 their group's smallest id, if it has one; an empty table gives an empty result; other
-columns are not read.
+columns of any name are not read, and a column that has the name of the text or id
+column in other letters of case is another column.
 """
 
 from __future__ import annotations
@@ -46,13 +47,15 @@ from . import common
 from .graph import components
 
 #: Sets of one trie at most; distinct words kept by a task; sets a task remembers.
-CHUNK, CACHE_WORDS, CACHE_SETS = 256, 400_000, 500_000
+CHUNK, CACHE_WORDS, CACHE_SETS = 256, 150_000, 100_000
 #: Sets with most links that join every chunk of their cluster in the later rounds, and the number of these.
 HUBS, HUB_ROUNDS = 16, 2
 #: N-gram hashes below 2**62 are the lowest quarter; of these, 48 bits are kept.
 LOW, LOW_SHIFT, LOW_BYTES = 62, 14, 6
 #: N-grams of the lowest quarter in more sets than this are left to step 3's second half.
 COLD = 64
+#: Sets that share an n-gram and are held against others in one task, about.
+HOT = 64
 #: Bits of the filters that spare other documents; their size is fixed, a full filter only spares fewer.
 FILTER_BITS = 1 << 26
 #: Bits of one bucket of Spark's bitmap functions; value v is bit (v - 1) % BUCKET_BITS of bucket (v - 1) / BUCKET_BITS + 1.
@@ -105,13 +108,14 @@ def _prefix(n: Column, percent: int) -> Column:
 
 
 def _seen(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, n, sid, low): low is null where the task has given that set's before."""
+    """(id, key, n, sid, low): key is a hash of id and text; low is null where the task has given that set's before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         known, had = _Hashes(), set()
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                b = whole.slice(i, 1000)
+            for i in range(0, whole.num_rows, 500):
+                b = whole.slice(i, 500)
                 sets = shingle_sets(b["t"].to_pylist(), n, known)
                 ids = [set_id(s) for s in sets]
                 if len(had) > CACHE_SETS:
@@ -124,9 +128,18 @@ def _seen(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                     had.add(k)
                     part = s[: np.searchsorted(s, np.uint64(1 << LOW))] >> np.uint64(LOW_SHIFT)
                     low.append(part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES].tobytes())
-                yield pa.RecordBatch.from_arrays([b["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(low, pa.binary())], names=["id", "n", "sid", "low"])
+                yield pa.RecordBatch.from_arrays([b["id"], b["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(low, pa.binary())], names=["id", "key", "n", "sid", "low"])
+        known.clear()
+        had.clear()
+        common.forget()
+
+    id_, text = F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`")
+    return df.select(id_.alias("id"), text.alias("t"), row_key(id_, text).alias("key")).mapInArrow(run, "id bigint, key bigint, n bigint, sid bigint, low binary")
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id bigint, n bigint, sid bigint, low binary")
+
+def row_key(id_: Column, text: Column) -> Column:
+    """64 bits for an id and its text."""
+    return F.xxhash64(id_, text)
 
 
 def _unpacked(width: int, member=None):
@@ -322,10 +335,14 @@ def _links(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     own = prefixes.join(comp.select("sid", "comp"), "sid")
     mixed = own.groupBy("kind", "token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("kind", "token")
     own = common.stage(own.join(mixed, ["kind", "token"], "left_semi"), "jaccard-apart")
-    other = own.select("kind", "token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rn").alias("rm"), F.col("comp").alias("comp_b"))
+    # sets of a frequent n-gram are dealt out, so that no task meets more than about HOT of them at once
+    parts = own.groupBy("kind", "token").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
+    own = own.join(parts, ["kind", "token"])
+    other = own.select("kind", "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rn").alias("rm"), F.col("comp").alias("comp_b"))
+    own = own.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "sid"), F.col("parts")).cast("int"))
     # at the first n-gram that both share, no more can follow than stand behind it
     reach = F.least(F.col("n") - F.col("rn"), F.col("m") - F.col("rm")) + 1
-    pairs = own.join(other, ["kind", "token"]).where("comp < comp_b").where(F.col("m") * 100 >= F.col("n") * percent).where(F.col("n") * 100 >= F.col("m") * percent)
+    pairs = own.join(other, ["kind", "token", "part"]).where("comp < comp_b").where(F.col("m") * 100 >= F.col("n") * percent).where(F.col("n") * 100 >= F.col("m") * percent)
     pairs = pairs.where(reach * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
     # both sets' rarest n-grams are held against each other before any whole set is moved
     rarest = prefixes.groupBy("kind", "sid").agg(F.collect_list("token").alias("ts"))  # a set's own: bounded by its text
@@ -338,8 +355,8 @@ def _links(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     return common.stage(links.unionByName(apart), "jaccard-links")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """(id_col, n_shingles, component_id) for each row; see the module's text."""
+def _grouped(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, n, sid, low) and classes of equal sets (sid, id, n, root); classes of one root hang together."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     seen = common.stage(_seen(df, id_col, text_col, n), "jaccard-seen")
@@ -363,15 +380,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chosen = _filter(needed, "id")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         known = _Hashes()
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                b = whole.slice(i, 1000)
+            for i in range(0, whole.num_rows, 500):
+                b = whole.slice(i, 500)
                 b = b.filter(pa.array(_in(chosen.value, b["pos"])))
                 sets = shingle_sets(b["t"].to_pylist(), n, known)
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["sid", "tokens"])
 
-    texts = df.select(F.col(text_col).alias("t"), _position(F.col(id_col).cast("bigint")).alias("pos"))
+    texts = df.select(F.col(f"`{text_col}`").alias("t"), _position(F.col(f"`{id_col}`").cast("bigint")).alias("pos"))
     sets = texts.mapInArrow(again, "sid bigint, tokens binary").join(needed.select("sid"), "sid", "left_semi")
     sets = common.stage(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
 
@@ -381,11 +399,40 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     roots = components(_links(sets, prefixes, percent)).select(F.col("id").alias("sid"), "root")
     grouped = classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return seen, common.stage(grouped, "jaccard-grouped")
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """(id_col, n_shingles, component_id) for each row; see the module's text."""
+    seen, grouped = _grouped(df, id_col, text_col, n, percent)
     least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
     answer = common.stage(grouped.join(least, "root").select("sid", "component_id"), "jaccard-answer")
     done = seen.select("id", "n", "sid").join(answer, "sid")
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``df`` that stay if one row of each linked group stays, in all columns.
+
+    The row with the smallest id stays (null ids come last), of several rows with that id
+    the one whose hash of id and text is least, and of rows equal in both the one whose
+    hash over all columns is least; rows that are equal altogether count as one.  Rows of
+    one id with different texts are different documents.  Wordless texts are linked with
+    nothing, so each (id, text) of them stays.
+    """
+    seen, grouped = _grouped(df, id_col, text_col, n, percent)
+    rows = seen.select("id", "key", "n", "sid").join(grouped.select("sid", "root"), "sid")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"]
+    stay = rows.groupBy((F.col("n") == 0).alias("bare"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("root")).alias("group")).agg(first.alias("key"))
+    stay = common.stage(stay.select("key"), "jaccard-stay")
+    key, look = common.free_name(df, "__key"), common.free_name(df, "__look")
+    own = [F.col(f"`{c}`") for c in df.columns]
+    keyed = df.withColumns({key: row_key(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`")), look: F.xxhash64(*own)})
+    chosen = keyed.select(key, look).join(stay.withColumnRenamed("key", key), key, "left_semi").groupBy(key).agg(F.min(look).alias("least"))
+    chosen = common.stage(chosen.select(F.col(key).alias("k"), "least"), "jaccard-chosen")
+    kept = keyed.join(chosen, (F.col(key) == F.col("k")) & (F.col(look) == F.col("least")), "left_semi")
+    return kept.dropDuplicates([key]).drop(key, look)
+
+
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(common.table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -119,7 +119,7 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(w binary, c long) over all texts: counted in each task, then summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _forget()
+        common.forget()
         seen: Counter = Counter()
 
         def out():
@@ -165,25 +165,9 @@ def _cells(texts: DataFrame, shared, text_col: str) -> DataFrame:
     return texts.select(text_col).mapInArrow(run, "kind int, cell int, n bigint").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
 
 
-_KEPT: dict = {}
-
-
-def _forget() -> None:
-    """Drops an earlier model's vocabulary and tables, where the worker process is the same."""
-    _KEPT.clear()
-
-
-def _kept(key, make):
-    if key not in _KEPT:
-        for old in [k for k in _KEPT if k[0] == key[0]]:
-            del _KEPT[old]
-        _KEPT[key] = make()
-    return _KEPT[key]
-
-
 def _vocabulary(shared) -> Vocabulary:
     tag, words, counts = shared.value
-    return _kept(("vocabulary", tag), lambda: Vocabulary(words, counts))
+    return common.kept(f"vocabulary {tag}", lambda: Vocabulary(words, counts))
 
 
 #: Of each kind of softmax: values of a feature, outcomes, outcomes that share a softmax.
@@ -262,8 +246,7 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
     """Adds n_tokens, n_known, train_tokens, base_score, score to ``docs``, learned from the texts of ``train``."""
     spark = docs.sparkSession
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    if clash := {c.lower() for c in docs.columns} & set(new):
-        raise ValueError(f"column names taken: {sorted(clash)}")
+    common.refuse(docs, new)
     counts = common.stage(word_counts(train, text_col), "lm-counts")
     ends = train.count()
     rung = F.floor(F.log2("c") * 4).cast("int")
@@ -285,7 +268,8 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
         room_of[_suffix(w) % SUFFIXES] -= c + 1
     weights = fit_weights(_cells(train, shared, text_col))
     model = spark.sparkContext.broadcast((common.uuid.uuid4().hex, weights, np.log10(room_of), np.log10(total + types + 1), np.log10(ends + 1), int(ends > 0)))
-    schema = common.add_columns_schema(docs, "`#n` bigint, `#known` bigint, `#base` double, `#score` double, `#words` array<binary>, `#times` array<int>, `#fresh` array<int>")
+    text_at = common.place_of(docs, text_col)
+    extra = "`#n` bigint, `#known` bigint, `#base` double, `#score` double, `#words` array<binary>, `#times` array<int>, `#fresh` array<int>"
 
     def tables():
         _, weights, *_ = model.value
@@ -297,15 +281,14 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
             out.append(a.reshape(n * n, outcomes))
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = _vocabulary(shared)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         tag, _, room, all_room, end_count, end_known = model.value
-        by_class, by_word = _kept(("tables", tag), tables)
+        vocab, (by_class, by_word) = common.kept(f"scorer {tag}", lambda: (Vocabulary(*shared.value[1:]), tables()))
         for whole in batches:
             for i in range(0, whole.num_rows, SLICE):
                 b = whole.slice(i, SLICE)
                 vocab.trim()
-                split = [tokens(t) for t in b[text_col].to_pylist()]
+                split = [tokens(t) for t in b[text_at].to_pylist()]
                 ids, cls, one, two, starts = events(vocab, split)
                 s = by_class[one * BUCKETS + two, cls].astype(np.float64)
                 head = np.flatnonzero(cls < BLOCKS)
@@ -325,12 +308,17 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
                     np.add.at(fresh, np.searchsorted(key, doc_of[mine] * (1 << 40) + ids[rare[mine]]), 1)
                 offsets = np.searchsorted(pair[0], np.arange(len(split) + 1)).astype(np.int32)
                 names = pa.array([vocab.extra[k - vocab.size] for k in pair[1].tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(np.diff(starts)), pa.array(np.add.reduceat(is_known.astype(np.int64), starts[:-1])), pa.array(np.add.reduceat(base, starts[:-1])), pa.array(np.add.reduceat(s, starts[:-1])), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(fresh.astype(np.int32)))],
-                    names=[*b.schema.names, "#n", "#known", "#base", "#score", "#words", "#times", "#fresh"],
-                )
-
-    part = common.stage(docs.mapInArrow(run, schema).withColumn("#row", F.monotonically_increasing_id()).drop(text_col), "lm-scored")
+                yield b, [
+                    pa.array(np.diff(starts)),
+                    pa.array(np.add.reduceat(is_known.astype(np.int64), starts[:-1])),
+                    pa.array(np.add.reduceat(base, starts[:-1])),
+                    pa.array(np.add.reduceat(s, starts[:-1])),
+                    pa.ListArray.from_arrays(offsets, names),
+                    pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(fresh.astype(np.int32))),
+                ]
+
+    part = common.stage(common.add_columns(docs, extra, run).withColumn("#row", F.monotonically_increasing_id()).drop(text_col), "lm-scored")
     rare = part.select("#row", F.explode(F.arrays_zip(F.col("#words").alias("w"), F.col("#times").alias("t"), F.col("#fresh").alias("f"))).alias("x")).select("#row", "x.w", "x.t", "x.f")
     counted = counts.where(rung < least) if least is not None else counts
     gain = F.log10(F.col("c") + 1)
@@ -341,7 +329,7 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
     )
     zero = F.lit(0)
     return part.join(found, "#row", "left").select(
-        *[c for c in docs.columns if c != text_col],
+        *[F.col(f"`{c}`") for c in docs.columns if c != text_col],
         F.col("#n").alias("n_tokens"),
         (F.col("#known") + F.coalesce("#found", zero)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),

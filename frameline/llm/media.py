@@ -14,8 +14,9 @@ to a broken shard.  A shard is written once, front to back.
 
 Defined results: a null text is the empty text, one row of spaces; texts are stored
 whole; equal texts give equal digests, metadata and features, whatever shard holds
-them; an empty table gives an empty result; other columns of the input are kept, and
-a new column whose name is taken raises ``ValueError``.
+them, and repeated rows are answered one by one; there is nothing to rank, so no ties
+arise; an empty table gives an empty result; other columns of the input are kept under
+any name, and a new column whose name is taken raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -38,6 +41,10 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and image header: all that the metadata columns need.
 HEADER_BYTES = 33
 BLOCK = 512
+#: Bytes of media that one task reads back, about.
+READ_BYTES = 32 << 20
+KINDS = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+NEW = ["n_bytes", "digest", "shard", "offset", "length"]
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -120,67 +127,62 @@ class _Shard:
         self.out.close()
 
 
-def _taken(df: DataFrame, names: list[str]) -> None:
-    if clash := {c.lower() for c in df.columns} & set(names):
-        raise ValueError(f"column names taken: {sorted(clash)}")
-
-
 def store(df: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
-    """Writes the payloads; returns the rows without the text, with n_bytes, digest, shard, offset, length."""
-    new = ["n_bytes", "digest", "shard", "offset", "length"]
-    kept = [c for c in df.columns if c != text_col]
-    _taken(df.select(*[f"`{c}`" for c in kept]), new)
-    names = [*kept, *new]
+    """Writes the payloads; returns the rows without the text, with n_bytes, digest, shard, offset, length.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The rows are dealt out by shard and place, ``READ_BYTES`` of media a part, so that the
+    range reads are spread by the media's size and not by that of the index.
+    """
+    at = common.place_of(df, text_col)
+    common.refuse(df.select(*[f"`{c}`" for k, c in enumerate(df.columns) if k != at]), NEW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         shard = None
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 b = whole.slice(i, 1000)
                 shard = shard or _Shard(folder)
-                padded = [payload_of(t) for t in b[text_col].to_pylist()]
-                at = [shard.add(p) for p, _ in padded]
-                yield pa.RecordBatch.from_arrays(
-                    [*[b[c] for c in kept], pa.array([n for _, n in padded], pa.int64()), pa.array([x[0] for x in at], pa.string()), pa.array([shard.name] * len(at), pa.string()), pa.array([x[1] for x in at], pa.int64()), pa.array([x[2] for x in at], pa.int64())],
-                    names=names,
-                )
+                padded = [payload_of(t) for t in b[at].to_pylist()]
+                put = [shard.add(p) for p, _ in padded]
+                yield b, [pa.array([n for _, n in padded], pa.int64()), pa.array([x[0] for x in put], pa.string()), pa.array([shard.name] * len(put), pa.string()), pa.array([x[1] for x in put], pa.int64()), pa.array([x[2] for x in put], pa.int64())]
         if shard:
             shard.close()
 
-    schema = common.add_columns_schema(df.select(*[f"`{c}`" for c in kept]), "n_bytes bigint, digest string, shard string, offset bigint, length bigint")
-    return common.stage(df.mapInArrow(run, schema), "media-index")
-
-
-def _ranges(folder: str, batches: Iterator[pa.RecordBatch], size, fn, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """Range reads of ``size(length)`` bytes for each row; a task keeps one shard open and reads a range once in a batch."""
-    fs, root = _files(folder)
-    name, file = None, None
-    for whole in batches:
-        for i in range(0, whole.num_rows, 1000):
-            b = whole.slice(i, 1000)
-            done: dict[tuple, tuple] = {}
-            keys = list(zip(b["shard"].to_pylist(), b["offset"].to_pylist(), b["length"].to_pylist()))
-            for key in sorted(set(keys)):
-                if key[0] != name:
-                    if file:
-                        file.close()
-                    name, file = key[0], fs.open_input_file(f"{root}/{key[0]}")
-                done[key] = fn(file.read_at(size(key[2]), key[1]))
-            cols = [pa.array([done[k][j] for k in keys], kind) for j, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *names])
-    if file:
-        file.close()
+    done = common.add_columns(df, "n_bytes bigint, digest string, shard string, offset bigint, length bigint", run)
+    index = common.stage(done.drop(text_col), "media-index")
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    return index.repartition(max(1, -(-total // READ_BYTES)), "shard", F.floor(F.col("offset") / READ_BYTES))
 
 
-def metadata(index: DataFrame, folder: str) -> DataFrame:
-    """Adds width, height and bit_depth, from the members' first bytes alone."""
-    names = ["width", "height", "bit_depth"]
-    _taken(index, names)
+def _ranges(index: DataFrame, folder: str, new: str, size, fn) -> DataFrame:
+    """Adds what ``fn`` makes of a range read of ``size(length)`` bytes; a task keeps one shard open and reads a range once in a batch."""
+    kinds = [KINDS[f.dataType.simpleString()] for f in StructType.fromDDL(new).fields]
+    at = [common.place_of(index, c) for c in ("shard", "offset", "length")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _ranges(folder, batches, lambda n: min(n, HEADER_BYTES), read_header, names, [pa.int32()] * 3)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        fs, root = _files(folder)
+        name, file = None, None
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                b = whole.slice(i, 1000)
+                done: dict[tuple, tuple] = {}
+                keys = list(zip(*(b[k].to_pylist() for k in at)))
+                for key in sorted(set(keys)):
+                    if key[0] != name:
+                        if file:
+                            file.close()
+                        name, file = key[0], fs.open_input_file(f"{root}/{key[0]}")
+                    done[key] = fn(file.read_at(size(key[2]), key[1]))
+                yield b, [pa.array([done[k][j] for k in keys], kind) for j, kind in enumerate(kinds)]
+        if file:
+            file.close()
+
+    return common.add_columns(index, new, run)
 
-    return index.mapInArrow(run, common.add_columns_schema(index, "width int, height int, bit_depth int"))
+
+def metadata(index: DataFrame, folder: str) -> DataFrame:
+    """Adds width, height and bit_depth, from the members' first bytes alone."""
+    return _ranges(index, folder, "width int, height int, bit_depth int", lambda n: min(n, HEADER_BYTES), read_header)
 
 
 def _histogram(payload: bytes) -> str:
@@ -191,17 +193,12 @@ def _histogram(payload: bytes) -> str:
 
 def features(index: DataFrame, folder: str) -> DataFrame:
     """Adds payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature, from the stored bytes."""
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    _taken(index, names)
-
     def read(data: bytes) -> tuple:
         payload = from_png(data)
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), _histogram(payload)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _ranges(folder, batches, lambda n: n, read, names, [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])
-
-    return index.mapInArrow(run, common.add_columns_schema(index, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"))
+    new = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    return _ranges(index, folder, new, lambda n: n, read)
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:

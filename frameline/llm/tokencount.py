@@ -10,8 +10,9 @@ marker can only stand first.  A word that greedy matching cannot cover counts as
 one unknown token.
 
 Defined results: a null or white-space text has no words and no tokens; texts are
-counted whole; equal texts have equal counts; input columns are kept, and a new
-column whose name is taken raises ``ValueError``.
+counted whole; equal texts have equal counts, and repeated rows are counted one by
+one; an empty table gives an empty result; input columns are kept under any name, and
+a new column whose name is taken raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Distinct words whose lengths a task keeps at once.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 
 class LongestMatch:
@@ -95,9 +96,6 @@ class _Lengths(dict):
         return n
 
 
-_KEPT: dict[tuple, _Lengths] = {}
-
-
 def read_vocabulary(path: str) -> list[bytes]:
     """Pieces of a rank file: one base64 piece and its rank a line."""
     with open(path, "rb") as f:
@@ -106,25 +104,22 @@ def read_vocabulary(path: str) -> list[bytes]:
 
 def token_counts(df: DataFrame, pieces: list[bytes], marker: bytes = b" ", text_col: str = "text", words_col: str = "n_words", tokens_col: str = "n_tokens") -> DataFrame:
     """Adds the number of words and of greedy pieces of each whole text.  ``pieces`` is broadcast: a vocabulary, of fixed size."""
-    if clash := {c.lower() for c in df.columns} & {words_col.lower(), tokens_col.lower()}:
-        raise ValueError(f"column names taken: {sorted(clash)}")
     shared = df.sparkSession.sparkContext.broadcast((pieces, marker))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (len(shared.value[0]), hash(tuple(shared.value[0])), shared.value[1])
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = _Lengths(LongestMatch(*shared.value))
-        known = _KEPT[key]
-        for batch in batches:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            split = [(t or "").encode().split() for t in batch[text_col].to_pylist()]
-            words = pa.array(np.fromiter(map(len, split), np.int64, len(split)))
-            tokens = pa.array(np.fromiter((sum(map(known.__getitem__, s)) for s in split), np.int64, len(split)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, words, tokens], names=[*batch.schema.names, words_col, tokens_col])
-
-    return df.mapInArrow(run, common.add_columns_schema(df, f"`{words_col}` bigint, `{tokens_col}` bigint"))
+    key, at = common.uuid.uuid4().hex, common.place_of(df, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        known = common.kept(key, lambda: _Lengths(LongestMatch(*shared.value)))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                split = [(t or "").encode().split() for t in batch[at].to_pylist()]
+                words = pa.array(np.fromiter(map(len, split), np.int64, len(split)))
+                tokens = pa.array(np.fromiter((sum(map(known.__getitem__, s)) for s in split), np.int64, len(split)))
+                yield batch, [words, tokens]
+
+    return common.add_columns(df, f"`{words_col}` bigint, `{tokens_col}` bigint", run)
 
 
 def default_vocabulary() -> str:

@@ -110,7 +110,7 @@ def test_quality_of_odd_texts(spark):
 
 
 def test_quality_reads_long_words_to_their_end():
-    ask = lambda *texts: quality.features(list(texts), quality._Shapes())
+    ask = lambda *texts: quality.features(list(texts), quality._Slots())
     for head, ends in (("x" * 64, ("7", "?")), ("a1" * 4, ("B!", "%%"))):  # behind 64 characters, behind 8 runs
         f = ask(head, *(head + e for e in ends))
         assert not any(np.array_equal(f[i], f[j]) for i in range(3) for j in range(i))
