@@ -1,9 +1,11 @@
 """Sharding by proportional stratified interleaving, with DataFrame functions only.
 
 Rows are shuffled by a seeded hash inside each stratum (a source) and ranked; row r
-of a stratum of n rows stands at (r - 1/2) / n.  Sorted by that fractional rank, all
-strata are interleaved in proportion, so cutting the order into equal runs gives
-every shard the mixture of the whole.  Law: ``rows`` (counts at most one apart).
+of a stratum of n rows stands at (r - phase) / n, where the stratum's phase lies between
+0 and 1, by a hash of its name: many strata of one row thus spread over the whole order
+instead of meeting at its middle.  Sorted by that fractional rank, all strata are
+interleaved in proportion, so cutting the order into equal runs gives every shard the
+mixture of the whole.  Law: ``rows`` (counts at most one apart).
 
 No stratum is ever ranked in one task.  The hash's range is cut into ``cells``; a row's
 rank is the number of its stratum's rows in earlier cells plus its place in its own
@@ -12,8 +14,8 @@ by their definition.  Only the columns handed in are moved, and the ranked rows
 written once to the shared folder.
 
 Defined results: a null stratum is a stratum of its own; a null text has size 8; ties
-of the hash go to the smaller key, rows that are equal in stratum and key are
-interchangeable; an empty table gives an empty result; fewer rows than shards leave
+of the hash go to the smaller key, and rows that are equal in all columns are
+interchangeable (they share one cell); an empty table gives an empty result; fewer rows than shards leave
 shards empty; columns of the input are kept, and a new column whose name is taken
 raises ``ValueError``.
 """
@@ -44,7 +46,8 @@ def interleave(df: DataFrame, key: str, stratum: str, shards: int, seed: int = 4
     own = [F.col(f"`{c}`") for c in df.columns]
     name, mix, cell, n, at, rank, of, frac, place = (common.free_name(df, f"__{x}") for x in ("stratum", "mix", "cell", "n", "at", "rank", "of", "frac", "place"))
     text = F.col(f"`{stratum}`").cast("string")
-    mixed = F.xxhash64(F.lit(seed), F.col(f"`{key}`"))
+    # all columns, so that rows without a key, or of one key, spread too; maps have no hash
+    mixed = F.xxhash64(F.lit(seed), F.col(f"`{key}`"), *[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"])
     in_cell = F.pmod(F.shiftrightunsigned(mixed, 40), F.lit(cells)).cast("int")
     rows = df.select(*own, F.coalesce(F.concat(F.lit("="), text), F.lit("")).alias(name), mixed.alias(mix), in_cell.alias(cell))
 
@@ -52,7 +55,8 @@ def interleave(df: DataFrame, key: str, stratum: str, shards: int, seed: int = 4
     offsets = _before(counts, [name], cell, n, at).withColumn(of, F.sum(n).over(Window.partitionBy(name))).drop(n)
     inside = F.row_number().over(Window.partitionBy(name, cell).orderBy(mix, F.col(f"`{key}`")))
     ranked = rows.join(offsets, [name, cell]).withColumn(rank, F.col(at) + inside)
-    ranked = ranked.withColumn(frac, (F.col(rank) - 0.5) / F.col(of)).drop(cell, at, rank, of)
+    phase = (F.pmod(F.xxhash64(F.lit(seed), F.lit("phase"), F.col(name)), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    ranked = ranked.withColumn(frac, (F.col(rank) - phase) / F.col(of)).drop(cell, at, rank, of)
     # written once: the counts and the places below read the same ranks
     ranked = common.stage(ranked.withColumn(cell, F.floor(F.col(frac) * cells).cast("int")), "sharding-ranked")
 
