@@ -5,8 +5,8 @@ domains; nonnegative rates per document are then fitted so that the expected tok
 of each domain (rate x tokens x posterior, summed) meet the targets.
 
 Classifier: naive Bayes over binned shares of a document (capitals, signs, repeated
-words, line lengths) and, for each domain, the share of words from a lexicon that is
-learned from the labelled texts.  The labelled texts may be a bounded sample
+words) and, for each domain, the share of words from a lexicon that is learned from
+the labelled texts (``size`` words a domain).  The labelled texts may be a bounded sample
 (``sample_docs``, drawn by a hash of the id).
 
 Fit: least squares over the rates, to the end; of all rates that come equally near the
@@ -18,8 +18,9 @@ documents by Spark), and every round's sums are one aggregation to a few numbers
 Defined results: a null text is empty and has 0 tokens; domains without a target have
 target 0; without labelled rows all posteriors are equal; targets that cannot be met
 are met as nearly as rates of 0 or more allow; equal texts get equal posteriors and
-rates; texts without words count for no domain and keep rate 1; an empty table gives an empty result; columns of the input are kept, and a new
-column whose name is taken raises ``ValueError``.
+rates, and repeated rows are answered one by one; texts without words count for no
+domain and keep rate 1; an empty table gives an empty result; columns of the input are
+kept under any name, and a new column whose name is taken raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from . import common
 BINS = 8
 #: Shares below the first value are in bin 0, those from the second on in the last bin; between them bins are even on a log scale.
 LEAST, MOST = 0.0005, 0.5
+#: More combinations of bins than this are joined without a broadcast.
+BROADCAST_CELLS = 50_000
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SIGNS = "!#$%&*|<>{}[]=+~^@_\\/"
 #: What stands between words: white space and ASCII punctuation.
@@ -73,7 +76,7 @@ def feature_count(domains: int) -> int:
     return 3 + domains
 
 
-def learn_lexicons(labelled: DataFrame, domains: list[str], size: int = 20, least: float = 0.03) -> list[list[str]]:
+def learn_lexicons(labelled: DataFrame, domains: list[str], size: int = 100, least: float = 0.01) -> list[list[str]]:
     """For each domain the words most above their share of the other domains' documents, of those in ``least`` of its documents; ``size`` words a domain reach the driver."""
     words = labelled.select("domain", F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("w"))
     sums = words.groupBy("w").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(domains)])
@@ -194,28 +197,30 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: Mapping[str, float]
     return [float(v) for v in push]
 
 
-def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], text_col: str = "text", budget: float | None = None) -> DataFrame:
-    """Adds n_tokens, membership (posteriors in the order of the sorted domains) and rate to all rows.
+def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], text_col: str = "text", budget: float | None = None, new: tuple[str, str, str] = ("n_tokens", "membership", "rate"), keep_text: bool = True) -> DataFrame:
+    """Adds tokens, posteriors (in the order of the sorted domains) and rate, under the names ``new``, to all rows.
 
     ``labelled``: doc_id, text, domain.  ``budget``: tokens wanted in all (default: those there are).
+    Texts are cut into words once: bins and token counts are written to the shared folder
+    with the rows (without the text, if ``keep_text`` is false).
     """
-    new = ["n_tokens", "membership", "rate"]
-    if clash := {c.lower() for c in df.columns} & set(new):
-        raise ValueError(f"column names taken: {sorted(clash)}")
+    common.refuse(df, new)
     domains = sorted(targets)
     lexicons, table, priors = learn(labelled, domains)
     bins = [common.free_name(df, f"__b{k}") for k in range(feature_count(len(domains)))]
-    seen = shapes(df, text_col, lexicons, "n_tokens", bins)
+    seen = shapes(df, text_col, lexicons, new[0], bins)
+    seen = common.stage(seen if keep_text else seen.drop(text_col), "mixing-seen")
     p = [f"p{k}" for k in range(len(domains))]
     # one row for each combination of bins; all documents are in its sums
-    cells = seen.groupBy(*bins).agg(F.sum("n_tokens").alias("tokens"))
+    cells = seen.groupBy(*bins).agg(F.sum(f"`{new[0]}`").alias("tokens"))
     cells = common.stage(cells.select("*", *[x.alias(n) for n, x in zip(p, posteriors(bins, table, priors))]), "mixing-cells")
-    there = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
-    push = fit_rates(cells, domains, targets, float(budget if budget is not None else there))
+    size = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
+    push = fit_rates(cells, domains, targets, float(budget if budget is not None else size["t"]))
     rated = cells.withColumn("x", F.when(F.col("tokens") > 0, rate_of([F.col(x) for x in p], push)).otherwise(1.0))
-    # at most BINS ** features rows, in practice a few thousand
-    rated = F.broadcast(rated.select(*bins, F.array(*p).alias("membership"), F.col("x").alias("rate")))
-    return seen.join(rated, bins).select(*[F.col(f"`{c}`") for c in df.columns], *new)
+    rated = rated.select(*bins, F.array(*p).alias(new[1]), F.col("x").alias(new[2]))
+    if size["n"] <= BROADCAST_CELLS:
+        rated = F.broadcast(rated)
+    return seen.join(rated, bins).select(*[F.col(f"`{c}`") for c in seen.columns if c not in bins], *[F.col(f"`{c}`") for c in new[1:]])
 
 
 def copies(rate: Column, doc_id: Column, seed: int = 5) -> Column:
@@ -239,6 +244,6 @@ def labelled_documents(spark, sf_dir: str, docs: DataFrame | None = None) -> Dat
 
 def op7_mixing(spark, sf_dir: str, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = mix(docs, labelled_documents(spark, sf_dir), targets)
+    done = mix(docs, labelled_documents(spark, sf_dir), targets, keep_text=False)
     out = [F.round(F.col("membership")[k], 9).alias(f"p_{d}") for k, d in enumerate(sorted(targets))]
     return done.select("doc_id", "n_tokens", *out, F.round("rate", 9).alias("rate"), copies(F.col("rate"), F.col("doc_id")).alias("copies"))
