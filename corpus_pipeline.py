@@ -4,10 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 the columns of ``docs``.  `run` writes every stage to the shared folder and reads it
 again as the next one's input, so a lost executor costs no earlier stage.
 
-Defined results: documents without a letter (or text) leave at the first stage; rows
-of one doc_id leave as copies of each other at the third, where rows without an id,
-which no group can name, stay; the mixture may leave a document out or repeat it, as
-its rate says; an empty table gives an empty result.
+Defined results, for every stage: an empty table gives an empty result; columns of any
+name are kept, also those that a stage uses inside; texts are read whole.  Documents
+without a letter (or text) leave at the first stage, wordless ones score the labelled
+share at the second.  At the third, the smallest id of a group stays (ties: see
+`jaccard.one_of_each`), rows of one id with different texts are different documents and
+null ids come last.  The mixture may leave a document out or repeat it, as its rate
+says; repeated rows get the same number of copies.
 """
 
 from __future__ import annotations
@@ -26,31 +29,35 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a posterior of `LEAST_LANGUAGE_SCORE` or more; ties between languages go to the first by name."""
     langs, prob, pieces = langid.fitted(docs)
-    done = langid.predict(docs, langs, prob, pieces, lang_out="__lang", score_out="__lang_score")
-    return done.where((F.col("__lang") != "und") & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE)).drop("__lang", "__lang_score")
+    lang, score = common.free_name(docs, "__lang"), common.free_name(docs, "__lang_score")
+    done = langid.predict(docs, langs, prob, pieces, lang_out=lang, score_out=score)
+    return done.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).drop(lang, score)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = quality.score(docs, quality.fitted(spark, sf_dir, docs), score_col="__quality")
-    return done.where(F.col("__quality") >= LEAST_QUALITY).drop("__quality")
+    """Documents whose vote for label 1 is `LEAST_QUALITY` or more; a tie of neighbours goes to the smaller labelled id."""
+    score = common.free_name(docs, "__quality")
+    done = quality.score(docs, quality.fitted(spark, sf_dir, docs), score_col=score)
+    return done.where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.jaccard_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
-    first = common.stage(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "pipeline-first")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of near copies."""
+    return jaccard.one_of_each(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labelled = mixing.labelled_documents(spark, sf_dir, docs)
-    rated = mixing.mix(docs, labelled, mixing.TARGETS)
-    copies = mixing.copies(F.col("rate"), F.col("doc_id"))
-    return rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    """Each document as often as its rate says, so that domains meet their target shares of tokens."""
+    tokens, membership, rate, copy = (common.free_name(docs, f"__{x}") for x in ("tokens", "membership", "rate", "copy"))
+    rated = mixing.mix(docs, mixing.labelled_documents(spark, sf_dir, docs), mixing.TARGETS, new=(tokens, membership, rate))
+    copies = mixing.copies(F.col(rate), F.col("doc_id"))
+    return rated.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each whole text and the digests of ids and decoded text; repeated documents are encoded one by one."""
     done = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), bpe.default_tokenizer())
     return done.select(
         "doc_id",
