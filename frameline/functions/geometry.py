@@ -96,3 +96,85 @@ def cosine(a: Column, b: Column) -> Column:
 def euclidean(a: Column, b: Column) -> Column:
     square = F.zip_with(a, b, lambda p, q: (p.cast("double") - q) * (p.cast("double") - q))
     return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, v: s + v))
+
+
+def iou_of_corners(a: Box, b: Box) -> Column:
+    """Overlap of boxes that are never missing; a box with swapped corners counts by the size of its sides' product."""
+    w = F.least(a[2], b[2]) - F.greatest(a[0], b[0])
+    h = F.least(a[3], b[3]) - F.greatest(a[1], b[1])
+    sides = [F.abs((c[2] - c[0]) * (c[3] - c[1])) for c in (a, b)]
+    return F.when((w < 0) | (h < 0), 0.0).otherwise(w * h / (sides[0] + sides[1] - w * h))
+
+
+def detection_scale(width: Column, height: Column, short_side: int = 720) -> list[Column]:
+    """Width and height for detection, and the two factors back to the source; frames with a small short side stay as they are."""
+    short = F.least(width, height)
+    keep = F.lit(short_side <= 0) | (short <= short_side)
+    small = [F.when(keep, x).otherwise(F.greatest(F.lit(1), F.bround(x * (F.lit(float(short_side)) / short)).cast("int"))) for x in (width, height)]
+    return [*small, width / small[0], height / small[1]]
+
+
+def lowered_edge(b: Box, margin: Column, height: float) -> list[Column]:
+    """The box with its lower edge moved down by whole pixels, within the frame."""
+    return [b[0], b[1], b[2], F.least(b[3] + margin.cast("int"), F.lit(float(height)))]
+
+
+def margin(draw: Column, mean: float, spread: float, method: str = "uniform") -> Column:
+    """A margin of 0 or more from a draw: uniform (the draw is 0 to 1) or normal (a standard normal draw, cut at one spread)."""
+    if method not in ("uniform", "normal"):
+        raise ValueError(f"unknown margin method: {method}")
+    around = (draw * 2 - 1) if method == "uniform" else F.least(F.greatest(draw, F.lit(-1.0)), F.lit(1.0))
+    return F.greatest(F.lit(0.0), around * spread + mean)
+
+
+def cross_fade(over: Column, under: Column, alpha: Column) -> Column:
+    """alpha of ``over`` and the rest of ``under``; within a thousandth of 0 or 1 just one of them."""
+    return F.when(alpha >= 0.999, over).when(alpha <= 0.001, under).otherwise(over * alpha + under * (1 - alpha))
+
+
+def amplitude(db: Column) -> Column:
+    """The inverse of `decibel`."""
+    return F.pow(F.lit(10.0), db / 20)
+
+
+def normalised_level(db: Column, least_db: float = -100.0, most: float = 4.0, symmetric: bool = True) -> Column:
+    """Decibels from ``least_db`` to 0 on a scale of 0 (or -``most``) to ``most``, cut at both ends."""
+    share = (db - least_db) / -least_db
+    low = -most if symmetric else 0.0
+    return F.least(F.greatest(share * (most - low) + low, F.lit(low)), F.lit(most))
+
+
+def level_of(value: Column, least_db: float = -100.0, most: float = 4.0, symmetric: bool = True) -> Column:
+    """The inverse of `normalised_level`; values beyond the scale are cut first."""
+    low = -most if symmetric else 0.0
+    cut = F.least(F.greatest(value, F.lit(low)), F.lit(most))
+    return (cut - low) / (most - low) * -least_db + least_db
+
+
+def window_count(length: Column, size: int, shift: int) -> Column:
+    """Analysis windows over ``length`` samples padded by ``size - shift`` on both sides."""
+    steps = F.floor((length + 2 * (size - shift) - size) / shift)
+    return (steps + F.when(length % shift == 0, 1).otherwise(2)).cast("long")
+
+
+def window_padding(length: Column, size: int, shift: int) -> list[Column]:
+    """Samples to add left and right, so that the last window is full."""
+    pad = size - shift
+    return [F.lit(pad), (pad + (window_count(length, size, shift) - 1) * shift + size - (length + 2 * pad)).cast("long")]
+
+
+def tail_padding(length: Column, shift: int) -> Column:
+    """Samples to add on the right alone."""
+    return ((F.floor(length / shift) + 1) * shift - length).cast("long")
+
+
+def agreement_loss(cosine_: Column, same: Column) -> Column:
+    """Binary cross-entropy of a cosine, cut to 0..1, with the mark ``same`` (0 or 1); logarithms are cut at -100."""
+    d = F.least(F.greatest(cosine_, F.lit(0.0)), F.lit(1.0))
+    log = lambda x: F.when(x > 0, F.greatest(F.log(x), F.lit(-100.0))).otherwise(-100.0)
+    return -(same * log(d) + (1 - same) * log(1 - d))
+
+
+def exact_div(x: Column, y: Column) -> Column:
+    """x / y as a whole number; an error if y does not divide x."""
+    return F.when(x % y == 0, F.floor(x / y)).otherwise(F.raise_error(F.concat(x.cast("string"), F.lit(" is not a multiple of "), y.cast("string"))).cast("long"))

@@ -1,141 +1,222 @@
-"""Order-dependent box operators: suppression, tracking, shot numbering.  One group (a frame, a clip) at a time, in grouped Arrow or pandas tasks."""
+"""Order-dependent box operators: suppression, tracking, shot numbering, inverse filters.
+
+What can be folded over a bounded array is a built-in expression; trackers are grouped
+Python over numpy columns, a shot (where tracks end) or a clip at a time.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import iou
+
 BOX = ["x1", "y1", "x2", "y2"]
 
 
-def pair_iou(a: np.ndarray, b: np.ndarray, pixel: float = 0.0) -> np.ndarray:
-    """IoU of every box of ``a`` with every one of ``b``; ``pixel`` is added to sides (1 counts whole pixels)."""
+def pair_iou(a: np.ndarray, b: np.ndarray, pixel: float = 0.0, slack: float = 0.0) -> np.ndarray:
+    """IoU of every box of ``a`` with every one of ``b``; ``pixel`` is added to sides (1 counts whole pixels), ``slack`` to the union."""
     w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]) + pixel
     h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]) + pixel
     inter = np.maximum(w, 0) * np.maximum(h, 0)
     size = lambda x: np.maximum(x[:, 2] - x[:, 0] + pixel, 0) * np.maximum(x[:, 3] - x[:, 1] + pixel, 0)
     union = size(a)[:, None] + size(b)[None, :] - inter
-    return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
+    return np.where(union > 0, inter / np.where(union > 0, union + slack, 1), 0.0)
 
 
-def suppress(df: DataFrame, threshold: float, keys: list[str], score: str = "score", pixel: float = 1.0, tie: str = "det_id") -> DataFrame:
-    """Keeps boxes by falling score (ties: smaller ``tie``), leaving out those that overlap a kept one by more than ``threshold``."""
+def suppress(df: DataFrame, threshold: float, keys: list[str], score: str = "score", pixel: float = 1.0, slack: float = 0.0, tie: str = "det_id", frame: str = "frame_idx") -> DataFrame:
+    """Keeps boxes by falling score (ties: smaller ``tie``), leaving out those that overlap a kept one by more than ``threshold``.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([score, tie], ascending=[False, True], kind="stable")
-        b = g[BOX].to_numpy(float)
-        over, out, gone = pair_iou(b, b, pixel) > threshold, [], np.zeros(len(g), bool)
-        for i in range(len(g)):
-            if not gone[i]:
-                out.append(i)
-                gone |= over[i]
-        return g.iloc[out]
+    ``keys`` and ``frame`` name what a box may suppress in; one task takes all frames of a key.
+    """
 
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((g[tie].to_numpy(), -g[score].to_numpy(float), g[frame].to_numpy()))
+        box, at = g[BOX].to_numpy(float)[order], g[frame].to_numpy()[order]
+        keep = np.ones(len(g), bool)
+        for part in np.split(np.arange(len(g)), np.flatnonzero(np.diff(at)) + 1):
+            over = pair_iou(box[part], box[part], pixel, slack) > threshold
+            for i in range(len(part)):
+                if keep[part[i]]:
+                    keep[part[i + 1 :]] &= ~over[i, i + 1 :]
+        return g.iloc[order[keep]]
+
+    keys = [k for k in keys if k != frame]
     return df.groupBy(*keys).applyInPandas(run, df.schema)
 
 
 def track_one(df: DataFrame, least_iou: float = 0.15, most_diagonals: float = 1.5, width: float = 640, height: float = 480) -> DataFrame:
     """(clip_id, frame_idx, det_id) of one face followed through the frames: best IoU, else nearest centre, else lost and seeded anew at the next frame."""
+    middle = np.array([width, height]) / 2
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows, before = [], None
-        for frame, f in g.sort_values(["frame_idx", "det_id"]).groupby("frame_idx", sort=True):
-            b, pick = f[BOX].to_numpy(float), None
-            centre = (b[:, :2] + b[:, 2:]) / 2
-            if before is None:
-                away = np.hypot(centre[:, 0] - width / 2, centre[:, 1] - height / 2) / np.hypot(width / 2, height / 2)
-                pick = int(np.argmax((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) * np.maximum(0.2, 1 - away)))
+        order = np.lexsort((g["det_id"].to_numpy(), g["frame_idx"].to_numpy()))
+        box, frame = g[BOX].to_numpy(float)[order], g["frame_idx"].to_numpy()[order]
+        centre = (box[:, :2] + box[:, 2:]) / 2
+        seed = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1]) * np.maximum(0.2, 1 - np.hypot(*(centre - middle).T) / np.hypot(*middle))
+        picked, now = [], -1
+        for part in np.split(np.arange(len(box)), np.flatnonzero(np.diff(frame)) + 1):
+            if now < 0:
+                now = part[seed[part].argmax()]
             else:
-                near = pair_iou(before[None], b)[0]
-                if near.max() >= least_iou:
-                    pick = int(near.argmax())
-                else:
-                    d = np.hypot(*(centre - (before[:2] + before[2:]) / 2).T)
-                    if d.min() <= most_diagonals * max(1.0, np.hypot(before[2] - before[0], before[3] - before[1])):
-                        pick = int(d.argmin())
-            before = None if pick is None else b[pick]
-            if pick is not None:
-                rows.append((f["clip_id"].iat[0], frame, f["det_id"].iat[pick]))
-        return pd.DataFrame(rows, columns=["clip_id", "frame_idx", "det_id"])
+                near = pair_iou(box[now : now + 1], box[part])[0]
+                away = np.hypot(*(centre[part] - centre[now]).T)
+                reach = most_diagonals * max(1.0, np.hypot(*(box[now, 2:] - box[now, :2])))
+                now = part[near.argmax()] if near.max() >= least_iou else part[away.argmin()] if away.min() <= reach else -1
+            if now >= 0:
+                picked.append(order[now])
+        return g.iloc[picked][["clip_id", "frame_idx", "det_id"]]
 
     return df.groupBy("clip_id").applyInPandas(run, "clip_id bigint, frame_idx int, det_id int")
 
 
+class Faces:
+    """Live tracks of one shot, as arrays: names, boxes, frames of the last match."""
+
+    def __init__(self, least_iou: float, most_missed: int):
+        self.least_iou, self.most_missed, self.born = least_iou, most_missed, 0
+        self.name, self.box, self.seen = np.zeros(0, np.int64), np.zeros((0, 4)), np.zeros(0, np.int64)
+
+    def look(self, frame: int, found: np.ndarray) -> np.ndarray:
+        """Gives the boxes of a frame to tracks; the track of each box.  Pairs are made by falling IoU, of equal ones the later track and box first."""
+        near = pair_iou(self.box, found)
+        track, box = np.nonzero(near >= self.least_iou)
+        of_box, free = np.full(len(found), -1), np.ones(len(self.name), bool)
+        for k in np.lexsort((box, track, near[track, box]))[::-1]:
+            if free[track[k]] and of_box[box[k]] < 0:
+                of_box[box[k]], free[track[k]] = track[k], False
+        old = of_box >= 0
+        self.box[of_box[old]], self.seen[of_box[old]] = found[old], frame
+        fresh = np.flatnonzero(~old)
+        of_box[fresh] = len(self.name) + np.arange(len(fresh))
+        self.name = np.concatenate([self.name, self.born + np.arange(len(fresh))])
+        self.box = np.concatenate([self.box, found[fresh]])
+        self.seen = np.concatenate([self.seen, np.full(len(fresh), frame)])
+        self.born += len(fresh)
+        return self.name[of_box]
+
+    def drop(self, frame: int) -> None:
+        """Ends the tracks whose last match lies too far back."""
+        live = frame - self.seen <= self.most_missed
+        self.name, self.box, self.seen = self.name[live], self.box[live], self.seen[live]
+
+
+def followed(frame: np.ndarray, forced: np.ndarray, boxes: dict[int, np.ndarray], least_iou: float, most_missed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(frame, tracks, boxes) through the frames of one shot; boxes are looked for where ``forced`` says so and while nothing is tracked, held between."""
+    faces, none = Faces(least_iou, most_missed), np.zeros((0, 4))
+    for f, must in zip(frame.tolist(), forced.tolist()):
+        if must or not len(faces.name):
+            found = boxes.get(f, none)
+            names = faces.look(f, found)
+            faces.drop(f)
+        else:
+            faces.drop(f)
+            names, found = faces.name, faces.box
+        if len(names):
+            yield f, names, found.copy()
+
+
 def track_many(detections: DataFrame, frames: DataFrame, stride: int = 3, least_iou: float = 0.3, most_missed: int = 8) -> DataFrame:
-    """(clip_id, frame_idx, track_id, box) of all faces: one-to-one matches by falling IoU (ties: later track, later box).
+    """(clip_id, frame_idx, track_id, box) of all faces.
 
-    Boxes are detected every ``stride`` frames, at cuts, at both ends, and while nothing is
-    tracked; between, live tracks hold their boxes; a track ends ``most_missed`` frames after
-    its last match, and all end at a cut.
+    Boxes are detected every ``stride`` frames, at cuts, at both ends of the clip, and while
+    nothing is tracked; between, live tracks hold their boxes.  A track ends ``most_missed``
+    frames after its last match, and all end at a cut, so each shot is followed on its own
+    and the tracks are numbered through the clip afterwards.
     """
-    kind = "clip_id bigint, frame_idx int, track_id int, x1 double, y1 double, x2 double, y2 double"
-
-    def run(d: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        by_frame = {k: x.sort_values("det_id")[BOX].to_numpy(float) for k, x in d.groupby("frame_idx")} if len(d) else {}
-        f = f.sort_values("frame_idx")
-        live: list[list] = []  # track, box, last frame seen
-        rows, fresh, shot_before = [], 0, None
-        last = f["frame_idx"].iat[-1] if len(f) else None
-        for i, (frame, shot) in enumerate(zip(f["frame_idx"], f["shot_id"])):
-            cut = i > 0 and shot != shot_before
-            shot_before = shot
-            if cut:
-                live = []
-            if stride <= 1 or cut or i == 0 or frame == last or i % stride == 0 or not live:
-                b = by_frame.get(frame, np.zeros((0, 4)))
-                pairs = []
-                if live and len(b):
-                    near = pair_iou(np.array([t[1] for t in live]), b)
-                    pairs = sorted(((near[t, k], t, k) for t, k in zip(*np.nonzero(near >= least_iou))), reverse=True)
-                had_t, had_b = set(), set()
-                for _, t, k in pairs:
-                    if t not in had_t and k not in had_b:
-                        had_t.add(t)
-                        had_b.add(k)
-                        live[t][1:] = [b[k], frame]
-                        rows.append((frame, live[t][0], *b[k]))
-                for k in range(len(b)):
-                    if k not in had_b:
-                        live.append([fresh, b[k], frame])
-                        rows.append((frame, fresh, *b[k]))
-                        fresh += 1
-            else:
-                rows += [(frame, t[0], *t[1]) for t in live if frame - t[2] <= most_missed]
-            live = [t for t in live if frame - t[2] <= most_missed]
-        out = pd.DataFrame(rows, columns=["frame_idx", "track_id", *BOX])
-        out.insert(0, "clip_id", f["clip_id"].iat[0] if len(f) else None)
+    clip = Window.partitionBy("clip_id").orderBy("frame_idx")
+    rows = frames.select("clip_id", "frame_idx", "shot_id").withColumn("cut", F.coalesce(F.lag("shot_id").over(clip) != F.col("shot_id"), F.lit(True)))
+    forced = F.col("cut") | F.lead("frame_idx").over(clip).isNull() | ((F.row_number().over(clip) - 1) % max(stride, 1) == 0)
+    rows = rows.select("clip_id", "frame_idx", F.sum(F.col("cut").cast("int")).over(clip).alias("part"), forced.alias("forced"))
+    found = detections.select("clip_id", "frame_idx", "det_id", *BOX).join(rows.select("clip_id", "frame_idx", F.col("part").alias("of")), ["clip_id", "frame_idx"])
+
+    def run(key: tuple, d: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        d, f = d.sort_values(["frame_idx", "det_id"]), f.sort_values("frame_idx")
+        at, box = d["frame_idx"].to_numpy(), d[BOX].to_numpy(float)
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        boxes = {int(k[0]): b for k, b in zip(np.split(at, cuts), np.split(box, cuts)) if len(k)}
+        got = list(followed(f["frame_idx"].to_numpy(), f["forced"].to_numpy(), boxes, least_iou, most_missed))
+        out = pd.DataFrame(np.concatenate([b for *_, b in got]) if got else np.zeros((0, 4)), columns=BOX)
+        out.insert(0, "clip_id", key[0])
+        out.insert(1, "part", key[1])
+        out.insert(2, "frame_idx", np.repeat([g[0] for g in got], [len(g[1]) for g in got]))
+        out.insert(3, "track", np.concatenate([g[1] for g in got]) if got else np.zeros(0, int))
         return out
 
-    shots = frames.select("clip_id", "frame_idx", "shot_id")
-    return detections.groupBy("clip_id").cogroup(shots.groupBy("clip_id")).applyInPandas(run, kind)
+    kind = "clip_id bigint, part bigint, frame_idx int, track int, x1 double, y1 double, x2 double, y2 double"
+    shots = found.groupBy("clip_id", "of").cogroup(rows.groupBy("clip_id", "part")).applyInPandas(run, kind)
+    born = shots.groupBy("clip_id", "part").agg((F.max("track") + 1).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("clip_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = shots.join(born.select("clip_id", "part", earlier.alias("earlier")), ["clip_id", "part"])
+    return met.select("clip_id", "frame_idx", (F.col("track") + F.col("earlier")).cast("int").alias("track_id"), *BOX)
 
 
-def number_shots(df: DataFrame, cut: Column, least: int, out: str = "shot_no") -> DataFrame:
-    """Shot numbers from cut flags; a cut counts only ``least`` frames after the last one that counted (at first: frame 0)."""
+def cut_between(distance: Column, difference: Column, hard: float = 0.45, soft: float = 0.30, least_difference: float = 25.0) -> Column:
+    """Is there a cut before this frame?  A large distance alone, or a fair one with a large difference; a threshold of 0 or less turns the second off."""
+    both = (distance >= soft) & (difference >= least_difference) if soft > 0 and least_difference > 0 else F.lit(False)
+    return F.coalesce((distance >= hard) | both, F.lit(False))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("frame_idx")
-        now = at = 0
-        out = []
-        for i, c in zip(g["frame_idx"], g["cut"]):
-            if i > 0 and c and i - at >= least:
-                now, at = now + 1, i
-            out.append(now)
-        return pd.DataFrame({"clip_id": g["clip_id"], "frame_idx": g["frame_idx"], "n": out})
 
-    return df.select("clip_id", "frame_idx", F.coalesce(cut, F.lit(False)).alias("cut")).groupBy("clip_id").applyInPandas(run, "clip_id bigint, frame_idx int, n int").withColumnRenamed("n", out)
+def number_shots(df: DataFrame, cut: Column, least: int, out: str = "shot_no") -> DataFrame:
+    """Shot numbers from cut flags; a cut counts only ``least`` frames after the last one that counted (at first: frame 0).
 
+    Only the frames of a clip's cuts meet in one row; the numbers are a running count.
+    """
+    rows = df.select("clip_id", "frame_idx", F.coalesce(cut, F.lit(False)).alias("cut"))
+    cuts = rows.where("cut and frame_idx > 0").groupBy("clip_id").agg(F.array_sort(F.collect_list("frame_idx")).alias("at"))
+    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("kept"))
+    step = lambda s, f: F.when(f - s["last"] >= least, F.struct(f.alias("last"), F.array_append(s["kept"], f).alias("kept"))).otherwise(s)
+    kept = cuts.select("clip_id", F.explode(F.aggregate("at", start, step)["kept"]).alias("frame_idx"), F.lit(1).alias("new"))
+    w = Window.partitionBy("clip_id").orderBy("frame_idx")
+    number = F.sum(F.coalesce("new", F.lit(0))).over(w).cast("int")
+    return rows.join(kept, ["clip_id", "frame_idx"], "left").select("clip_id", "frame_idx", number.alias(out))
 
-def undo_pre_emphasis(df: DataFrame, value: str, k: float = 0.97, out: str = "restored") -> DataFrame:
-    """y[t] = x[t] + k * y[t - 1] over the frames of a clip."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g, y, rows = g.sort_values("frame_idx"), 0.0, []
-        for x in g["x"]:
-            y = x + k * y
-            rows.append(y)
-        return pd.DataFrame({"clip_id": g["clip_id"], "frame_idx": g["frame_idx"], "y": rows})
+def undo_pre_emphasis(df: DataFrame, value: str, k: float = 0.97, out: str = "restored", part: int = 64) -> DataFrame:
+    """y[t] = x[t] + k * y[t - 1] over the frames of a clip.
 
-    return df.select("clip_id", "frame_idx", F.col(value).alias("x")).groupBy("clip_id").applyInPandas(run, "clip_id bigint, frame_idx int, y double").withColumnRenamed("y", out)
+    Parts of ``part`` frames are summed from nothing by a window; what each hands on to the
+    next is folded over one number a part.
+    """
+    clip = Window.partitionBy("clip_id").orderBy("frame_idx")
+    rows = df.select("clip_id", "frame_idx", F.col(value).cast("double").alias("x")).withColumn("at", F.row_number().over(clip) - 1)
+    rows = rows.withColumns({"p": F.floor(F.col("at") / part).cast("int"), "i": (F.col("at") % part).cast("int")})
+    inside = Window.partitionBy("clip_id", "p").orderBy("i")
+    rows = rows.withColumn("own", F.sum(F.col("x") * F.pow(F.lit(k), -F.col("i"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(k), F.col("i")))
+    ends = rows.groupBy("clip_id", "p").agg(F.max_by("own", "i").alias("end"), (F.max("i") + 1).alias("n"))
+    ends = ends.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("p", "end", "n"))).alias("l"))
+    start = F.array(F.lit(0.0))
+    carried = F.aggregate("l", start, lambda s, e: F.array_append(s, e["end"] + F.pow(F.lit(k), e["n"]) * F.element_at(s, -1)))
+    carry = ends.select("clip_id", F.posexplode(carried).alias("p", "carry"))
+    met = rows.join(carry, ["clip_id", "p"])
+    return met.select("clip_id", "frame_idx", (F.col("own") + F.col("carry") * F.pow(F.lit(k), F.col("i") + 1)).alias(out))
+
+
+def reuse_plan(df: DataFrame, keys: list[str], stride: int = 3, least_iou: float = 0.35) -> DataFrame:
+    """Adds ``source``: the frame whose restored face each frame takes, itself or the last one restored.
+
+    Every ``stride``-th frame of a key's frames is restored, the last one too, and those whose
+    box or place is too far from the last restored one's.  As that starts anew at every
+    ``stride``-th frame, groups of ``stride`` frames are folded on their own.
+    """
+    most_gap = max(stride * 3, 6)
+    w = Window.partitionBy(*keys).orderBy("frame_idx")
+    rows = df.withColumns({"__j": F.row_number().over(w) - 1, "__last": F.lead("frame_idx").over(w).isNull()})
+    rows = rows.withColumn("__block", F.floor(F.col("__j") / max(stride, 1)))
+    gathered = rows.groupBy(*keys, "__block").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "__last", *BOX))).alias("l"))
+
+    def step(s: Column, f: Column) -> Column:
+        last = F.element_at(s, -1)
+        of = F.element_at(F.filter(s, lambda r: r["frame_idx"] == last["source"]), 1)
+        again = f["__last"] | (f["frame_idx"] - last["source"] > most_gap) | (iou([of[c] for c in BOX], [f[c] for c in BOX]) < least_iou)
+        source = F.when(again, f["frame_idx"]).otherwise(last["source"])
+        return F.array_append(s, F.struct(f["frame_idx"].alias("frame_idx"), *[f[c].alias(c) for c in BOX], source.alias("source")))
+
+    head = F.element_at("l", 1)
+    start = F.array(F.struct(head["frame_idx"].alias("frame_idx"), *[head[c].alias(c) for c in BOX], head["frame_idx"].alias("source")))
+    plan = gathered.select(*keys, F.explode(F.aggregate(F.slice("l", 2, max(stride, 1)), start, step)).alias("r"))
+    return df.join(plan.select(*keys, "r.frame_idx", "r.source"), [*keys, "frame_idx"])

@@ -1,6 +1,8 @@
 """Interval joins and cuts.  Segments: clip_id, pos, seg_start, seg_end; visual intervals: clip_id, speaker_id, t0, t1, in seconds, half-open.
 
-All joins are equi-joins on the clip with a range condition.
+Ranges meet in an equi-join on the clip and a bin of time, so that a clip costs what
+overlaps in it and not segments x intervals; a nearest interval is found by running
+extremes over the clip's times.
 """
 
 from __future__ import annotations
@@ -11,12 +13,28 @@ from pyspark.sql import functions as F
 from ..functions.geometry import interval_gap, interval_overlap
 
 NOBODY = -1
+#: Seconds of a bin; longer ranges stand in several bins.
+BIN = 4.0
+
+
+def meeting(left: DataFrame, right: DataFrame, a: Column | str, b: Column | str, t0: str, t1: str, touch: bool = False) -> DataFrame:
+    """Left rows with the right rows of their clip whose [t0, t1) overlaps [a, b); with ``touch``, also those that only meet."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    at = lambda c: F.floor(c / BIN)
+    bins = lambda lo, hi: F.explode(F.sequence(at(lo), F.greatest(at(lo), at(hi))))
+    rows = left.withColumns({"__a": a, "__b": b}).withColumn("__bin", bins(F.col("__a"), F.col("__b")))
+    other = right.withColumn("__bin", bins(F.col(t0), F.col(t1)))
+    met = rows.join(other, ["clip_id", "__bin"])
+    # a pair that shares several bins counts in the first of them
+    met = met.where(F.col("__bin") == F.greatest(at(F.col("__a")), at(F.col(t0))))
+    near = (F.col(t0) <= F.col("__b")) & (F.col(t1) >= F.col("__a")) if touch else (F.col(t0) < F.col("__b")) & (F.col(t1) > F.col("__a"))
+    return met.where(near).drop("__a", "__b", "__bin")
 
 
 def best_overlap(runs: DataFrame, segments: DataFrame, fps: float, share: float = 0.5) -> DataFrame:
     """Each run with the segment it overlaps most (the earlier of equals), if that covers ``share`` of the run."""
     t0, t1 = F.col("start_frame") / fps, (F.col("end_frame") + 1) / fps
-    met = runs.join(segments, "clip_id").where((F.col("seg_end") > F.col("seg_start")) & (F.col("seg_start") < t1) & (F.col("seg_end") > t0))
+    met = meeting(runs, segments.where("seg_end > seg_start"), t0, t1, "seg_start", "seg_end")
     met = met.withColumn("overlap", interval_overlap(t0, t1, F.col("seg_start"), F.col("seg_end"))).where("overlap > 0")
     w = Window.partitionBy("clip_id", "start_frame").orderBy(F.desc("overlap"), "seg_start", "pos")
     best = met.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
@@ -48,27 +66,52 @@ def positioned(intervals: DataFrame) -> DataFrame:
 
 
 def nearest(pieces: DataFrame, intervals: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
-    """(key, speaker_id, gap) of the interval with the smallest gap, then the closest middle, then the first."""
-    met = pieces.select("clip_id", *key, a, b).join(positioned(intervals), "clip_id")
-    met = met.withColumn("gap", interval_gap(F.col(a), F.col(b), F.col("t0"), F.col("t1")))
-    off = F.abs((F.col("t0") + F.col("t1")) * 0.5 - (F.col(a) + F.col(b)) * 0.5)
+    """(key, speaker_id, gap) of the interval with the smallest gap, then the closest middle, then the first.
+
+    Candidates of a piece are the intervals that meet it, the last one to end before it
+    and the first one to start after it.
+    """
+    own = pieces.select("clip_id", *key, F.col(a).alias("__pa"), F.col(b).alias("__pb"))
+    spans = positioned(intervals)
+    given = ["clip_id", "speaker_id", "t0", "t1", "ipos"]
+    met = meeting(own, spans, "__pa", "__pb", "t0", "t1", touch=True)
+    piece = F.struct(*key, "__pa", "__pb")
+    pieces_at = lambda c: own.select("clip_id", F.col(c).alias("__at"), F.lit(1).alias("__kind"), piece.alias("__p"))
+    spans_at = lambda c, order: spans.select("clip_id", F.col(c).alias("__at"), F.lit(0).alias("__kind"), F.struct(*order, "speaker_id", "t0", "t1", "ipos").alias("__s"))
+    sides = []
+    # of equal ends the shorter interval has the closer middle, so the later start; of equal starts the earlier end
+    for at, order, of, piece_end, first in (("t1", [F.col("t1").alias("o1"), F.col("t0").alias("o2"), (-F.col("ipos")).alias("o3")], F.max, "__pa", [F.asc("__at"), F.asc("__kind")]), ("t0", [F.col("t0").alias("o1"), F.col("t1").alias("o2"), F.col("ipos").alias("o3")], F.min, "__pb", [F.desc("__at"), F.asc("__kind")])):
+        w = Window.partitionBy("clip_id").orderBy(*first).rowsBetween(Window.unboundedPreceding, 0)
+        rows = spans_at(at, order).unionByName(pieces_at(piece_end), allowMissingColumns=True)
+        best = rows.withColumn("__best", of("__s").over(w)).where("__kind = 1 and __best is not null")
+        sides.append(best.select("clip_id", "__p.*", *[F.col(f"__best.{c}").alias(c) for c in given[1:]]))
+    met = met.select("clip_id", *key, "__pa", "__pb", *given[1:]).unionByName(sides[0]).unionByName(sides[1])
+    met = met.withColumn("gap", interval_gap(F.col("__pa"), F.col("__pb"), F.col("t0"), F.col("t1")))
+    off = F.abs((F.col("t0") + F.col("t1")) * 0.5 - (F.col("__pa") + F.col("__pb")) * 0.5)
     w = Window.partitionBy("clip_id", *key).orderBy("gap", off, "ipos")
     return met.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("clip_id", *key, "speaker_id", "gap")
 
 
 def overlapping(pieces: DataFrame, intervals: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     """(key, n_speakers, only) of the distinct speakers that overlap a piece; ``only`` is the smallest of them."""
-    met = pieces.select("clip_id", *key, a, b).join(intervals, "clip_id").where((F.col("t0") < F.col(b)) & (F.col("t1") > F.col(a)) & (F.least("t1", b) > F.greatest("t0", a)))
+    met = meeting(pieces.select("clip_id", *key, a, b), intervals, a, b, "t0", "t1").where(F.least("t1", b) > F.greatest("t0", a))
     return met.groupBy("clip_id", *key).agg(F.count_distinct("speaker_id").alias("n_speakers"), F.min("speaker_id").alias("only"))
 
 
+def speakers_of(pieces: DataFrame, intervals: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
+    """(key, speakers): the distinct speakers that overlap a piece, in the order in which the intervals first show them."""
+    met = meeting(pieces.select("clip_id", *key, a, b), positioned(intervals), a, b, "t0", "t1").where(F.least("t1", b) > F.greatest("t0", a))
+    first = met.groupBy("clip_id", *key, "speaker_id").agg(F.min("ipos").alias("ipos"))
+    return first.groupBy("clip_id", *key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ipos", "speaker_id"))), lambda s: s["speaker_id"]).alias("speakers"))
+
+
 def switch_points(segments: DataFrame, intervals: DataFrame) -> DataFrame:
     """(clip_id, pos, at): times inside a segment at which the speaker shown changes; silence is a speaker of its own."""
     ends = intervals.select("clip_id", F.explode(F.array("t0", "t1")).alias("at")).distinct()
     own = segments.select("clip_id", "pos", "seg_start", "seg_end")
-    inside = own.join(ends, "clip_id").where((F.col("at") > F.col("seg_start")) & (F.col("at") < F.col("seg_end"))).select("clip_id", "pos", "at")
+    inside = meeting(own, ends.withColumn("to", F.col("at")), "seg_start", "seg_end", "at", "to").select("clip_id", "pos", "at")
     times = inside.unionByName(own.select("clip_id", "pos", F.col("seg_start").alias("at"))).withColumn("probe", F.col("at") + 1e-6)
-    shown = times.join(positioned(intervals), "clip_id").where((F.col("t0") <= F.col("probe")) & (F.col("probe") < F.col("t1")))
+    shown = meeting(times, positioned(intervals), "probe", "probe", "t0", "t1", touch=True).where(F.col("probe") < F.col("t1"))
     w = Window.partitionBy("clip_id", "pos", "at").orderBy(F.desc(F.col("t1") - F.col("t0")), "ipos")
     shown = shown.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("clip_id", "pos", "at", "speaker_id")
     row = Window.partitionBy("clip_id", "pos").orderBy("at")
@@ -110,7 +153,7 @@ def segment_frames(segments: DataFrame, clips: DataFrame) -> DataFrame:
 
 def clip_to_windows(segments: DataFrame, windows: DataFrame) -> DataFrame:
     """Segments cut to the windows (clip_id, chunk_id, w0, w1) and counted from each window's start."""
-    met = segments.join(windows, "clip_id").where((F.col("seg_start") < F.col("w1")) & (F.col("seg_end") > F.col("w0")))
+    met = meeting(segments, windows, "seg_start", "seg_end", "w0", "w1")
     a, b = F.greatest("seg_start", "w0") - F.col("w0"), F.least("seg_end", "w1") - F.col("w0")
     return met.select("clip_id", "chunk_id", "pos", a.alias("seg_start"), b.alias("seg_end"), "gender").where("seg_end > seg_start")
 

@@ -10,11 +10,51 @@ def nearest_to(rows: DataFrame, anchors: DataFrame, group: str, id_col: str, dis
     """The ``k`` rows nearest to their group's anchor, without the anchor's rank 0; or the ``k`` farthest.
 
     ``anchors`` holds one row a group (``group``, ``anchor_id``, ``anchor``), so this is one pass over the rows.
+    The limit stands on the row number itself, so that every task keeps its own best before the shuffle.
     """
     met = rows.join(anchors, group).withColumn("dist", distance)
     w = Window.partitionBy(group).orderBy(F.desc("dist") if farthest else F.col("dist"), id_col)
-    ranked = met.withColumn("rank", F.row_number().over(w) - (0 if farthest else 1))
-    return ranked.where((F.col("rank") >= (1 if farthest else 1)) & (F.col("rank") <= k))
+    skip = 0 if farthest else 1
+    ranked = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + skip)
+    return ranked.withColumn("rank", F.col("rank") - skip).where("rank >= 1")
+
+
+#: What a reference frame is chosen by: columns and whether large values come first; the smallest pose is the frame itself.
+REFERENCES = {
+    "random": (),
+    "pose_similarity": (("pose", False),),
+    "pose_similarity_and_closed_mouth": (("pose", False), ("shut", False)),
+    "pose_similarity_and_mouth_dissimilarity": (("pose", False), ("mouth", True)),
+}
+
+
+def reference_frames(rows: DataFrame, method: str, share: float, keys: list[str], drive: str, at: str = "frame_idx", reach: int = 25, apart: int = 5) -> DataFrame:
+    """The frames that may serve as reference for the frame ``drive``: within the given share of the clip's frames by each of the method's columns, ``apart`` frames or more away; without a column, up to ``reach`` frames away."""
+    if method not in REFERENCES:
+        raise ValueError(f"unknown method: {method}")
+    away = F.abs(F.col(at) - F.col(drive))
+    if not REFERENCES[method]:
+        return rows.where((away <= reach) & (away >= apart))
+    most = F.floor(F.count("*").over(Window.partitionBy(*keys)) * share)
+    marks, fine = {"__most": most}, F.lit(True)
+    for column, falling in REFERENCES[method]:
+        w = Window.partitionBy(*keys).orderBy(F.desc(column) if falling else F.col(column), at)
+        skip = 1 if column == "pose" else 0
+        marks[f"__{column}"] = F.row_number().over(w) - skip
+        fine = fine & F.col(f"__{column}").between(1, F.col("__most"))
+    return rows.withColumns(marks).where(fine & (away >= apart)).drop(*marks)
+
+
+def eligible_clips(rows: DataFrame, points_col: str, width_col: str, least_frames: int, least_share: float, points: int, least_width: float, key: str = "clip_id") -> DataFrame:
+    """Clips with enough frames, landmarks of the right number on enough of them, and a first face that is wide enough."""
+    there = F.col(points_col).isNotNull()
+    seen = rows.groupBy(key).agg(
+        F.count("*").alias("n"),
+        F.count_if(there).alias("with_points"),
+        F.count_if(there & (F.size(points_col) != points)).alias("odd"),
+        F.min_by(width_col, F.when(there, F.col("frame_idx"))).alias("width"),
+    )
+    return seen.where((F.col("n") >= least_frames) & (F.col("with_points") >= least_share * F.col("n")) & (F.col("odd") == 0) & (F.col("width") >= least_width))
 
 
 def newest(df: DataFrame, keys: list[str], step: str, keep: int) -> DataFrame:
@@ -83,3 +123,24 @@ def beam_step(beams: DataFrame, key: str, beam: str, total: str, log_probs: str,
     unfinished = F.sum((F.col("token") != end_token).cast("int")).over(all_beams.rowsBetween(Window.unboundedPreceding, -1))
     taken = offers.withColumn("before", F.coalesce(unfinished, F.lit(0))).where(F.col("before") < size)
     return taken.select(key, beam, "token", "score", (F.col("token") == end_token).alias("finished"))
+
+
+def ordered_values(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """One array of ``value`` a key, in the given order; a key's values must fit in a row."""
+    gathered = F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
+    return df.groupBy(*keys).agg(F.transform(gathered, lambda s: s["__v"]).alias(value))
+
+
+def score_at(scores: Column, frame: Column, fps: float, score_fps: float) -> Column:
+    """The score of a frame: the nearest one in time, the last one beyond the end; at equal rates its own, and minus infinity beyond the end.  Without scores minus infinity."""
+    if abs(fps - score_fps) < 1e-6:
+        at = frame
+    else:
+        at = F.least(F.greatest(F.bround(frame * score_fps / fps).cast("int"), F.lit(0)), F.size(scores) - 1)
+    return F.coalesce(F.when(F.size(scores) > 0, F.try_element_at(scores, (at + 1).cast("int"))), F.lit(float("-inf")))
+
+
+def mean_of_passes(df: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Mean of a key's scores to one decimal, half to even; nulls do not count, and a key with nothing else gets minus infinity."""
+    finite = F.when(~F.isnan(score) & (F.abs(score) < float("inf")), F.col(score))
+    return df.groupBy(*keys).agg(F.coalesce(F.bround(F.avg(finite) * 10) / 10, F.lit(float("-inf"))).alias(score))

@@ -93,21 +93,38 @@ def fill(df: DataFrame, columns: list[str], keys=("clip_id",)) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.last(c, True).over(past), F.first(c, True).over(ahead)) for c in columns})
 
 
-def interpolate_boxes(df: DataFrame, key_frame: Column, least_iou: float = 0.15, rounded: bool = True, keys=("clip_id",)) -> DataFrame:
-    """Boxes between key frames: linear, but the nearer key's where the keys' boxes overlap less than ``least_iou`` or one has none."""
+def _between_keys(df: DataFrame, key_frame: Column, columns: list[str], keys) -> tuple[DataFrame, Column, Column]:
+    """``df`` with the key frames before and after each row, as structs of frame number ``i`` and ``columns``."""
     w = Window.partitionBy(*keys).orderBy("frame_idx")
-    mark = F.when(key_frame, F.struct(F.col("frame_idx").alias("i"), *BOX))
-    rows = df.withColumn("__k", mark)
+    rows = df.withColumn("__k", F.when(key_frame, F.struct(F.col("frame_idx").alias("i"), *columns)))
     rows = rows.withColumn("__a", F.last("__k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first("__k", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    a, b = F.coalesce("__a", "__b"), F.coalesce("__b", "__a")
+    return rows.drop("__k"), F.coalesce("__a", "__b"), F.coalesce("__b", "__a")
+
+
+def interpolate_boxes(df: DataFrame, key_frame: Column, least_iou: float = 0.15, keys=("clip_id",)) -> DataFrame:
+    """Boxes between key frames, rounded: linear, but the nearer key's where the keys' boxes overlap less than ``least_iou`` or one has none."""
+    rows, a, b = _between_keys(df, key_frame, list(BOX), keys)
     t = F.when(b["i"] > a["i"], (F.col("frame_idx") - a["i"]) / (b["i"] - a["i"])).otherwise(0.0)
     blend = a["x1"].isNotNull() & b["x1"].isNotNull() & (iou([a[c] for c in BOX], [b[c] for c in BOX]) >= least_iou)
+    out = {f"__{c}": F.when(blend, F.bround(a[c] + (b[c] - a[c]) * t)).when(t < 0.5, a[c]).otherwise(b[c]) for c in BOX}
+    return rows.withColumns(out).drop(*BOX, "__a", "__b").withColumnsRenamed({f"__{c}": c for c in BOX})
 
-    def at(c: str) -> Column:
-        line = a[c] + (b[c] - a[c]) * t
-        return F.when(blend, F.bround(line) if rounded else line).when(t < 0.5, a[c]).otherwise(b[c])
 
-    return rows.withColumns({f"__{c}": at(c) for c in BOX}).drop(*BOX, "__k", "__a", "__b").withColumnsRenamed({f"__{c}": c for c in BOX})
+def interpolate_mouths(df: DataFrame, key_frame: Column, mouth: str = "m", least_iou: float = 0.15, keys=("clip_id",)) -> DataFrame:
+    """Mouth boxes (``mouth`` before the names of the box) between the key frames that have one, linear and not rounded.
+
+    Where the keys' *face* boxes overlap less than ``least_iou``, the mouth steps: the earlier
+    key's up to and with the whole middle frame, then the later one's.  A missing face does
+    not step.  Outside the keys the nearest key's box stands.
+    """
+    own = [f"{mouth}{c}" for c in BOX]
+    rows, a, b = _between_keys(df, key_frame & F.col(own[0]).isNotNull(), [*own, *BOX], keys)
+    span = b["i"] - a["i"]
+    apart = F.coalesce(a["x1"].isNotNull() & b["x1"].isNotNull() & (iou([a[c] for c in BOX], [b[c] for c in BOX]) < least_iou), F.lit(False))
+    t = F.when(span > 0, (F.col("frame_idx") - a["i"]) / span).otherwise(0.0)
+    early = F.col("frame_idx") <= a["i"] + F.floor(span / 2)
+    out = {f"__{c}": F.when(F.col("frame_idx") == b["i"], b[c]).when(apart, F.when(early, a[c]).otherwise(b[c])).otherwise(a[c] + (b[c] - a[c]) * t) for c in own}
+    return rows.withColumns(out).drop(*own, "__a", "__b").withColumnsRenamed({f"__{c}": c for c in own})
 
 
 def ramp(df: DataFrame, flag: Column, frames: int = 5, keys=("clip_id",), out: str = "alpha") -> DataFrame:

@@ -1 +1,3 @@
+"""Queries by area; importing the package fills the registry."""
 
+from . import audio, landmarks, more, registry  # noqa: F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import intervals, sampling, scores, windows
 from ..sources import timeline as T
-from .registry import iou_sql, mask, query, shot_runs, six
+from .registry import SPLIT_SQL, iou_sql, mask, query, shot_runs, six
 
 LOGITS_SQL = "[open_prob, k / 50.0::DOUBLE, 0.5::DOUBLE]"
 
@@ -46,8 +46,9 @@ def agg_8(spark, sf_dir):
 
 @query("agg_10_tallies", "SELECT clip_id, count(*) FILTER (gender = 'male') AS male, count(*) FILTER (gender = 'female') AS female, count(*) FILTER (gender IS NULL) AS unclear, array_to_string(list(pos ORDER BY pos)[1:8], ',') AS preview FROM sv_segments GROUP BY 1")
 def agg_10(spark, sf_dir):
-    first = F.slice(F.sort_array(F.collect_list("pos")), 1, 8)
-    return T.segments(spark, sf_dir).groupBy("clip_id").agg(F.count_if(F.col("gender") == "male").alias("male"), F.count_if(F.col("gender") == "female").alias("female"), F.count_if(F.col("gender").isNull()).alias("unclear"), F.array_join(F.transform(first, lambda x: x.cast("string")), ",").alias("preview"))
+    rows = T.segments(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("clip_id").orderBy("pos")))
+    first = F.sort_array(F.collect_list(F.when(F.col("rn") <= 8, F.col("pos"))))
+    return rows.groupBy("clip_id").agg(F.count_if(F.col("gender") == "male").alias("male"), F.count_if(F.col("gender") == "female").alias("female"), F.count_if(F.col("gender").isNull()).alias("unclear"), F.array_join(F.transform(first, lambda x: x.cast("string")), ",").alias("preview"))
 
 
 @query("prj_8_crop_square", "SELECT clip_id, frame_idx, floor((x1 + x2) / 2) - floor(floor(greatest(x2 - x1, y2 - y1) / 2) * 1.2::DOUBLE) AS x1, floor((y1 + y2) / 2) + floor(floor(greatest(x2 - x1, y2 - y1) / 2) * 1.2::DOUBLE) AS y2 FROM sv_frames WHERE valid_face")
@@ -101,18 +102,30 @@ def prj_31(spark, sf_dir):
     return rows.join(anchor, "label").select("vec_id", F.round(G.cosine(F.col("embedding"), F.col("anchor")), 5).alias("cosine"))
 
 
-@query("prj_30_sinusoid", "SELECT DISTINCT frame_idx, round(sin(frame_idx), 6) AS s0, round(cos(frame_idx / 10000.0::DOUBLE), 6) AS c3 FROM sv_base WHERE frame_idx < 20")
+@query("prj_30_sinusoid", "SELECT DISTINCT frame_idx, round(sin(frame_idx), 6) AS s0, round(cos(frame_idx / 10000.0::DOUBLE), 6) AS c3  FROM sv_base")
 def prj_30(spark, sf_dir):
-    rows = T.base(spark, sf_dir).where("frame_idx < 20").select("frame_idx").distinct()
+    rows = T.base(spark, sf_dir).select("frame_idx").distinct()
     code = scores.sinusoid(F.col("frame_idx"), 8)
     return rows.select("frame_idx", F.round(code[0], 6).alias("s0"), F.round(code[7], 6).alias("c3"))
 
 
-@query("flt_5_primary_match", f"SELECT a.clip_id, a.frame_idx, b.track_id, CASE WHEN {iou_sql('a', 'b')} >= 0.4 THEN 'kept' ELSE 'other face' END AS reason FROM sv_tracks a JOIN sv_tracks b ON a.clip_id = b.clip_id AND a.frame_idx = b.frame_idx WHERE a.track_id = 0")
+FIRST_FACE = "max(CASE WHEN track_id = 0 THEN {0} END) OVER (PARTITION BY clip_id, frame_idx)"
+
+
+@query(
+    "flt_5_primary_match",
+    f""", t AS (SELECT clip_id, frame_idx, track_id, x1, y1, x2, y2, {FIRST_FACE.format("x1")} AS ox1, {FIRST_FACE.format("y1")} AS oy1, {FIRST_FACE.format("x2")} AS ox2, {FIRST_FACE.format("y2")} AS oy2 FROM sv_tracks),
+    i AS (SELECT *, greatest(0, least(x2, ox2) - greatest(x1, ox1)) * greatest(0, least(y2, oy2) - greatest(y1, oy1)) AS inter FROM t)
+    SELECT clip_id, frame_idx, track_id, CASE WHEN inter / ((x2 - x1) * (y2 - y1) + (ox2 - ox1) * (oy2 - oy1) - inter) >= 0.4 THEN 'kept' ELSE 'other face' END AS reason FROM i
+    UNION ALL SELECT clip_id, frame_idx, NULL, 'no face' FROM sv_frames WHERE NOT valid_face""",
+)
 def flt_5(spark, sf_dir):
-    rows = T.tracks(spark, sf_dir)
-    first = rows.where("track_id = 0").select("clip_id", "frame_idx", *[F.col(c).alias(f"o{c}") for c in windows.BOX])
-    return rows.join(first, ["clip_id", "frame_idx"]).select("clip_id", "frame_idx", "track_id", F.when(G.iou(G.box("o"), G.box()) >= 0.4, "kept").otherwise("other face").alias("reason"))
+    """Detections by what becomes of them: kept, another face than the primary one, or no face in the frame."""
+    rows = T.tracks(spark, sf_dir).join(T.frames(spark, sf_dir).select("clip_id", "frame_idx"), ["clip_id", "frame_idx"], "right")
+    first = Window.partitionBy("clip_id", "frame_idx")
+    rows = rows.withColumns({f"o{c}": F.max(F.when(F.col("track_id") == 0, F.col(c))).over(first) for c in windows.BOX})
+    reason = F.when(F.col("track_id").isNull(), "no face").when(G.iou(G.box("o"), G.box()) >= 0.4, "kept").otherwise("other face")
+    return rows.select("clip_id", "frame_idx", "track_id", reason.alias("reason"))
 
 
 @query("flt_7_eligible_clips", "SELECT clip_id FROM sv_frames GROUP BY 1 HAVING count(*) >= 50 AND count(*) FILTER (valid_face) >= 0.75::DOUBLE * count(*) AND max(frame_idx) + 1 = count(*)")
@@ -166,7 +179,7 @@ def rsm_2(spark, sf_dir):
     return rows.withColumn("src", (F.floor(F.col("frame_idx") / 3) * 3).cast("int")).join(kept, ["clip_id", "src"]).select("clip_id", "frame_idx", "score")
 
 
-@query("rsm_3_pad_or_trim", "SELECT clip_id, array_to_string([CASE WHEN i <= len(l) THEN l[i] ELSE 0 END FOR i IN range(1, 31)], ',') AS ks FROM (SELECT clip_id, list(k ORDER BY frame_idx) AS l FROM sv_base WHERE frame_idx < 40 GROUP BY 1)")
+@query("rsm_3_pad_or_trim", "SELECT clip_id, array_to_string([CASE WHEN i <= len(l) THEN l[i] ELSE 0 END FOR i IN range(1, 31)], ',') AS ks FROM (SELECT clip_id, list(k ORDER BY frame_idx) AS l FROM sv_base GROUP BY 1)")
 def rsm_3(spark, sf_dir):
     own = Window.partitionBy("clip_id").orderBy("frame_idx")
     first = T.base(spark, sf_dir).withColumn("rn", F.row_number().over(own)).where("rn <= 30")  # what the trim keeps, whatever the frames' numbers
@@ -207,18 +220,28 @@ def src_10(spark, sf_dir):
     return T.table(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract("url", r"(\d+)", 1), F.lit("")).cast("bigint").alias("number"))
 
 
-@query("int_5_assigned_mask", None)
+@query("int_5_assigned_mask", SPLIT_SQL + ", own AS (SELECT * FROM assigned WHERE speaker_id = 1) SELECT DISTINCT f.clip_id, f.frame_idx FROM sv_frames f JOIN own p ON p.clip_id = f.clip_id JOIN sv_clips c ON c.clip_id = f.clip_id WHERE f.frame_idx >= greatest(0, trunc(t_start * fps)) AND f.frame_idx < least(n_frames, round_even(t_end * fps, 0))")
 def int_5(spark, sf_dir):
     """Frames of the pieces given to speaker 1."""
     pieces = intervals.assign_split(T.segments(spark, sf_dir), T.intervals(spark, sf_dir)).where("speaker_id = 1")
     return intervals.segment_frames(pieces.select("clip_id", F.col("t_start").alias("seg_start"), F.col("t_end").alias("seg_end")), T.clips(spark, sf_dir))
 
 
-@query("win_10_interpolate_mouth", None)
+@query(
+    "win_10_interpolate_mouth",
+    f""", f AS (SELECT *, CASE WHEN valid_face THEN x1 + 10 END AS mx1, CASE WHEN valid_face THEN y1 + 25 END AS my1, CASE WHEN valid_face THEN x2 - 10 END AS mx2, CASE WHEN valid_face THEN y2 END AS my2 FROM sv_frames),
+    keys AS (SELECT * FROM f WHERE frame_idx % 5 = 0 AND mx1 IS NOT NULL),
+    near AS (SELECT f.clip_id, f.frame_idx, (SELECT max(k.frame_idx) FROM keys k WHERE k.clip_id = f.clip_id AND k.frame_idx <= f.frame_idx) AS p, (SELECT min(k.frame_idx) FROM keys k WHERE k.clip_id = f.clip_id AND k.frame_idx >= f.frame_idx) AS q FROM f),
+    ends AS (SELECT n.clip_id, n.frame_idx, coalesce(p, q) AS p, coalesce(q, p) AS q FROM near n),
+    m AS (SELECT e.clip_id, e.frame_idx, p, q, {iou_sql("a", "b")} < 0.15 AS apart, e.frame_idx <= p + (q - p) // 2 AS early, CASE WHEN q > p THEN (e.frame_idx - p)::DOUBLE / (q - p) ELSE 0 END AS t, a.mx1 AS ax1, a.my1 AS ay1, a.mx2 AS ax2, a.my2 AS ay2, b.mx1 AS bx1, b.my1 AS by1, b.mx2 AS bx2, b.my2 AS by2
+      FROM ends e LEFT JOIN keys a ON a.clip_id = e.clip_id AND a.frame_idx = e.p LEFT JOIN keys b ON b.clip_id = e.clip_id AND b.frame_idx = e.q)
+    SELECT clip_id, frame_idx, {", ".join(f"round(CASE WHEN apart AND q > p THEN CASE WHEN early THEN a{c} ELSE b{c} END ELSE a{c} + (b{c} - a{c}) * t END, 6) AS m{c}" for c in windows.BOX)} FROM m""",
+)
 def win_10(spark, sf_dir):
-    """As face boxes, but not rounded."""
-    rows = T.frames(spark, sf_dir).withColumns({"x1": F.col("x1") + 10, "x2": F.col("x2") - 10, "y1": F.col("y1") + 25})
-    return windows.interpolate_boxes(rows, F.col("frame_idx") % 5 == 0, rounded=False).select("clip_id", "frame_idx", *six(*windows.BOX))
+    """Mouth boxes between every fifth frame that has one."""
+    face = F.col("valid_face")
+    rows = T.frames(spark, sf_dir).withColumns({"mx1": F.when(face, F.col("x1") + 10), "my1": F.when(face, F.col("y1") + 25), "mx2": F.when(face, F.col("x2") - 10), "my2": F.when(face, F.col("y2"))})
+    return windows.interpolate_mouths(rows, F.col("frame_idx") % 5 == 0).select("clip_id", "frame_idx", *six("mx1", "my1", "mx2", "my2"))
 
 
 @query("agg_5_run_votes", "SELECT clip_id, shot_id, count(*) AS n_runs, max(n_frames) AS longest, CAST(sum(n_frames) AS BIGINT) AS frames FROM runs GROUP BY 1, 2")
@@ -230,13 +253,13 @@ def agg_5(spark, sf_dir):
 
 @query(
     "top_7_beam_step",
-    f""", o AS (SELECT clip_id, frame_idx AS beam, ln(open_prob + 0.01::DOUBLE) AS total, CAST(i AS INTEGER) AS token, list_extract({LOGITS_SQL}, i + 1) AS lp FROM (SELECT *, unnest(range(0, 3)) AS i FROM sv_base WHERE frame_idx < 4)),
+    f""", o AS (SELECT clip_id, frame_idx AS beam, ln(open_prob + 0.01::DOUBLE) AS total, CAST(i AS INTEGER) AS token, list_extract({LOGITS_SQL}, i + 1) AS lp FROM (SELECT *, unnest(range(0, 3)) AS i FROM sv_base)),
     p AS (SELECT *, round(total + lp, 9) AS score FROM o QUALIFY row_number() OVER (PARTITION BY clip_id, beam ORDER BY lp DESC, token) <= 3),
     r AS (SELECT *, coalesce(sum(CASE WHEN token <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY score DESC, beam, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM p)
     SELECT clip_id, beam, token, round(score, 6) AS score, token = 1 AS finished FROM r WHERE before_ < 2""",
 )
 def top_7(spark, sf_dir):
-    rows = T.base(spark, sf_dir).where("frame_idx < 4")
+    rows = T.base(spark, sf_dir)
     beams = rows.select("clip_id", F.col("frame_idx").alias("beam"), F.log(F.col("open_prob") + 0.01).alias("total"), logits().alias("lps"))
     return sampling.beam_step(beams, "clip_id", "beam", "total", "lps", 2, 1).select("clip_id", "beam", "token", *six("score"), "finished")
 

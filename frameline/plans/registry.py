@@ -230,8 +230,7 @@ def int_7(spark, sf_dir):
     return intervals.switch_points(T.segments(spark, sf_dir), T.intervals(spark, sf_dir)).select("clip_id", "pos", *six("at"))
 
 
-@query(
-    "int_8_assign_split",
+SPLIT_SQL = (
     SWITCH
     + """, n AS (SELECT clip_id, pos, count(DISTINCT speaker_id) AS n FROM sv_segments JOIN sv_intervals USING (clip_id) WHERE least(t1, seg_end) > greatest(t0, seg_start) GROUP BY 1, 2),
 cuts AS (SELECT DISTINCT clip_id, pos, round(c, 6) AS c FROM (
@@ -243,10 +242,13 @@ p AS (SELECT * FROM pieces WHERE b - a >= 1e-4),
 ov AS (SELECT clip_id, pos, a, count(DISTINCT speaker_id) AS n, min(speaker_id) AS only_ FROM p JOIN sv_intervals USING (clip_id) WHERE least(t1, b) > greatest(t0, a) GROUP BY 1, 2, 3),
 near AS (SELECT clip_id, pos, a, speaker_id, greatest(0.0::DOUBLE, t0 - b, a - t1) AS gap FROM p JOIN sv_pos USING (clip_id) """
     + NEAR.format(key="clip_id, pos, a", a="a", b="b")
-    + """)
-SELECT clip_id, pos, round(a, 6) AS t_start, round(b, 6) AS t_end, CASE WHEN ov.n = 1 THEN only_ WHEN gap <= 0.5 THEN near.speaker_id ELSE -1 END AS speaker_id
-FROM p LEFT JOIN ov USING (clip_id, pos, a) LEFT JOIN near USING (clip_id, pos, a)""",
+    + """),
+assigned AS (SELECT clip_id, pos, a AS t_start, b AS t_end, CASE WHEN ov.n = 1 THEN only_ WHEN gap <= 0.5 THEN near.speaker_id ELSE -1 END AS speaker_id FROM p LEFT JOIN ov USING (clip_id, pos, a) LEFT JOIN near USING (clip_id, pos, a))
+"""
 )
+
+
+@query("int_8_assign_split", SPLIT_SQL + "SELECT clip_id, pos, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, speaker_id FROM assigned")
 def int_8(spark, sf_dir):
     return intervals.assign_split(T.segments(spark, sf_dir), T.intervals(spark, sf_dir)).select("clip_id", "pos", *six("t_start", "t_end"), "speaker_id")
 
@@ -743,14 +745,33 @@ def detections(spark, sf_dir):
     return rows.select("clip_id", "frame_idx", F.col("track_id").alias("det_id"), *windows.BOX, (F.col("open_prob") * (F.col("track_id") + 1)).alias("score"))
 
 
-@query("top_10_suppress")
+def suppressed_sql(threshold: float, pixel: int, slack: str, least_before: float = 0.0) -> str:
+    """The boxes that are kept of at most three a frame."""
+    w, h = f"greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + {pixel})", f"greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + {pixel})"
+    size = f"({{0}}.x2 - {{0}}.x1 + {pixel}) * ({{0}}.y2 - {{0}}.y1 + {pixel})"
+    over = f"{w} * {h} / ({size.format('a')} + {size.format('b')} - {w} * {h} + {slack})"
+    return f""", det AS (SELECT clip_id, frame_idx, track_id AS det_id, x1, y1, x2, y2, open_prob * (track_id + 1) AS score FROM sv_tracks WHERE open_prob * (track_id + 1) >= {least_before}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY clip_id, frame_idx ORDER BY score DESC, det_id) AS rn FROM det),
+    o AS (SELECT a.clip_id, a.frame_idx, bool_or({over} > {threshold}) FILTER (a.rn = 1 AND b.rn = 2) AS o12, bool_or({over} > {threshold}) FILTER (a.rn = 1 AND b.rn = 3) AS o13, bool_or({over} > {threshold}) FILTER (a.rn = 2 AND b.rn = 3) AS o23
+      FROM r a JOIN r b ON a.clip_id = b.clip_id AND a.frame_idx = b.frame_idx AND a.rn < b.rn GROUP BY 1, 2),
+    kept AS (SELECT r.* FROM r LEFT JOIN o USING (clip_id, frame_idx) WHERE rn = 1 OR (rn = 2 AND NOT o12) OR (rn = 3 AND NOT o13 AND NOT (o23 AND NOT o12)))
+    SELECT clip_id, frame_idx, det_id, x1, y1, x2, y2, score FROM kept"""
+
+
+@query("top_10_suppress", suppressed_sql(0.4, 1, "1e-6"))
 def top_10(spark, sf_dir):
-    return boxes.suppress(detections(spark, sf_dir), 0.4, ["clip_id", "frame_idx"])
+    return boxes.suppress(detections(spark, sf_dir), 0.4, ["clip_id"], slack=1e-6)
+
 
+@query("flt_3_confident_before_suppression", suppressed_sql(0.4, 1, "1e-6", 0.6))
+def flt_3(spark, sf_dir):
+    """Boxes that are sure enough go into the suppression; the others neither stay nor suppress."""
+    return boxes.suppress(detections(spark, sf_dir).where("score >= 0.6D"), 0.4, ["clip_id"], slack=1e-6)
 
-@query("top_11_suppress_plain")
+
+@query("top_11_suppress_plain", suppressed_sql(0.3, 0, "0") + " WHERE score > 0.5")
 def top_11(spark, sf_dir):
-    return boxes.suppress(detections(spark, sf_dir), 0.3, ["clip_id", "frame_idx"], pixel=0.0).where("score > 0.5")
+    return boxes.suppress(detections(spark, sf_dir), 0.3, ["clip_id"], pixel=0.0).where("score > 0.5")
 
 
 @query("trk_1_one_face")
@@ -768,16 +789,64 @@ def trk_3(spark, sf_dir):
     return T.frames(spark, sf_dir).join(T.clips(spark, sf_dir), "clip_id").where("frame_idx % 3 = 0 or frame_idx = n_frames - 1").select("clip_id", "frame_idx")
 
 
-@query("win_6_number_shots")
+def numbered_sql(flags: str, least: int) -> str:
+    """Shot numbers from a table of cut flags (clip_id, frame_idx, cut), frame by frame."""
+    return f""", {flags}, walk AS (
+      SELECT clip_id, frame_idx, 0 AS n, 0 AS last FROM flags WHERE frame_idx = 0
+      UNION ALL SELECT f.clip_id, f.frame_idx, CASE WHEN f.cut AND f.frame_idx - w.last >= {least} THEN w.n + 1 ELSE w.n END, CASE WHEN f.cut AND f.frame_idx - w.last >= {least} THEN f.frame_idx ELSE w.last END
+      FROM walk w JOIN flags f ON f.clip_id = w.clip_id AND f.frame_idx = w.frame_idx + 1)
+    SELECT clip_id, frame_idx, n AS shot_no FROM walk"""
+
+
+RECURSIVE = VIEWS.replace("WITH sv_base", "WITH RECURSIVE sv_base", 1)
+
+
+@query("win_6_number_shots", RECURSIVE + numbered_sql("flags AS (SELECT clip_id, frame_idx, event_type = 'purchase' AS cut FROM sv_base)", 5), views=False)
 def win_6(spark, sf_dir):
     return boxes.number_shots(T.base(spark, sf_dir), F.col("event_type") == "purchase", 5)
 
 
-@query("prj_26_undo_pre_emphasis")
+@query(
+    "win_6_cuts_by_distance",
+    RECURSIVE
+    + numbered_sql("d AS (SELECT clip_id, frame_idx, abs(open_prob - lag(open_prob) OVER (PARTITION BY clip_id ORDER BY frame_idx)) AS dist, abs(k - lag(k) OVER (PARTITION BY clip_id ORDER BY frame_idx)) AS mae FROM sv_base), flags AS (SELECT clip_id, frame_idx, coalesce(dist >= 0.45 OR (dist >= 0.30 AND mae >= 25), false) AS cut FROM d)", 3),
+    views=False,
+)
+def win_6_distance(spark, sf_dir):
+    """Shots from distances of adjacent frames: large ones, or fair ones with a large difference."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("clip_id").orderBy("frame_idx")
+    rows = T.base(spark, sf_dir).withColumns({"dist": F.abs(F.col("open_prob") - F.lag("open_prob").over(w)), "mae": F.abs(F.col("k") - F.lag("k").over(w))})
+    return boxes.number_shots(rows, boxes.cut_between(F.col("dist"), F.col("mae")), 3)
+
+
+@query(
+    "prj_26_undo_pre_emphasis",
+    RECURSIVE
+    + """, walk AS (SELECT clip_id, frame_idx, open_prob AS y FROM sv_base WHERE frame_idx = 0
+      UNION ALL SELECT b.clip_id, b.frame_idx, b.open_prob + 0.97::DOUBLE * w.y FROM walk w JOIN sv_base b ON b.clip_id = w.clip_id AND b.frame_idx = w.frame_idx + 1)
+    SELECT clip_id, frame_idx, round(y, 6) AS restored FROM walk""",
+    views=False,
+)
 def prj_26(spark, sf_dir):
     return boxes.undo_pre_emphasis(T.base(spark, sf_dir), "open_prob").select("clip_id", "frame_idx", *six("restored"))
 
 
+@query(
+    "trk_4_reuse",
+    f""", e AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx) - 1 AS j, lead(frame_idx) OVER (PARTITION BY clip_id ORDER BY frame_idx) IS NULL AS last_ FROM mask WHERE on_ AND valid_face),
+    b AS (SELECT *, j // 3 AS block, j % 3 AS i FROM e),
+    one AS (SELECT b.clip_id, b.block, b.last_ OR b.frame_idx - a.frame_idx > 9 OR {iou_sql("a", "b")} < 0.35 AS again FROM b JOIN b a ON a.clip_id = b.clip_id AND a.block = b.block AND a.i = 0 WHERE b.i = 1),
+    two AS (SELECT b.clip_id, b.block, a.frame_idx AS source, b.last_ OR b.frame_idx - a.frame_idx > 9 OR {iou_sql("a", "b")} < 0.35 AS again FROM b JOIN one o ON o.clip_id = b.clip_id AND o.block = b.block JOIN b a ON a.clip_id = b.clip_id AND a.block = b.block AND a.i = CASE WHEN o.again THEN 1 ELSE 0 END WHERE b.i = 2)
+    SELECT b.clip_id, b.frame_idx, CASE b.i WHEN 0 THEN b.frame_idx WHEN 1 THEN CASE WHEN o.again THEN b.frame_idx ELSE a.frame_idx END ELSE CASE WHEN t.again THEN b.frame_idx ELSE t.source END END AS source
+    FROM b LEFT JOIN one o USING (clip_id, block) LEFT JOIN two t USING (clip_id, block) LEFT JOIN b a ON a.clip_id = b.clip_id AND a.block = b.block AND a.i = 0""",
+)
+def trk_4(spark, sf_dir):
+    """Which speaking frame's restored face each speaking frame takes."""
+    return boxes.reuse_plan(mask(spark, sf_dir).where("on_ and valid_face"), ["clip_id"]).select("clip_id", "frame_idx", "source")
+
+
 # ---------------------------------------------------------------- flagship
 
 
