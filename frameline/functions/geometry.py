@@ -98,6 +98,11 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, v: s + v))
 
 
+def large_enough(b: Box, width: float, height: float, share: float) -> Column:
+    """Does the box cover ``share`` of the frame?  No share asked for: always."""
+    return F.lit(True) if share <= 0 else area(b) >= share * width * height
+
+
 def iou_of_corners(a: Box, b: Box) -> Column:
     """Overlap of boxes that are never missing; a box with swapped corners counts by the size of its sides' product."""
     w = F.least(a[2], b[2]) - F.greatest(a[0], b[0])

@@ -72,3 +72,8 @@ def expand_to_shots(df: DataFrame, flag: Column, fps: float, least: float = 0.0,
     whole = F.max("__run").over(shot) >= need
     some = (F.col("__run") >= frames_of(partial, fps)) if partial > 0 else F.lit(False)
     return rows.withColumn(out, whole | some).drop("__flag", "__island", "__run")
+
+
+def speaking_frames(df: DataFrame, motion: Column, present: Column, speech: DataFrame) -> DataFrame:
+    """Frames with lip motion on which the primary face is present and ``speech`` (clip_id, frame_idx) says that someone speaks."""
+    return df.where(motion & present).join(speech.select("clip_id", "frame_idx"), ["clip_id", "frame_idx"], "left_semi")

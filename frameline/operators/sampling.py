@@ -144,3 +144,14 @@ def mean_of_passes(df: DataFrame, keys: list[str], score: str) -> DataFrame:
     """Mean of a key's scores to one decimal, half to even; nulls do not count, and a key with nothing else gets minus infinity."""
     finite = F.when(~F.isnan(score) & (F.abs(score) < float("inf")), F.col(score))
     return df.groupBy(*keys).agg(F.coalesce(F.bround(F.avg(finite) * 10) / 10, F.lit(float("-inf"))).alias(score))
+
+
+def drawn_start(n: Column, length: int, draw: Column) -> Column:
+    """A start from 0 to ``n - length`` for a draw from 0 up to 1."""
+    return F.least(((n - length + 1) * draw).cast("int"), n - length)
+
+
+def in_batches(df: DataFrame, keys: list[str], order: list[str], size: int, out: str = "batch") -> DataFrame:
+    """Numbers the rows of each key in batches of ``size``, in order; the last one may be shorter."""
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return df.withColumn(out, F.floor(at / size).cast("int"))

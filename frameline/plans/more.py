@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import speech as S
 from ..operators import intervals, sampling, scores, windows
 from ..sources import timeline as T
 from .registry import SPLIT_SQL, iou_sql, mask, query, shot_runs, six
@@ -212,7 +213,7 @@ def set_5(spark, sf_dir):
 def src_14(spark, sf_dir):
     s = F.struct(F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), "gender")
     text = T.segments(spark, sf_dir).groupBy("clip_id").agg(F.to_json(F.collect_list(s)).alias("v"))
-    return text.withColumn("s", T.parse_segments(F.col("v"))).select("clip_id", F.size("s").cast("bigint").alias("n"), F.round(F.array_max(F.transform("s", lambda x: x["end"])), 6).alias("last"))
+    return text.withColumn("s", S.parse_segments(F.col("v"))).select("clip_id", F.size("s").cast("bigint").alias("n"), F.round(F.array_max(F.transform("s", lambda x: x["end"])), 6).alias("last"))
 
 
 @query("src_10_numeric_order", "SELECT page_id, CAST(nullif(regexp_extract(url, '(\\d+)', 1), '') AS BIGINT) AS number FROM pages", views=False)

@@ -83,12 +83,6 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clip_id", "frame_idx", "shot_id", F.col("t.track_id").alias("track_id"), "open_prob", *[(F.col(c) + F.col("t.dx")).alias(c) if c[0] == "x" else F.col(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-def parse_segments(value: Column) -> Column:
-    """JSON text to an array of segments; null or blank text is null ("unknown"), ``[]`` is an empty array ("no speech")."""
-    kind = "array<struct<start:double,end:double,gender:string>>"
-    return F.when(F.trim(value) == "", F.lit(None)).otherwise(F.from_json(value, kind))
-
-
 def read_manifest(spark: SparkSession, path: str, root: str, repeat: int = 1, header: bool = False) -> DataFrame:
     """First word of each line, joined to ``root``, given ``repeat`` times; blank lines are left out."""
     lines = spark.read.text(path).withColumn("value", F.trim("value")).where("value <> ''")
@@ -121,3 +115,8 @@ def write_resumable(df: DataFrame, done: DataFrame | None, key: str, path: str)
     """Appends the rows whose key is not in ``done``, as JSON lines."""
     todo = df if done is None else df.join(done.select(key).distinct(), key, "left_anti")
     todo.write.mode("append").json(path)
+
+
+def write_list(names: DataFrame, column: str, path: str) -> None:
+    """One name a line, in order, in a text folder that is not there yet."""
+    names.select(F.col(column).cast("string").alias("value")).orderBy("value").write.text(path)

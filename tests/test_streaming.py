@@ -30,3 +30,34 @@ def test_shot_numbers_over_batches(spark, tmp_path):
     got = drained(S.number_shots(stream, F.col("event_type") == "purchase", 5), "shots", tmp_path, "append")
     want = boxes.number_shots(rows, F.col("event_type") == "purchase", 5)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """Rows that come later than the watermark allows do not count; those that come in time do."""
+    kind = "user_id bigint, ts timestamp, value double"
+    at = lambda m: f"2026-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    folder = tmp_path / "in"
+    for k, minutes in enumerate(([0, 5], [200], [201], [1, 190])):  # the mark that batch 2 sets holds for rows from batch 4 on
+        part = spark.createDataFrame([(1, at(m), 20.0) for m in minutes], "user_id bigint, ts string, value double")
+        part.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value").coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = drained(S.window_totals(stream, length="10 minutes", late="30 minutes"), "late", tmp_path, "append").collect()
+    counts = {r.start.strftime("%H:%M"): r.n for r in got}
+    assert counts.get("00:00") == 2  # the late row is not in it
+
+
+def test_faces_over_batches(spark, tmp_path):
+    """Tracks carried through micro-batches are those of one pass, but for the look at a clip's last frame."""
+    rows = T.frames(spark, SF)
+    tracks = T.tracks(spark, SF).where("track_id < 2")
+    box = F.struct(*[F.col(c) for c in boxes.BOX])
+    seen = tracks.groupBy("clip_id", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("track_id", box.alias("b")))), lambda s: s["b"]).alias("boxes"))
+    given = rows.select("clip_id", "frame_idx", "shot_id").join(seen, ["clip_id", "frame_idx"], "left").cache()
+    for part in ("frame_idx < 20", "frame_idx between 20 and 39", "frame_idx >= 40"):
+        given.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = drained(S.follow_faces(S.read_events(spark, str(tmp_path / "in"), files_a_batch=1)), "faces", tmp_path, "append")
+    dets = tracks.withColumnRenamed("track_id", "det_id")
+    want = boxes.track_many(dets, rows)
+    last = {r.clip_id: r.m for r in rows.groupBy("clip_id").agg(F.max("frame_idx").alias("m")).collect()}
+    clean = lambda df: sorted(tuple(r) for r in df.collect() if r.frame_idx < last[r.clip_id])
+    assert clean(got) == clean(want)
