@@ -2,22 +2,27 @@
 
 Vectors are scaled to length 1, so that the nearest by distance is the nearest by
 cosine.  Coarse centroids (k-means) cut the space into lists; a row's residual is
-coded by a product quantiser.  A query visits its ``probes`` nearest lists, ranks
-their rows by asymmetric distance tables, and reranks the best ``rerank`` of every
-block exactly, in double precision on the original vectors.  ``probes`` is a share of
-the lists; its default holds recall above 0.9 even on vectors without clusters, where
-coarse centroids tell little (clustered vectors do with far fewer).
+coded by a product quantiser.  A query visits its ``probes`` nearest lists and ranks
+their rows by asymmetric distance tables, on codes alone; the ``shortlist`` best of all
+lists together are reranked exactly, in double precision on the original vectors,
+which are fetched by id.  ``probes`` is a share of the lists; its default holds recall
+above 0.9 even on vectors without clusters, where coarse centroids tell little
+(clustered vectors do with far fewer).
 
 Centroids and codebooks are learned on at most ``sample`` vectors (a bound, drawn by a
 hash of the id); every row is indexed.  A list is cut into blocks by a hash of the id
 and the queries that visit it into blocks of their own, so a list that holds a third
-of all rows, or is visited by as many queries, is many groups of bounded size.  No
-query's rows meet in one task before each block has kept its own best.
+of all rows, or is visited by as many queries, is many groups of bounded size.  Codes
+and not vectors are copied to the blocks, and each block hands on a query's
+``shortlist`` best at most.
 
 Defined results: vectors that are null, zero, of another length than most, or hold
-null or non-finite components take no part, neither as query nor as candidate; a
-query's own row (its id) is no candidate; ties go to the smaller id; fewer candidates
-than asked for give fewer rows; with no usable vectors the result is empty.
+null or non-finite components take no part, neither as query nor as candidate; vectors
+of any magnitude are compared by direction; a query's own row (its id) is no candidate;
+a repeated id is one candidate, with its best score, and one query, with the smallest of
+its vectors; null ids take no part; ties go to the smaller id; fewer candidates than
+asked for give fewer rows; with no usable vectors the result is empty; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,18 +39,21 @@ from . import common
 
 #: Rows and queries of one group, about.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
+#: Vectors of the sample that the codebooks are learned on.
+BOOK_ROWS = 10_000
 
 
 def usable(vec: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that take part, their vectors in double precision)."""
+    """(rows that take part, their vectors in double precision, scaled by a power of two so that the largest component lies between 1/2 and 1)."""
     vec = vec.cast(pa.list_(pa.float64()))
     right = np.array(pa.compute.list_value_length(vec).fill_null(-1)) == dim
     at = np.flatnonzero(right)
     x = np.asarray(vec.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)  # null components become NaN
-    with np.errstate(over="ignore", invalid="ignore"):
-        norm = np.linalg.norm(x, axis=1)
-    fine = np.isfinite(norm) & (norm > 0)
-    return at[fine], x[fine]
+    most = np.abs(x).max(1, initial=0)
+    fine = np.isfinite(x).all(1) & (most > 0)
+    x = x[fine]
+    half = -np.frexp(most[fine])[1] // 2  # in two steps, as the whole power may not be a double
+    return at[fine], np.ldexp(np.ldexp(x, half[:, None]), (-np.frexp(most[fine])[1] - half)[:, None])
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -64,6 +72,10 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmin(half - x[i : i + 4096] @ c.T, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Index:
     """Coarse centroids and the codebooks of ``parts`` slices of the residuals."""
 
@@ -73,7 +85,7 @@ class Index:
         self.coarse = _kmeans(x, lists, 8, rng)
         rest = x - self.coarse[_nearest(x, self.coarse)]
         self.cuts = [s for s in np.array_split(np.arange(self.dim), parts) if len(s)]
-        self.books = [_kmeans(rest[:, s], codes, 6, rng) for s in self.cuts]
+        self.books = [_kmeans(rest[:BOOK_ROWS, s], codes, 5, rng) for s in self.cuts]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(list, codes) of vectors of length 1."""
@@ -94,7 +106,7 @@ class Index:
         return out
 
 
-def train(df: DataFrame, id_col: str, vec_col: str, lists: int, sample: int = 20_000, parts: int = 16, codes: int = 64) -> Index | None:
+def train(df: DataFrame, id_col: str, vec_col: str, lists: int, sample: int = 20_000, parts: int = 32, codes: int = 256) -> Index | None:
     """From at most ``sample`` rows; None if no row is usable.  The driver holds ``sample`` vectors."""
     n = df.count()
     size = df.select(F.size(vec_col).alias("n")).where("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -108,7 +120,7 @@ def train(df: DataFrame, id_col: str, vec_col: str, lists: int, sample: int = 20
         x = usable(df.select(vec_col).where(F.size(vec_col) == dim).limit(sample).toArrow()[vec_col].combine_chunks(), dim)[1]
     if not len(x):
         return None
-    return Index(x / np.linalg.norm(x, axis=1, keepdims=True), max(1, min(lists, len(x))), parts, codes)
+    return Index(unit(x), max(1, min(lists, len(x))), parts, codes)
 
 
 def _best(ids: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
@@ -124,11 +136,16 @@ def _best(ids: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(near, axis=1, kind="stable")[:, :k]
 
 
-def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, lists: int | None = None, probe_share: float = 0.8, rerank: int = 64, sample: int = 20_000) -> DataFrame:
-    """query_id, rank (from 1), ``id_col``, score: each query's ``k`` nearest rows found."""
+def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, lists: int | None = None, probe_share: float = 0.8, shortlist: int | None = None, sample: int = 20_000) -> DataFrame:
+    """query_id, rank (from 1), ``id_col``, score: each query's ``k`` nearest rows found.
+
+    ``shortlist``: rows reranked for a query; by default a twentieth of the rows, 32 to 256.
+    """
     spark = rows.sparkSession
-    rows, queries = (d.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")) for d in (rows, queries))
+    rows, queries = (d.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v")).where("id is not null") for d in (rows, queries))
+    queries = queries.where("v is not null").groupBy("id").agg(F.min("v").alias("v"))
     n = rows.count()
+    shortlist = shortlist or int(min(256, max(32, n // 20)))
     lists = lists or int(min(4096, max(8, 2 ** round(np.log2(max(n, 1) ** 0.5 / 4)))))
     model = train(rows, "id", "v", lists, sample)
     empty = spark.createDataFrame([], f"query_id bigint, rank int, `{id_col}` bigint, score double")
@@ -138,14 +155,14 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
     shared = spark.sparkContext.broadcast(model)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         m = shared.value
         for whole in batches:
             for i in range(0, whole.num_rows, 2048):
                 b = whole.slice(i, 2048)
                 at, x = usable(b["v"], m.dim)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                where, codes = m.encode(unit) if len(at) else (np.zeros(0, int), np.zeros((0, len(m.cuts)), np.uint8))
-                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(at)), pa.array(where.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "list", "code", "v"])
+                where, codes = m.encode(unit(x)) if len(at) else (np.zeros(0, int), np.zeros((0, len(m.cuts)), np.uint8))
+                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(at)), pa.array(where.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "list", "code"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -153,53 +170,65 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
                 at, x = usable(b["v"], m.dim)
-                to = m.visited(x / np.linalg.norm(x, axis=1, keepdims=True), probes) if len(at) else np.zeros((0, probes), int)
+                x = unit(x)
+                to = m.visited(x, probes) if len(at) else np.zeros((0, probes), int)
                 row = np.repeat(np.arange(len(at)), to.shape[1])
-                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(at[row])), pa.array(to.ravel().astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(row))], names=["id", "list", "v"])
+                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(at[row])), pa.array(to.ravel().astype(np.int32)), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary()).take(pa.array(row))], names=["id", "list", "v"])
 
-    index = common.stage(rows.where(F.col("id").isNotNull()).mapInArrow(place, "id bigint, list int, code binary, v binary"), "ann-index")
-    visits = common.stage(queries.where(F.col("id").isNotNull()).mapInArrow(visit, "id bigint, list int, v binary"), "ann-visits")
+    index = common.stage(rows.mapInArrow(place, "id bigint, list int, code binary"), "ann-index")
+    visits = common.stage(queries.mapInArrow(visit, "id bigint, list int, v binary"), "ann-visits")
 
     # groups of bounded size: list x row block x query block
     sizes = index.groupBy("list").agg(F.count("*").alias("n")).withColumn("rb", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).drop("n")
     asked = visits.groupBy("list").agg(F.count("*").alias("n")).withColumn("qb", F.ceil(F.col("n") / BLOCK_QUERIES).cast("int")).drop("n")
     grid = F.broadcast(sizes.join(asked, "list"))  # one row a list, at most 4096
     block = lambda seed, of: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(of)).cast("int")
-    left = index.join(grid, "list").withColumn("r", block(41, "rb")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).select("list", "r", "q", "id", "code", "v")
+    left = index.join(grid, "list").withColumn("r", block(41, "rb")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).select("list", "r", "q", "id", "code")
     right = visits.join(grid, "list").withColumn("q", block(43, "qb")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rb") - 1))).select("list", "r", "q", "id", "v")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        m, none = shared.value, pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
+        """Each query's ``shortlist`` nearest of a block by the codes, its own id left out."""
+        m, out = shared.value, [pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "near": np.zeros(0)})]
         if not len(a) or not len(b):
-            return none
-        a = a.sort_values("id", kind="stable")
+            return out[0]
+        a = a.drop_duplicates(["id", "code"]).sort_values("id", kind="stable")
         ids, code = a["id"].to_numpy(), np.frombuffer(b"".join(a["code"]), np.uint8).reshape(len(a), -1)
-        x = np.frombuffer(b"".join(a["v"]), np.float64).reshape(len(a), -1)
-        norm, out = np.linalg.norm(x, axis=1), []
         step = max(1, 4_000_000 // len(a))
         for i in range(0, len(b), step):
             part = b.iloc[i : i + step]
             own = part["id"].to_numpy()
-            y = np.frombuffer(b"".join(part["v"]), np.float64).reshape(len(part), -1)
-            length = np.linalg.norm(y, axis=1)
-            table = m.tables(y / length[:, None], int(a["list"].iat[0]))
+            table = m.tables(np.frombuffer(b"".join(part["v"]), np.float32).reshape(len(part), -1).astype(np.float64), int(a["list"].iat[0]))
             near = np.zeros((len(part), len(a)))
             for j in range(len(table)):
                 near += table[j][:, code[:, j]]
             near[own[:, None] == ids[None, :]] = np.inf
-            some = _best(ids, near, min(rerank, len(a)))
-            exact = np.einsum("qd,qkd->qk", y, x[some]) / (length[:, None] * norm[some])
-            exact[np.isinf(np.take_along_axis(near, some, 1))] = -np.inf
-            order = np.lexsort((ids[some], -exact), axis=1)[:, :k]
-            got, found = np.take_along_axis(exact, order, 1), ids[np.take_along_axis(some, order, 1)]
+            some = _best(ids, near, min(shortlist, len(a)))
+            got = np.take_along_axis(near, some, 1)
             keep = np.isfinite(got)
-            out.append(pd.DataFrame({"query_id": np.repeat(own, keep.sum(1)), "id": found[keep], "score": got[keep]}))
+            out.append(pd.DataFrame({"query_id": np.repeat(own, keep.sum(1)), "id": ids[some][keep], "near": got[keep]}))
         return pd.concat(out)
 
     keys = ["list", "r", "q"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id bigint, id bigint, score double")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id bigint, id bigint, near double")
+    w = Window.partitionBy("query_id").orderBy("near", "id")
+    short = met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= shortlist).select("query_id", "id").distinct()
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dim = shared.value.dim
+        for whole in batches:
+            for i in range(0, whole.num_rows, 4096):
+                b = whole.slice(i, 4096)
+                at, y = usable(b["q"], dim)
+                b = b.take(pa.array(at))
+                of, x = usable(b["v"], dim)
+                y = y[of]
+                cosine = np.einsum("nd,nd->n", y, x) / (np.sqrt(np.einsum("nd,nd->n", y, y)) * np.sqrt(np.einsum("nd,nd->n", x, x)))
+                yield pa.RecordBatch.from_arrays([b["query_id"].take(pa.array(of)), b["id"].take(pa.array(of)), pa.array(cosine)], names=["query_id", "id", "score"])
+
+    fetched = short.join(rows, "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    scored = fetched.select("query_id", "id", "q", "v").mapInArrow(exact, "query_id bigint, id bigint, score double").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 def op1_ann(spark, sf_dir: str) -> DataFrame:

@@ -333,6 +333,30 @@ def test_search_ties_and_unusable_vectors(spark, monkeypatch):
     assert ann.search(rows.where("vec_id = 101"), rows).count() == 0
 
 
+def test_search_repeated_ids_extreme_sizes_and_other_columns(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1.1e-200]), (3, [5e-324, 5e-324]), (4, [1.0, -1.0]), (4, [1.0, -1.0]), (5, [-1.0, -0.5]), (5, [1.0, 0.5]), (5, [1.0, 0.5])]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id bigint, embedding array<double>, rank string, `a.b` double")
+    got = ann.search(df, df, lists=2, probe_share=1.0).toPandas()
+    assert not got.duplicated(["query_id", "vec_id"]).any() and not got.duplicated(["query_id", "rank"]).any()
+    one = got[got.query_id == 1].sort_values("rank")
+    assert list(one["vec_id"]) == [3, 2, 5, 4] and np.allclose(one["score"], [1.0, 2.1 / np.sqrt(2 * 2.21), 1.5 / np.sqrt(2 * 1.25), 0.0], atol=1e-12)
+
+
+def test_shortlist_decides_by_codes(spark):
+    """With a shortlist of a twentieth of the rows, codes alone keep nine tenths of the true neighbours."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 32))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.search(rows, rows.where("vec_id % 50 = 0"), shortlist=60, probe_share=0.9).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:5]) & set(g["vec_id"]))
+    assert hits >= 0.9 * len(got) and len(got) == 150
+
+
 # ---- media
 
 
