@@ -16,11 +16,13 @@ that was not computed exactly:
    first, inserted one by one; a probe walks the trie carrying the overlap of the path
    so far, shared by all sets below, and leaves a subtree when even the remaining
    lengths cannot reach the threshold.
-5. Clusters of more than ``CHUNK`` sets are cut into chunks and joined; then dealt into
-   other chunks twice more, each with the ``HUBS`` sets that had most links added, so
-   that what hangs together through a common original meets it.  What is then still
-   apart is decided pair by pair, for pairs that share one of their rarest n-grams and
-   stand in different components.
+5. Clusters of more than ``CHUNK`` sets are dealt by their most likely originals: of all
+   sets that share a rare n-gram with it, a set takes the one with the fewest n-grams of
+   its own.  An original's sets are cut into chunks of about ``CHUNK``, each joined in a
+   trie together with the original, so that near copies of one text hang together
+   through it.  What is then still apart is decided pair by pair, for pairs that share
+   one of their rarest n-grams and stand in different components; sets of a frequent
+   n-gram are dealt over tasks.
 
 Hashes: 64 bits an n-gram and a class, so wrong equality is possible in principle (a
 chance of about 1e-9 in a quarter of a million documents).
@@ -48,8 +50,8 @@ from .graph import components
 
 #: Sets of one trie at most; distinct words kept by a task; sets a task remembers.
 CHUNK, CACHE_WORDS, CACHE_SETS = 256, 150_000, 100_000
-#: Sets with most links that join every chunk of their cluster in the later rounds, and the number of these.
-HUBS, HUB_ROUNDS = 16, 2
+#: Parts that the sets of an n-gram are dealt into for a join by n-gram.
+SALTS = 4
 #: N-gram hashes below 2**62 are the lowest quarter; of these, 48 bits are kept.
 LOW, LOW_SHIFT, LOW_BYTES = 62, 14, 6
 #: N-grams of the lowest quarter in more sets than this are left to step 3's second half.
@@ -188,7 +190,7 @@ def _rarest(tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(sid, n, token, df, rn): rank of each set's n-grams by frequency; df is null for those of one set only."""
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     w = Window.partitionBy("sid").orderBy(F.coalesce("df", F.lit(1)), "token")  # a set's own n-grams: bounded by its text
-    return tokens.join(shared, "token", "left").join(sizes.select("sid", "n"), "sid").withColumn("rn", F.row_number().over(w))
+    return tokens.join(shared, "token", "left").join(sizes.select("sid", "n", "own"), "sid").withColumn("rn", F.row_number().over(w))
 
 
 class SetTrie:
@@ -271,24 +273,26 @@ def trie_links(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[in
 
 
 def _joined(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Local components (cluster, sid, root) of the groups in ``placed`` (sid, cluster, chunk); degree is given for each group's set with most links, else null."""
+    """Links (a, b) that give the local components of the groups in ``placed`` (sid, cluster, chunk), each joined in a trie."""
 
     def run(group: pa.Table) -> pa.Table:
         order = np.argsort(group["sid"].to_numpy(), kind="stable")
         sid, raw = group["sid"].to_numpy()[order], group["tokens"].to_pylist()
-        root, degree = trie_links([np.frombuffer(raw[k], "<u8") for k in order], percent)
-        hub = int(np.argmax(degree))
-        shown = [d if k == hub and d else None for k, d in enumerate(degree)]
-        return pa.table({"cluster": pa.array(group["cluster"].to_numpy()), "sid": pa.array(sid), "root": pa.array(sid[root]), "degree": pa.array(shown, pa.int64())})
+        root, _ = trie_links([np.frombuffer(raw[k], "<u8") for k in order], percent)
+        first = sid[root]
+        linked = sid != first
+        return pa.table({"a": pa.array(sid[linked]), "b": pa.array(first[linked])})
 
-    return sets.join(placed, "sid").select("sid", "cluster", "chunk", "tokens").groupBy("cluster", "chunk").applyInArrow(run, "cluster bigint, sid bigint, root bigint, degree bigint")
+    return sets.join(placed, "sid").select("cluster", "chunk", "sid", "tokens").groupBy("cluster", "chunk").applyInArrow(run, "a bigint, b bigint")
 
 
-def _chunked(members: DataFrame, salt: int) -> DataFrame:
-    """(sid, cluster, chunk): chunks of about CHUNK sets, dealt by a hash."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("c"))
-    parts = F.ceil(F.col("c") / CHUNK)
-    return members.join(sizes, "cluster").select("sid", "cluster", F.when(parts > 1, F.pmod(F.xxhash64(F.lit(salt), "sid"), parts)).otherwise(0).cast("int").alias("chunk"))
+def _salted(df: DataFrame) -> DataFrame:
+    """One row for each part that `_part` deals sets into."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _part(parts: Column | int, seed: int = 5) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "sid"), F.lit(parts) if isinstance(parts, int) else parts).cast("int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -311,35 +315,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that give the components of all sets.  ``prefixes``: kind, token, sid, n, rn."""
-    heads = prefixes.groupBy("kind", "token").agg(F.min("sid").alias("head"), F.max("sid").alias("tail")).where("head <> tail").drop("tail")
-    bound = prefixes.join(heads, ["kind", "token"]).where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
-    clusters = common.stage(components(bound).select(F.col("id").alias("sid"), F.col("root").alias("cluster")), "jaccard-clusters")
-    found = common.stage(_joined(sets, _chunked(clusters, 1), percent), "jaccard-joined")
-    links = found.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
-
-    large = common.stage(clusters.groupBy("cluster").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK).select("cluster"), "jaccard-large")
+    """(a, b): links that give the components of all sets.  ``prefixes``: kind, token, sid, n, rn, own."""
+    held = prefixes.groupBy("kind", "token").agg(F.min("sid").alias("head"), F.max("sid").alias("tail"), F.min(F.struct("own", "sid")).alias("best"))
+    held = _salted(held.where("head <> tail").select("kind", "token", "head", "best"))
+    bound = prefixes.withColumn("salt", _part(SALTS)).join(held, ["kind", "token", "salt"]).groupBy("sid", "head").agg(F.min("best").alias("best"))
+    bound = common.stage(bound, "jaccard-bound")
+    clusters = components(bound.select(F.col("sid").alias("a"), F.col("head").alias("b"))).select(F.col("id").alias("sid"), F.col("root").alias("cluster"))
+    clusters = common.stage(clusters, "jaccard-clusters")
+    large = clusters.groupBy("cluster").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK).select("cluster")
+    large = common.stage(large, "jaccard-large")
+    small = clusters.join(large, "cluster", "left_anti").select("sid", "cluster", F.lit(0).alias("chunk"))
     if large.limit(1).count() == 0:
-        return links
+        return common.stage(_joined(sets, small, percent), "jaccard-links")
     member = common.stage(clusters.join(large, "cluster", "left_semi"), "jaccard-member")
-    for salt in range(2, 2 + HUB_ROUNDS):
-        w = Window.partitionBy("cluster").orderBy(F.desc("degree"), "sid")  # one row a chunk
-        hubs = found.where("degree is not null").join(large, "cluster", "left_semi").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= HUBS)
-        placed = common.stage(_chunked(member, salt), "jaccard-placed")
-        added = hubs.select("sid", "cluster").join(placed.select("cluster", "chunk").distinct(), "cluster").select("sid", "cluster", "chunk")
-        found = common.stage(_joined(sets, placed.unionByName(added).distinct(), percent), "jaccard-joined")
-        links = common.stage(links.unionByName(found.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))), "jaccard-links")
+    origin = bound.groupBy("sid").agg(F.min("best")["sid"].alias("origin")).join(member.select("sid"), "sid", "left_semi")
+    sizes = origin.groupBy("origin").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    dealt = common.stage(origin.join(sizes, "origin").select("sid", "origin", _part(F.col("parts"), 1).alias("chunk")), "jaccard-dealt")
+    # clusters and originals are both named by sets; chunks of originals are counted from 1
+    dealt = dealt.select("sid", F.col("origin").alias("cluster"), (F.col("chunk") + 1).alias("chunk"))
+    placed = dealt.unionByName(dealt.select(F.col("cluster").alias("sid"), "cluster", "chunk")).distinct()
+    links = common.stage(_joined(sets, small.unionByName(placed), percent), "jaccard-links")
     roots = components(links).select(F.col("id").alias("sid"), "root")
     comp = common.stage(member.join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("comp")), "jaccard-comps")
     # what is still apart: pairs of different components that share one of their rarest n-grams
-    own = prefixes.join(comp.select("sid", "comp"), "sid")
-    mixed = own.groupBy("kind", "token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("kind", "token")
-    own = common.stage(own.join(mixed, ["kind", "token"], "left_semi"), "jaccard-apart")
+    own = common.stage(prefixes.join(comp, "sid"), "jaccard-own")
+    mixed = own.groupBy("kind", "token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("c0 <> c1")
+    mixed = _salted(mixed.select("kind", "token", "parts"))
+    own = common.stage(own.withColumn("salt", _part(SALTS)).join(mixed, ["kind", "token", "salt"]).drop("salt"), "jaccard-apart")
     # sets of a frequent n-gram are dealt out, so that no task meets more than about HOT of them at once
-    parts = own.groupBy("kind", "token").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
-    own = own.join(parts, ["kind", "token"])
     other = own.select("kind", "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rn").alias("rm"), F.col("comp").alias("comp_b"))
-    own = own.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "sid"), F.col("parts")).cast("int"))
+    own = own.withColumn("part", _part(F.col("parts")))
     # at the first n-gram that both share, no more can follow than stand behind it
     reach = F.least(F.col("n") - F.col("rn"), F.col("m") - F.col("rm")) + 1
     pairs = own.join(other, ["kind", "token", "part"]).where("comp < comp_b").where(F.col("m") * 100 >= F.col("n") * percent).where(F.col("n") * 100 >= F.col("m") * percent)
@@ -366,15 +371,15 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     alone = common.stage(held.where("a = b").groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("alone")), "jaccard-alone")
     classes = common.stage(seen.groupBy("sid").agg(F.min("id").alias("id"), F.max("n").alias("n")), "jaccard-classes")
     p = _prefix(F.col("n"), percent)
-    rest = common.stage(classes.where("n > 0").join(alone, "sid", "left").where(F.coalesce("alone", F.lit(0)) < p).select("sid", "id", "n"), "jaccard-rest")
+    rest = common.stage(classes.where("n > 0").join(alone, "sid", "left").where(F.coalesce("alone", F.lit(0)) < p).select("sid", "id", "n", F.coalesce("alone", F.lit(0)).alias("own")), "jaccard-rest")
 
     member = _filter(rest, "sid")
     tokens = packed.withColumn("pos", _position(F.col("sid"))).mapInArrow(_unpacked(LOW_BYTES, member), TOKENS).distinct()
     ranked = common.stage(_rarest(common.stage(tokens, "jaccard-tokens"), rest, percent), "jaccard-ranked")
     cold = F.coalesce("df", F.lit(1)) <= COLD
-    first = ranked.where(F.col("df").isNotNull() & cold & (F.col("rn") <= p)).select(F.lit(0).alias("kind"), "token", "sid", "n", "rn")
+    first = ranked.where(F.col("df").isNotNull() & cold & (F.col("rn") <= p)).select(F.lit(0).alias("kind"), "token", "sid", "n", "rn", "own")
     enough = ranked.where(cold).groupBy("sid").agg(F.count("*").alias("cold"))
-    heavy = common.stage(rest.join(enough, "sid", "left").where(F.coalesce("cold", F.lit(0)) < p).select("sid", "id", "n"), "jaccard-heavy")
+    heavy = common.stage(rest.join(enough, "sid", "left").where(F.coalesce("cold", F.lit(0)) < p).select("sid", "id", "n", "own"), "jaccard-heavy")
 
     needed = common.stage(heavy.select("sid").unionByName(first.select("sid")).distinct().join(rest, "sid"), "jaccard-needed")
     chosen = _filter(needed, "id")
@@ -394,7 +399,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     sets = common.stage(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
 
     all_tokens = sets.join(heavy.select("sid"), "sid", "left_semi").select("sid", F.col("tokens").alias("low")).mapInArrow(_unpacked(8), TOKENS)
-    second = _rarest(all_tokens, heavy, percent).where(F.col("df").isNotNull() & (F.col("rn") <= p)).select(F.lit(1).alias("kind"), "token", "sid", "n", "rn")
+    second = _rarest(all_tokens, heavy, percent).where(F.col("df").isNotNull() & (F.col("rn") <= p)).select(F.lit(1).alias("kind"), "token", "sid", "n", "rn", "own")
     prefixes = common.stage(first.unionByName(second), "jaccard-prefixes")
 
     roots = components(_links(sets, prefixes, percent)).select(F.col("id").alias("sid"), "root")
