@@ -1,23 +1,35 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
 P(token | history) = P(class | history) * P(word | class, history).  The history is
-seen through two hashed features, the word before (n-gram) and the one before that
-(skip).  Classes: blocks of the most frequent words; suffix-hash classes for all other
-words; the text's end; and REPEAT, a token equal to the one before.  Inside a block
-of frequent words a second softmax with the same two features (hashed more coarsely)
-picks the word; inside a suffix class words have their add-one share of the class's
-training tokens.  A repeated token is read as REPEAT only, so the probabilities of
-all texts add up to slightly less than one.
-
-Training sees every training token: each task counts (feature, feature, outcome)
-cells, Spark adds the cells up, and gradient rounds run over the summed cells, one
-row a feature value, their gradients added by Spark.  The number of cells is fixed by
-the hash sizes.  Word counts stay a distributed table; words too rare for the
-broadcast head (at most ``KNOWN`` words) are joined.
+seen through hashed features: the word before (n-gram) and the one before that (skip).
+Classes: blocks of the most frequent words; suffix-hash classes for all other words;
+the text's end; and REPEAT, a token equal to the one before.
+
+Inside a block of frequent words a second softmax with the same two features (hashed
+more coarsely) picks the word.  Inside a suffix class a two-way softmax first decides
+between PAIR and OTHER.  PAIR: the word follows the word before, as it does at least
+twice in training; such pairs are hashed features with a weight of their own, and the
+pairs of one first word and class share the probability by their counts.  OTHER: words
+have their add-one share of the class's training tokens.  The table of pairs has no
+fixed size: it is a distributed table that grows with the training texts.  A repeated
+token is read as REPEAT only and a word that is in the table as PAIR only, so the
+probabilities of all texts add up to slightly less than one.
+
+Training sees every training token in one pass: each task counts its sparse
+(feature, feature, outcome) cells and pairs in numpy, packs them by feature value or by
+range of the pairs' hashes, and Spark brings the packs of one value or range together.
+Gradient rounds run over the summed cells, one row a feature value, their gradients
+added by Spark.  PAIR's chance in a class is the optimum of its two-way softmax, counted
+as if each token were left out of the counts (pairs seen three times or more).  Scoring
+looks the pairs of all documents up range by range.  Word counts stay a distributed
+table; words too rare for the broadcast head (at most ``KNOWN`` words) are joined, and
+take no part in pairs as second word.
 
 Defined results: a null text is the empty text, one end token; texts are scored
 whole; with no training rows every count is 0 and the score is finite; equal texts
-get equal scores; repeated rows are scored separately; other columns are not read.
+get equal scores up to the rounding of sums; repeated rows are scored separately; an
+empty table gives an empty result; other columns are kept under any name, and a new
+column whose name is taken raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -28,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +57,10 @@ COARSE = 32
 BLOCKS = HEAD // BLOCK
 END_CLASS, REPEAT = BLOCKS + SUFFIXES, BLOCKS + SUFFIXES + 1
 CLASSES = REPEAT + 1
+#: Bits of a known word's index in a pair's hash; training tokens of a range of pairs, about; pairs a task holds before it packs them.
+INDEX_BITS, RANGE_TOKENS, HELD = 17, 4_000_000, 1_500_000
+#: Groups that the packs of one feature value are summed in first.
+SALTS = 64
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -62,7 +79,7 @@ class Vocabulary:
         self.size = len(words)
         n = len(words) + CACHE_WORDS + 300_000
         self.bucket, self.cls = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
-        self.log_count = np.zeros(n)
+        self.log_count, self.hash = np.zeros(n), np.zeros(n, np.uint64)
         self.log_count[: self.size] = np.log10(np.array(counts, np.float64) + 1)
         self.extra: list[bytes] = []
         for i, w in enumerate(words):
@@ -70,6 +87,7 @@ class Vocabulary:
 
     def _place(self, i: int, w: bytes) -> None:
         s = _suffix(w)
+        self.hash[i] = xxhash.xxh3_64_intdigest(w)
         self.bucket[i] = i if i < OWN and i < self.size else OWN + s % (BOS - OWN)
         self.cls[i] = i // BLOCK if i < HEAD and i < self.size else BLOCKS + s % SUFFIXES
 
@@ -84,7 +102,7 @@ class Vocabulary:
                 i = self.index[w] = self.size + len(self.extra)
                 self.extra.append(w)
                 if i >= len(self.cls):
-                    self.bucket, self.cls, self.log_count = (np.concatenate([a, np.zeros(len(a), a.dtype)]) for a in (self.bucket, self.cls, self.log_count))
+                    self.bucket, self.cls, self.log_count, self.hash = (np.concatenate([a, np.zeros(len(a), a.dtype)]) for a in (self.bucket, self.cls, self.log_count, self.hash))
                 self._place(i, w)
             out[j] = i
         return out
@@ -115,6 +133,39 @@ def events(vocab: Vocabulary, split: list[list[bytes]]):
     return ids, cls, one, two, starts
 
 
+def pairs_of(vocab: Vocabulary, ids: np.ndarray, cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the tokens that a pair may explain, the pairs' hashes): 46 bits for the word before and the class, the rest for the word."""
+    words = np.where(ids >= 0, vocab.hash[ids], np.uint64(0))
+    before = np.concatenate([np.zeros(1, np.uint64), words[:-1]])
+    before[starts[:-1]] = 0
+    at = np.flatnonzero((cls >= BLOCKS) & (cls < END_CLASS) & (ids < vocab.size))
+    f = (before[at] ^ (cls[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    f ^= f >> np.uint64(32)
+    f *= np.uint64(0xD6E8FEB86659FD93)
+    return at, ((f >> np.uint64(INDEX_BITS + 1)) << np.uint64(INDEX_BITS) | ids[at].astype(np.uint64)).astype(np.int64)
+
+
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Ranges of pairs; the word takes part, so that a frequent first word is spread."""
+    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
+
+
+def feature_range(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Ranges of first words and classes."""
+    return range_of(keys >> INDEX_BITS, ranges)
+
+
+def merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, with their summed numbers."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+    return keys[first], np.add.reduceat(n, first)
+
+
 def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(w binary, c long) over all texts: counted in each task, then summed by Spark."""
 
@@ -140,29 +191,51 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.select(text_col).mapInArrow(run, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def _cells(texts: DataFrame, shared, text_col: str) -> DataFrame:
-    """Sparse training counts: (kind, cell, n), kind 0 for classes and 1 for words inside their blocks."""
+PACKS = "kind int, first int, salt int, at binary, n binary"
+
+
+def _counted(texts: DataFrame, shared, text_col: str, ranges: int) -> DataFrame:
+    """Packs of training counts: kind 0 for classes, 1 for words inside their blocks (``first``: the n-gram feature's value), 2 for pairs (``first``: a range of first words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _vocabulary(shared)
-        sums = [np.zeros(BUCKETS * BUCKETS * CLASSES, np.int32), np.zeros(COARSE * COARSE * HEAD, np.int32)]
+        sums = {k: np.zeros((n, n * outcomes), np.int32) for k, (n, outcomes, _) in SIZES.items()}
+        held: list[np.ndarray] = []
+        salt = np.random.default_rng().integers(SALTS)  # which group sums a pack first; sums do not depend on it
+
+        def packed(kind: int, first: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """One row for each value of ``first``, which is in order."""
+            cuts = np.flatnonzero(np.diff(first)) + 1
+            rows = [(int(f[0]), a.tobytes(), c.astype("<u4").tobytes()) for f, a, c in zip(np.split(first, cuts), np.split(at, cuts), np.split(n, cuts)) if len(f)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([int(salt)] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "first", "salt", "at", "n"])
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            r = feature_range(keys, ranges)
+            order = np.argsort(r, kind="stable")
+            yield from packed(2, r[order], keys[order].astype("<i8"), n[order])
+            held.clear()
+
         for whole in batches:
             for i in range(0, whole.num_rows, SLICE):
                 vocab.trim()
-                ids, cls, one, two, _ = events(vocab, [tokens(t) for t in whole.slice(i, SLICE)[0].to_pylist()])
+                ids, cls, one, two, starts = events(vocab, [tokens(t) for t in whole.slice(i, SLICE)[0].to_pylist()])
                 cell, n = np.unique((one * BUCKETS + two) * CLASSES + cls, return_counts=True)
-                sums[0][cell] += n.astype(np.int32)
+                sums[0].reshape(-1)[cell] += n.astype(np.int32)
                 head = cls < BLOCKS
                 cell, n = np.unique(((one[head] % COARSE) * COARSE + two[head] % COARSE) * HEAD + ids[head], return_counts=True)
-                sums[1][cell] += n.astype(np.int32)
+                sums[1].reshape(-1)[cell] += n.astype(np.int32)
+                held.append(pairs_of(vocab, ids, cls, starts)[1])
+                if sum(map(len, held)) > HELD:
+                    yield from pairs()
+        yield from pairs()
+        for kind, a in sums.items():
+            first, at = np.nonzero(a)
+            yield from packed(kind, first, at.astype("<i4"), a[first, at])
         pa.default_memory_pool().release_unused()
-        for kind, a in enumerate(sums):
-            at = np.flatnonzero(a)
-            for j in range(0, len(at), 200_000):
-                part = at[j : j + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(a[part].astype(np.int64))], names=["kind", "cell", "n"])
 
-    return texts.select(text_col).mapInArrow(run, "kind int, cell int, n bigint").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
+    return texts.select(text_col).mapInArrow(run, PACKS)
 
 
 def _vocabulary(shared) -> Vocabulary:
@@ -183,24 +256,59 @@ def log_softmax(kind: int, w: tuple[np.ndarray, np.ndarray, np.ndarray], first:
     return (z - np.log(np.exp(z).sum(-1, keepdims=True))).reshape(len(first), n, outcomes)
 
 
-def _pack(cells: DataFrame) -> DataFrame:
-    """One row for each value of the first feature: its counts of (second feature, outcome), whose number is fixed."""
-    of = F.when(F.col("kind") == 0, F.floor(F.col("cell") / (BUCKETS * CLASSES))).otherwise(F.floor(F.col("cell") / (COARSE * HEAD))).cast("int")
+def _summed(cells: DataFrame) -> DataFrame:
+    """One row for each value of the first feature: its dense counts of (second feature, outcome), whose number is fixed."""
 
-    def run(group: pa.Table) -> pa.Table:
-        kind, first = group["kind"][0].as_py(), group["first"][0].as_py()
+    def dense(kind: int, packs) -> bytes:
         n, outcomes, _ = SIZES[kind]
-        a = np.zeros(n * outcomes, np.float32)
-        a[group["cell"].to_numpy() - first * n * outcomes] = group["n"].to_numpy()
+        a = np.zeros(n * outcomes, np.float64)
+        for at, c in packs:
+            if c is None:
+                a += np.frombuffer(at, np.float64)
+            else:
+                a[np.frombuffer(at, "<i4")] += np.frombuffer(c, "<u4")
+        return a.tobytes()
+
+    def some(key: tuple, group: pa.Table) -> pa.Table:
+        kind, first = key[0].as_py(), key[1].as_py()
+        raw = dense(kind, zip(group["at"].to_pylist(), group["n"].to_pylist()))
+        return pa.table({"kind": pa.array([kind], pa.int32()), "first": pa.array([first], pa.int32()), "at": pa.array([raw], pa.binary())})
+
+    def all_(key: tuple, group: pa.Table) -> pa.Table:
+        kind, first = key[0].as_py(), key[1].as_py()
+        a = np.frombuffer(dense(kind, ((x, None) for x in group["at"].to_pylist())), np.float64).astype(np.float32)
         return pa.table({"kind": pa.array([kind], pa.int32()), "first": pa.array([first], pa.int32()), "counts": pa.array([a.tobytes()], pa.binary())})
 
-    return cells.withColumn("first", of).groupBy("kind", "first").applyInArrow(run, "kind int, first int, counts binary")
+    parts = cells.groupBy("kind", "first", "salt").applyInArrow(some, "kind int, first int, at binary")
+    return parts.groupBy("kind", "first").applyInArrow(all_, "kind int, first int, counts binary")
+
+
+def _pair_table(packs: DataFrame, shared, ranges: int) -> DataFrame:
+    """Rows (rng, keys, shares) of pairs seen twice or more, with log10 of their share among those of their first word and class; and one row (rng -1) of class totals a range: all tokens, tokens of pairs seen three times or more."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        at, n = group["at"].to_pylist(), group["n"].to_pylist()
+        keys, n = merged(np.concatenate([np.frombuffer(x, "<i8") for x in at]), np.concatenate([np.frombuffer(x, "<u4") for x in n]).astype(np.int64))
+        cls = _vocabulary(shared).cls[keys & ((1 << INDEX_BITS) - 1)] - BLOCKS
+        totals = np.stack([np.bincount(cls, n, SUFFIXES), np.bincount(cls, np.where(n > 2, n, 0), SUFFIXES)])
+        keys, n = keys[n > 1], n[n > 1]
+        f, of = np.unique(keys >> INDEX_BITS, return_inverse=True)
+        share = np.log10(n / np.bincount(of, n, len(f))[of])
+        r = range_of(keys, ranges)
+        order = np.lexsort((keys, r))
+        r, keys, share = r[order], keys[order], share[order]
+        cuts = np.flatnonzero(np.diff(r)) + 1
+        rows = [(int(a[0]), b.astype("<i8").tobytes(), c.astype("<f4").tobytes()) for a, b, c in zip(np.split(r, cuts), np.split(keys, cuts), np.split(share, cuts)) if len(a)]
+        rows.append((-1, totals.astype("<f8").tobytes(), b""))
+        return pa.table({"rng": pa.array([x[0] for x in rows], pa.int32()), "keys": pa.array([x[1] for x in rows], pa.binary()), "shares": pa.array([x[2] for x in rows], pa.binary())})
+
+    return packs.where("kind = 2").groupBy("first").applyInArrow(run, "rng int, keys binary, shares binary")
 
 
 def fit_weights(cells: DataFrame, rounds: int = 8, rate: float = 0.7, smooth: float = 0.5) -> dict[int, tuple]:
     """Gradient rounds over the summed cells; the gradients of all rows are added by Spark."""
     spark = cells.sparkSession
-    packed = common.stage(_pack(cells), "lm-cells")
+    packed = common.stage(_summed(cells), "lm-cells")
     weights = {k: (np.zeros(o), np.zeros((n, o)), np.zeros((n, o))) for k, (n, o, _) in SIZES.items()}
     for step in range(rounds):
         now = spark.sparkContext.broadcast(weights)
@@ -242,48 +350,118 @@ def fit_weights(cells: DataFrame, rounds: int = 8, rate: float = 0.7, smooth: fl
     return weights
 
 
-def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_tokens, n_known, train_tokens, base_score, score to ``docs``, learned from the texts of ``train``."""
-    spark = docs.sparkSession
-    new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    common.refuse(docs, new)
+class Model:
+    """What scoring needs besides the distributed tables: the broadcast vocabulary, weights, and totals."""
+
+    def __init__(self, words, freq, total: int, types: int, ends: int, room: np.ndarray, weights: dict, pair_chance: np.ndarray):
+        self.words, self.freq, self.total, self.types, self.ends = words, freq, total, types, ends
+        self.room, self.weights = np.log10(room), weights  # add-one room of each suffix class
+        self.pair, self.other = np.log10(pair_chance), np.log10(1 - pair_chance)
+        self.all_room, self.end_count = np.log10(total + types + 1), np.log10(ends + 1)
+        self.tag = common.uuid.uuid4().hex
+
+    def tables(self) -> list[np.ndarray]:
+        """log10 P[one, two, outcome], for both softmaxes."""
+        out = []
+        for kind, (n, outcomes, _) in SIZES.items():
+            a = np.empty((n, n, outcomes), np.float32)
+            for k in range(n):
+                a[k] = log_softmax(kind, self.weights[kind], np.array([k]))[0] / np.log(10)
+            out.append(a.reshape(n * n, outcomes))
+        return out
+
+
+def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, DataFrame, int]:
+    """(model, pair table, counts of the words outside the broadcast, ranges of pairs)."""
+    spark = train.sparkSession
     counts = common.stage(word_counts(train, text_col), "lm-counts")
     ends = train.count()
     rung = F.floor(F.log2("c") * 4).cast("int")
     rungs = sorted(((r["r"], r["v"], r["n"]) for r in counts.groupBy(rung.alias("r")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()), reverse=True)
     n_words, v_words = sum(r[2] for r in rungs), sum(r[1] for r in rungs)
-    total, types = n_words + ends, v_words + (ends > 0)
-    least, room = None, KNOWN
+    least, left = None, KNOWN
     for r, v, _ in rungs:  # whole rungs of counts, as long as they fit
-        if v > room:
+        if v > left:
             break
-        least, room = r, room - v
+        least, left = r, left - v
     known = counts.where(rung >= least) if least is not None else counts.limit(0)
     top = sorted(((bytes(r["w"]), r["c"]) for r in known.collect()), key=lambda x: (-x[1], x[0]))
     words, freq = [w for w, _ in top], [c for _, c in top]
     shared = spark.sparkContext.broadcast((common.uuid.uuid4().hex, words, freq))
     in_class = {r["k"]: (r["n"], r["v"]) for r in counts.groupBy((F.crc32(F.substring("w", -3, 3)) % SUFFIXES).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    room_of = np.array([sum(in_class.get(k, (0, 0))) + 1 for k in range(SUFFIXES)], np.float64)
+    room = np.array([sum(in_class.get(k, (0, 0))) + 1 for k in range(SUFFIXES)], np.float64)
     for w, c in top[:HEAD]:
-        room_of[_suffix(w) % SUFFIXES] -= c + 1
-    weights = fit_weights(_cells(train, shared, text_col))
-    model = spark.sparkContext.broadcast((common.uuid.uuid4().hex, weights, np.log10(room_of), np.log10(total + types + 1), np.log10(ends + 1), int(ends > 0)))
-    text_at = common.place_of(docs, text_col)
-    extra = "`#n` bigint, `#known` bigint, `#base` double, `#score` double, `#words` array<binary>, `#times` array<int>, `#fresh` array<int>"
-
-    def tables():
-        _, weights, *_ = model.value
-        out = []
-        for kind, (n, outcomes, _) in SIZES.items():
-            a = np.empty((n, n, outcomes), np.float32)
-            for k in range(n):
-                a[k] = log_softmax(kind, weights[kind], np.array([k]))[0] / np.log(10)
-            out.append(a.reshape(n * n, outcomes))
-        return out
+        room[_suffix(w) % SUFFIXES] -= c + 1
+    ranges = max(1, -(-n_words // RANGE_TOKENS))
+    packs = common.stage(_counted(train, shared, text_col, ranges), "lm-packs")
+    weights = fit_weights(packs.where("kind < 2"))
+    pairs = common.stage(_pair_table(packs, shared, ranges), "lm-pairs")
+    totals = np.zeros((2, SUFFIXES))
+    for r in pairs.where("rng = -1").select("keys").toLocalIterator():  # one short row a range
+        totals += np.frombuffer(r["keys"], "<f8").reshape(2, SUFFIXES)
+    chance = np.clip((totals[1] + 0.5) / (totals[0] + 1), 1e-6, 0.9)
+    model = Model(words, freq, n_words + ends, v_words + (ends > 0), ends, room, weights, chance)
+    return model, pairs.where("rng >= 0"), counts.where(rung < least) if least is not None else counts, ranges
+
+
+def _pair_gains(asked: DataFrame, pairs: DataFrame, shared, ranges: int) -> DataFrame:
+    """(#row, gain): what a document's score gains by its tokens that pairs explain.  ``asked``: #row, keys."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2000):
+                b = whole.slice(i, 2000)
+                parts = [np.frombuffer(x, "<i8") for x in b[1].to_pylist()]
+                keys, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), list(map(len, parts)))
+                r = range_of(keys, ranges)
+                order = np.argsort(r, kind="stable")
+                keys, row, r = keys[order], row[order], r[order]
+                cuts = np.flatnonzero(np.diff(r)) + 1
+                ids, rows = b[0].to_numpy(), []
+                for x, y, z in zip(np.split(r, cuts), np.split(keys, cuts), np.split(row, cuts)):
+                    if len(x):
+                        own, of = np.unique(z, return_inverse=True)  # the documents that have tokens in this range
+                        rows.append((int(x[0]), ids[own].astype("<i8").tobytes(), y.tobytes(), of.astype("<u2").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), *[pa.array([x[k] for x in rows], pa.binary()) for k in (1, 2, 3)]], names=["rng", "ids", "keys", "row"])
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        known = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, "<i8") for x in right["keys"].to_pylist()]])
+        share = np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(x, "<f4") for x in right["shares"].to_pylist()]])
+        order = np.argsort(known, kind="stable")
+        known, share = known[order], share[order]
+        model = shared.value
+        vocab = common.kept(f"pairs {model.tag}", lambda: Vocabulary(model.words, model.freq))
+        out_row, out_gain = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for ids, keys, row in zip(left["ids"].to_pylist(), left["keys"].to_pylist(), left["row"].to_pylist()) if len(known) else ():
+            keys = np.frombuffer(keys, "<i8")
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            word = keys[hit] & ((1 << INDEX_BITS) - 1)
+            cls = vocab.cls[word].astype(np.int64) - BLOCKS
+            gain = share[at[hit]] + model.pair[cls] - (model.other[cls] + vocab.log_count[word] - model.room[cls])
+            row, ids = np.frombuffer(row, "<u2")[hit], np.frombuffer(ids, "<i8")
+            sums = np.bincount(row, gain, len(ids))
+            some = np.unique(row)
+            out_row.append(ids[some])
+            out_gain.append(sums[some])
+        return pa.table({"#row": pa.array(np.concatenate(out_row)), "gain": pa.array(np.concatenate(out_gain))})
+
+    dealt = asked.mapInArrow(deal, "rng int, ids binary, keys binary, row binary")
+    met = dealt.groupBy("rng").cogroup(pairs.groupBy("rng")).applyInArrow(meet, "`#row` bigint, gain double")
+    return met.groupBy("#row").agg(F.sum("gain").alias("#pairs"))
+
+
+def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds n_tokens, n_known, train_tokens, base_score, score to ``docs``, learned from the texts of ``train``."""
+    new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    common.refuse(docs, new)
+    fitted, pairs, counted, ranges = fit(train, text_col)
+    model, text_at = docs.sparkSession.sparkContext.broadcast(fitted), common.place_of(docs, text_col)
+    extra = "`#n` bigint, `#known` bigint, `#base` double, `#score` double, `#keys` binary, `#words` array<binary>, `#times` array<int>, `#fresh` array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        tag, _, room, all_room, end_count, end_known = model.value
-        vocab, (by_class, by_word) = common.kept(f"scorer {tag}", lambda: (Vocabulary(*shared.value[1:]), tables()))
+        m = model.value
+        vocab, (by_class, by_word) = common.kept(f"scorer {m.tag}", lambda: (Vocabulary(m.words, m.freq), m.tables()))
         for whole in batches:
             for i in range(0, whole.num_rows, SLICE):
                 b = whole.slice(i, SLICE)
@@ -294,9 +472,12 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
                 head = np.flatnonzero(cls < BLOCKS)
                 s[head] += by_word[(one[head] % COARSE) * COARSE + two[head] % COARSE, ids[head]]
                 tail = np.flatnonzero((cls >= BLOCKS) & (cls < END_CLASS))
-                s[tail] += vocab.log_count[ids[tail]] - room[cls[tail] - BLOCKS]
-                base = np.where(ids < 0, end_count, vocab.log_count[ids]) - all_room
-                is_known = np.where(ids < 0, end_known, ids < vocab.size)
+                s[tail] += vocab.log_count[ids[tail]] + (m.other - m.room)[cls[tail] - BLOCKS]
+                base = np.where(ids < 0, m.end_count, vocab.log_count[ids]) - m.all_room
+                is_known = np.where(ids < 0, int(m.ends > 0), ids < vocab.size)
+                at, keys = pairs_of(vocab, ids, cls, starts)
+                cuts = np.searchsorted(at, starts)
+                asked = pa.array([keys[x:y].astype("<i8").tobytes() for x, y in zip(cuts[:-1], cuts[1:])], pa.binary())
                 rare = np.flatnonzero(ids >= vocab.size)
                 doc_of = np.searchsorted(starts, rare, "right") - 1
                 # a rare word's occurrences, and those that are not repetitions and so count for the score
@@ -313,6 +494,7 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
                     pa.array(np.add.reduceat(is_known.astype(np.int64), starts[:-1])),
                     pa.array(np.add.reduceat(base, starts[:-1])),
                     pa.array(np.add.reduceat(s, starts[:-1])),
+                    asked,
                     pa.ListArray.from_arrays(offsets, names),
                     pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
                     pa.ListArray.from_arrays(offsets, pa.array(fresh.astype(np.int32))),
@@ -320,21 +502,21 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
 
     part = common.stage(common.add_columns(docs, extra, run).withColumn("#row", F.monotonically_increasing_id()).drop(text_col), "lm-scored")
     rare = part.select("#row", F.explode(F.arrays_zip(F.col("#words").alias("w"), F.col("#times").alias("t"), F.col("#fresh").alias("f"))).alias("x")).select("#row", "x.w", "x.t", "x.f")
-    counted = counts.where(rung < least) if least is not None else counts
     gain = F.log10(F.col("c") + 1)
     found = rare.join(counted, "w").groupBy("#row").agg(
         F.sum("t").alias("#found"),
         F.sum(F.col("t") * gain).alias("#gain"),
         F.sum(F.col("f") * gain).alias("#gain_fresh"),
     )
+    hits = _pair_gains(part.where(F.octet_length("#keys") > 0).select("#row", "#keys"), pairs, model, ranges)
     zero = F.lit(0)
-    return part.join(found, "#row", "left").select(
+    return part.join(found, "#row", "left").join(hits, "#row", "left").select(
         *[F.col(f"`{c}`") for c in docs.columns if c != text_col],
         F.col("#n").alias("n_tokens"),
         (F.col("#known") + F.coalesce("#found", zero)).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
+        F.lit(fitted.total).cast("long").alias("train_tokens"),
         (F.col("#base") + F.coalesce("#gain", zero)).alias("base_score"),
-        (F.col("#score") + F.coalesce("#gain_fresh", zero)).alias("score"),
+        (F.col("#score") + F.coalesce("#gain_fresh", zero) + F.coalesce("#pairs", zero)).alias("score"),
     )
 
 

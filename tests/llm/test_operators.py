@@ -134,9 +134,82 @@ def test_lm_base_against_counts(spark):
     assert got[5].score == got[6].score
 
 
-def test_lm_beats_its_base(spark):
+def test_lm_score_token_by_token(spark):
+    """The score of whole documents by loops over tokens, from the counts of the training texts and the fitted weights."""
+    docs_ = common.table(spark, SF, "documents").select("doc_id", "text").repartition(3)
+    train = docs_.where("doc_id % 7 <> 2").select("text")
+    model, pairs, *_ = lm.fit(train)
+    got = {r.doc_id: r for r in lm.score(docs_, train).collect()}
+    train_words = [WORDS(r.text) for r in train.collect()]
+    c = Counter(w for ws in train_words for w in ws)
+    n, v = sum(c.values()) + len(train_words), len(c) + 1
+    order = {w.decode(): i for i, w in enumerate(model.words)}
+    bucket = lambda w: order[w] if w in order and order[w] < lm.OWN else lm.OWN + zlib.crc32(w.encode()[-3:]) % (lm.BOS - lm.OWN)
+    cls = lambda w: order[w] // lm.BLOCK if w in order and order[w] < lm.HEAD else lm.BLOCKS + zlib.crc32(w.encode()[-3:]) % lm.SUFFIXES
+    seen, totals = Counter(), [Counter(), Counter()]
+    for ws in train_words:
+        for before, w in zip([None, *ws], ws):
+            if before != w and w in order and cls(w) >= lm.BLOCKS:
+                seen[before, w] += 1
+    room, of = Counter({k: 1 for k in range(lm.SUFFIXES)}), Counter()
+    for w, k in c.items():
+        if cls(w) >= lm.BLOCKS:
+            room[cls(w) - lm.BLOCKS] += k + 1
+    for (before, w), k in seen.items():
+        totals[0][cls(w)] += k
+        totals[1][cls(w)] += k if k > 2 else 0
+        of[before, cls(w)] += k if k > 1 else 0
+    chance = {k: min(0.9, max(1e-6, (totals[1][k] + 0.5) / (totals[0][k] + 1))) for k in range(lm.BLOCKS, lm.BLOCKS + lm.SUFFIXES)}
+
+    def softmax(kind, one, two, outcome):
+        _, _, group = lm.SIZES[kind]
+        bias, a, b = model.weights[kind]
+        z = (bias + a[one] + b[two])[outcome // group * group : (outcome // group + 1) * group]
+        return (z[outcome % group] - np.log(np.exp(z).sum())) / np.log(10)
+
+    hits = 0
+    for r in docs_.collect()[::9]:
+        ws, want = WORDS(r.text), 0.0
+        for i, w in enumerate([*ws, None]):
+            one = bucket(ws[i - 1]) if i else lm.BOS
+            two = bucket(ws[i - 2]) if i > 1 else lm.BOS
+            k = lm.END_CLASS if w is None else lm.REPEAT if i and ws[i - 1] == w else cls(w)
+            want += softmax(0, one, two, k)
+            if k < lm.BLOCKS:
+                want += softmax(1, one % lm.COARSE, two % lm.COARSE, order[w])
+            elif k < lm.END_CLASS:
+                pair = (ws[i - 1] if i else None, w)
+                if seen[pair] > 1:
+                    hits += 1
+                    want += np.log10(chance[k]) + np.log10(seen[pair] / of[pair[0], k])
+                else:
+                    want += np.log10(1 - chance[k]) + np.log10((c[w] + 1) / room[k - lm.BLOCKS])
+        assert got[r.doc_id].score == pytest.approx(want, rel=2e-5), r.doc_id
+        assert got[r.doc_id].base_score == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws) + np.log10((len(train_words) + 1) / (n + v + 1)), rel=1e-9)
+    assert hits > 100 and pairs.count() >= 1
+
+
+def test_lm_beats_its_base_and_knows_what_it_has_seen_twice(spark):
     got = QUERIES["op5_lm"](spark, SF).where("held_out").toPandas()
     assert got["score"].sum() > got["base_score"].sum()
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(rng.choices(words, k=120)) for _ in range(120)]
+    twice = texts[:20]
+    rows = docs(spark, texts + twice).select("doc_id", "text")
+    scored = lm.score(rows, rows.select("text")).toPandas().set_index("doc_id")["score"]
+    both = scored.loc[[*range(20), *range(120, 140)]]
+    once = scored.loc[range(20, 120)].to_numpy()
+    assert (both.to_numpy()[:, None] > once[None, :]).mean() > 0.9
+
+
+def test_lm_of_little(spark):
+    rows = docs(spark).select("doc_id", "text", F.lit(1).alias("a.b"))
+    assert lm.score(rows.limit(0), rows.select("text")).count() == 0
+    none = lm.score(rows.unionAll(rows), rows.select("text").limit(0)).toPandas()
+    assert len(none) == 2 * len(TEXTS) and np.isfinite(none["score"]).all() and (none["train_tokens"] == 0).all()
+    with pytest.raises(ValueError):
+        lm.score(rows.withColumn("Score", F.lit(1)), rows.select("text"))
 
 
 # ---- language
