@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Distinct raw words whose ids a task keeps at once.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: Below this code point, letters and their lower-case forms are the same in every Unicode version.
 _STABLE = "ɐ"
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -150,7 +150,7 @@ class WordTrie:
                 key = before << 32 | t
                 fits = apart.get(key)
                 if fits is None:
-                    if len(apart) > 1_000_000:
+                    if len(apart) > 100_000:
                         apart.clear()
                     fits = apart[key] = self.m.stays_apart(self.name[before], self.name[t])
                 if fits:
@@ -200,7 +200,8 @@ class Codec:
         from tokenizers import Tokenizer
 
         spec = json.loads(tokenizer_json)
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        # only the file's normaliser and splitter are asked, for words outside the plain letters
+        self.tokenizer = Tokenizer.from_str(json.dumps({**spec, "model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         self.trie = WordTrie(spec["model"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None

@@ -49,7 +49,7 @@ from . import common
 from .graph import components
 
 #: Sets of one trie at most; distinct words kept by a task; sets a task remembers.
-CHUNK, CACHE_WORDS, CACHE_SETS = 256, 150_000, 100_000
+CHUNK, CACHE_WORDS, CACHE_SETS = 256, 120_000, 60_000
 #: Parts that the sets of an n-gram are dealt into for a join by n-gram.
 SALTS = 4
 #: N-gram hashes below 2**62 are the lowest quarter; of these, 48 bits are kept.
@@ -158,6 +158,7 @@ def _unpacked(width: int, member=None):
                 token = np.zeros((len(flat), 8), np.uint8)
                 token[:, :width] = flat
                 yield pa.RecordBatch.from_arrays([pa.array(token.view("<i8").ravel()), pa.array(np.repeat(sid, [len(x) // width for x in raw]))], names=["token", "sid"])
+        common.forget()
 
     return run
 
@@ -281,6 +282,8 @@ def _joined(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
         root, _ = trie_links([np.frombuffer(raw[k], "<u8") for k in order], percent)
         first = sid[root]
         linked = sid != first
+        if len(sid) >= CHUNK:
+            common.forget()
         return pa.table({"a": pa.array(sid[linked]), "b": pa.array(first[linked])})
 
     return sets.join(placed, "sid").select("cluster", "chunk", "sid", "tokens").groupBy("cluster", "chunk").applyInArrow(run, "a bigint, b bigint")
@@ -393,6 +396,8 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
                 b = b.filter(pa.array(_in(chosen.value, b["pos"])))
                 sets = shingle_sets(b["t"].to_pylist(), n, known)
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["sid", "tokens"])
+        known.clear()
+        common.forget()
 
     texts = df.select(F.col(f"`{text_col}`").alias("t"), _position(F.col(f"`{id_col}`").cast("bigint")).alias("pos"))
     sets = texts.mapInArrow(again, "sid bigint, tokens binary").join(needed.select("sid"), "sid", "left_semi")

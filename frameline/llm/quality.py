@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Slots of the hashed outlines and terms.
-SHAPES, TERMS = 2048, 6144
+SHAPES, TERMS = 2048, 4096
 DIM = SHAPES + TERMS
 #: Terms weigh this much beside outlines.
 TERM_WEIGHT = 0.5
@@ -149,9 +149,9 @@ def latent_space(x: np.ndarray, rank: int, rounds: int = 3, seed: int = 9) -> np
 
 
 def voter_of(x: np.ndarray, labels: np.ndarray, rank: int, neighbours: int) -> Voter:
-    """Learns the space from the labelled documents' weights; rows in the order in which ties are broken."""
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.3
-    x = x * idf
+    """Learns the space from the labelled documents' weights, which are changed in place; rows in the order in which ties are broken."""
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 0.3
+    x *= idf
     space = latent_space(x, rank) if len(x) else np.zeros((DIM, rank), np.float32)
     v = x @ space
     return Voter(idf, space, np.ascontiguousarray(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)), labels, neighbours)
@@ -177,9 +177,15 @@ def fit(labelled: DataFrame, sample_docs: int = 4000, rank: int = 48, neighbours
 
     got = drawn.mapInArrow(turn, "id bigint, y double, slots binary, weights binary").orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(sample_docs).toPandas().sort_values("id", kind="stable")
     x = np.zeros((len(got), DIM), np.float32)
+    row = None
     for row, slots, weights in zip(x, got["slots"], got["weights"]):
         row[np.frombuffer(slots, "<u2")] = np.frombuffer(weights, "<f2")
-    return voter_of(x, got.y.to_numpy(), rank, neighbours)
+    labels = got.y.to_numpy().copy()
+    del got
+    voter = voter_of(x, labels, rank, neighbours)
+    del x, row
+    common.forget()  # the sample's numbers go back to the system
+    return voter
 
 
 def score(df: DataFrame, voter: Voter, text_col: str = "text", score_col: str = "score") -> DataFrame:
