@@ -142,7 +142,7 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
     ``shortlist``: rows reranked for a query; by default a twentieth of the rows, 32 to 256.
     """
     spark = rows.sparkSession
-    rows, queries = (d.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v")).where("id is not null") for d in (rows, queries))
+    rows, queries = (d.select(common.col(id_col).cast("bigint").alias("id"), common.col(vec_col).cast("array<double>").alias("v")).where("id is not null") for d in (rows, queries))
     queries = queries.where("v is not null").groupBy("id").agg(F.min("v").alias("v"))
     n = rows.count()
     shortlist = shortlist or int(min(256, max(32, n // 20)))

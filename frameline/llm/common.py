@@ -68,6 +68,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def col(name: str) -> Column:
+    """The column of that name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """All columns but maps and variants, which have no hash."""
+    return [col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+
+
 def refuse(df: DataFrame, new: Iterable[str]) -> None:
     """``ValueError`` if ``df`` has a column of one of the names."""
     if clash := {c.lower() for c in df.columns} & {n.lower() for n in new}:

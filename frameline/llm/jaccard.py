@@ -135,7 +135,7 @@ def _seen(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
         had.clear()
         common.forget()
 
-    id_, text = F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`")
+    id_, text = common.col(id_col).cast("bigint"), common.col(text_col)
     return df.select(id_.alias("id"), text.alias("t"), row_key(id_, text).alias("key")).mapInArrow(run, "id bigint, key bigint, n bigint, sid bigint, low binary")
 
 
@@ -399,7 +399,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
         known.clear()
         common.forget()
 
-    texts = df.select(F.col(f"`{text_col}`").alias("t"), _position(F.col(f"`{id_col}`").cast("bigint")).alias("pos"))
+    texts = df.select(common.col(text_col).alias("t"), _position(common.col(id_col).cast("bigint")).alias("pos"))
     sets = texts.mapInArrow(again, "sid bigint, tokens binary").join(needed.select("sid"), "sid", "left_semi")
     sets = common.stage(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
 
@@ -436,8 +436,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     stay = rows.groupBy((F.col("n") == 0).alias("bare"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("root")).alias("group")).agg(first.alias("key"))
     stay = common.stage(stay.select("key"), "jaccard-stay")
     key, look = common.free_name(df, "__key"), common.free_name(df, "__look")
-    own = [F.col(f"`{c}`") for c in df.columns]
-    keyed = df.withColumns({key: row_key(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`")), look: F.xxhash64(*own)})
+    keyed = df.withColumns({key: row_key(common.col(id_col).cast("bigint"), common.col(text_col)), look: F.xxhash64(*common.hashable(df))})
     chosen = keyed.select(key, look).join(stay.withColumnRenamed("key", key), key, "left_semi").groupBy(key).agg(F.min(look).alias("least"))
     chosen = common.stage(chosen.select(F.col(key).alias("k"), "least"), "jaccard-chosen")
     kept = keyed.join(chosen, (F.col(key) == F.col("k")) & (F.col(look) == F.col("least")), "left_semi")

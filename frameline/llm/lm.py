@@ -511,7 +511,7 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
     hits = _pair_gains(part.where(F.octet_length("#keys") > 0).select("#row", "#keys"), pairs, model, ranges)
     zero = F.lit(0)
     return part.join(found, "#row", "left").join(hits, "#row", "left").select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != text_col],
+        *[common.col(c) for c in docs.columns if c != text_col],
         F.col("#n").alias("n_tokens"),
         (F.col("#known") + F.coalesce("#found", zero)).alias("n_known"),
         F.lit(fitted.total).cast("long").alias("train_tokens"),

@@ -134,7 +134,7 @@ def store(df: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
     range reads are spread by the media's size and not by that of the index.
     """
     at = common.place_of(df, text_col)
-    common.refuse(df.select(*[f"`{c}`" for k, c in enumerate(df.columns) if k != at]), NEW)
+    common.refuse(df.select(*[common.col(c) for k, c in enumerate(df.columns) if k != at]), NEW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         shard = None

@@ -60,7 +60,7 @@ def _left(text: Column, without: str) -> Column:
 def shapes(df: DataFrame, text_col: str, lexicons: list[list[str]], words_of: str, bins: list[str]) -> DataFrame:
     """Adds ``words_of`` (the number of words) and one column of ``bins`` for each share."""
     t, w, d = (common.free_name(df, f"__{x}") for x in ("t", "w", "d"))
-    df = df.withColumn(t, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).withColumn(w, _words(F.col(t)))
+    df = df.withColumn(t, F.coalesce(common.col(text_col), F.lit(""))).withColumn(w, _words(F.col(t)))
     df = df.withColumn(words_of, F.size(w).cast("long")).withColumn(d, F.array_distinct(w))
     long, kinds = F.greatest(F.length(t), F.lit(1)), F.greatest(F.size(d), F.lit(1))
     shares = [
@@ -220,7 +220,7 @@ def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], text_c
     rated = rated.select(*bins, F.array(*p).alias(new[1]), F.col("x").alias(new[2]))
     if size["n"] <= BROADCAST_CELLS:
         rated = F.broadcast(rated)
-    return seen.join(rated, bins).select(*[F.col(f"`{c}`") for c in seen.columns if c not in bins], *[F.col(f"`{c}`") for c in new[1:]])
+    return seen.join(rated, bins).select(*[common.col(c) for c in seen.columns if c not in bins], *[common.col(c) for c in new[1:]])
 
 
 def copies(rate: Column, doc_id: Column, seed: int = 5) -> Column:

@@ -43,17 +43,17 @@ def interleave(df: DataFrame, key: str, stratum: str, shards: int, seed: int = 4
         raise ValueError(f"column names taken: {sorted(clash)}")
     if shards < 1:
         raise ValueError("shards must be positive")
-    own = [F.col(f"`{c}`") for c in df.columns]
+    own = [common.col(c) for c in df.columns]
     name, mix, cell, n, at, rank, of, frac, place = (common.free_name(df, f"__{x}") for x in ("stratum", "mix", "cell", "n", "at", "rank", "of", "frac", "place"))
-    text = F.col(f"`{stratum}`").cast("string")
+    text = common.col(stratum).cast("string")
     # all columns, so that rows without a key, or of one key, spread too; maps have no hash
-    mixed = F.xxhash64(F.lit(seed), F.col(f"`{key}`"), *[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"])
+    mixed = F.xxhash64(F.lit(seed), common.col(key), *common.hashable(df))
     in_cell = F.pmod(F.shiftrightunsigned(mixed, 40), F.lit(cells)).cast("int")
     rows = df.select(*own, F.coalesce(F.concat(F.lit("="), text), F.lit("")).alias(name), mixed.alias(mix), in_cell.alias(cell))
 
     counts = rows.groupBy(name, cell).agg(F.count("*").alias(n))
     offsets = _before(counts, [name], cell, n, at).withColumn(of, F.sum(n).over(Window.partitionBy(name))).drop(n)
-    inside = F.row_number().over(Window.partitionBy(name, cell).orderBy(mix, F.col(f"`{key}`")))
+    inside = F.row_number().over(Window.partitionBy(name, cell).orderBy(mix, common.col(key)))
     ranked = rows.join(offsets, [name, cell]).withColumn(rank, F.col(at) + inside)
     phase = (F.pmod(F.xxhash64(F.lit(seed), F.lit("phase"), F.col(name)), F.lit(1 << 20)) + 0.5) / (1 << 20)
     ranked = ranked.withColumn(frac, (F.col(rank) - phase) / F.col(of)).drop(cell, at, rank, of)
@@ -64,7 +64,7 @@ def interleave(df: DataFrame, key: str, stratum: str, shards: int, seed: int = 4
     total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).first()["t"]
     # at most ``cells`` rows, whatever the input
     offsets = F.broadcast(_before(counts, [], cell, n, at).drop(n))
-    inside = F.row_number().over(Window.partitionBy(cell).orderBy(frac, name, mix, F.col(f"`{key}`")))
+    inside = F.row_number().over(Window.partitionBy(cell).orderBy(frac, name, mix, common.col(key)))
     placed = ranked.join(offsets, cell).withColumn(place, F.col(at) + inside - 1)
     shard = F.expr(f"(`{place}` * {shards}) div {max(total, 1)}")
     # the first place of shard s is the smallest p with p * shards >= s * total
