@@ -53,7 +53,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tokens, membership, rate, copy = (common.free_name(docs, f"__{x}") for x in ("tokens", "membership", "rate", "copy"))
     rated = mixing.mix(docs, mixing.labelled_documents(spark, sf_dir, docs), mixing.TARGETS, new=(tokens, membership, rate))
     copies = mixing.copies(F.col(rate), F.col("doc_id"))
-    return rated.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rated.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*[common.col(c) for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
