@@ -59,6 +59,8 @@ END_CLASS, REPEAT = BLOCKS + SUFFIXES, BLOCKS + SUFFIXES + 1
 CLASSES = REPEAT + 1
 #: Bits of a known word's index in a pair's hash; training tokens of a range of pairs, about; pairs a task holds before it packs them.
 INDEX_BITS, RANGE_TOKENS, HELD = 17, 4_000_000, 1_500_000
+#: Bits of the word before and the class in a pair's hash, and bytes of the whole: two first words meet with a chance of 2 ** -31.
+FEATURE_BITS, KEY_BYTES = 31, 6
 #: Groups that the packs of one feature value are summed in first.
 SALTS = 64
 
@@ -134,7 +136,7 @@ def events(vocab: Vocabulary, split: list[list[bytes]]):
 
 
 def pairs_of(vocab: Vocabulary, ids: np.ndarray, cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the tokens that a pair may explain, the pairs' hashes): 46 bits for the word before and the class, the rest for the word."""
+    """(places of the tokens that a pair may explain, the pairs' hashes): 31 bits for the word before and the class, then the word's index."""
     words = np.where(ids >= 0, vocab.hash[ids], np.uint64(0))
     before = np.concatenate([np.zeros(1, np.uint64), words[:-1]])
     before[starts[:-1]] = 0
@@ -142,7 +144,19 @@ def pairs_of(vocab: Vocabulary, ids: np.ndarray, cls: np.ndarray, starts: np.nda
     f = (before[at] ^ (cls[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
     f ^= f >> np.uint64(32)
     f *= np.uint64(0xD6E8FEB86659FD93)
-    return at, ((f >> np.uint64(INDEX_BITS + 1)) << np.uint64(INDEX_BITS) | ids[at].astype(np.uint64)).astype(np.int64)
+    return at, ((f >> np.uint64(64 - FEATURE_BITS)) << np.uint64(INDEX_BITS) | ids[at].astype(np.uint64)).astype(np.int64)
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Hashes of pairs in 6 bytes each."""
+    return keys.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def unpack(raw: list[bytes]) -> np.ndarray:
+    flat = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(flat), 8), np.uint8)
+    out[:, :KEY_BYTES] = flat
+    return out.view("<i8").ravel()
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -206,15 +220,16 @@ def _counted(texts: DataFrame, shared, text_col: str, ranges: int) -> DataFrame:
         def packed(kind: int, first: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             """One row for each value of ``first``, which is in order."""
             cuts = np.flatnonzero(np.diff(first)) + 1
-            rows = [(int(f[0]), a.tobytes(), c.astype("<u4").tobytes()) for f, a, c in zip(np.split(first, cuts), np.split(at, cuts), np.split(n, cuts)) if len(f)]
+            code = pack if kind == 2 else lambda a: a.astype("<i4").tobytes()
+            rows = [(int(f[0]), code(a), c.astype("<u4").tobytes()) for f, a, c in zip(np.split(first, cuts), np.split(at, cuts), np.split(n, cuts)) if len(f)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([int(salt)] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "first", "salt", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([0 if kind == 2 else int(salt)] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "first", "salt", "at", "n"])
 
         def pairs() -> Iterator[pa.RecordBatch]:
             keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             r = feature_range(keys, ranges)
             order = np.argsort(r, kind="stable")
-            yield from packed(2, r[order], keys[order].astype("<i8"), n[order])
+            yield from packed(2, r[order], keys[order], n[order])
             held.clear()
 
         for whole in batches:
@@ -232,7 +247,7 @@ def _counted(texts: DataFrame, shared, text_col: str, ranges: int) -> DataFrame:
         yield from pairs()
         for kind, a in sums.items():
             first, at = np.nonzero(a)
-            yield from packed(kind, first, at.astype("<i4"), a[first, at])
+            yield from packed(kind, first, at, a[first, at])
         pa.default_memory_pool().release_unused()
 
     return texts.select(text_col).mapInArrow(run, PACKS)
@@ -256,53 +271,51 @@ def log_softmax(kind: int, w: tuple[np.ndarray, np.ndarray, np.ndarray], first:
     return (z - np.log(np.exp(z).sum(-1, keepdims=True))).reshape(len(first), n, outcomes)
 
 
-def _summed(cells: DataFrame) -> DataFrame:
-    """One row for each value of the first feature: its dense counts of (second feature, outcome), whose number is fixed."""
+def _merged_packs(packs: DataFrame, shared, ranges: int) -> DataFrame:
+    """Rows (kind, first, at, n) with the packs of one value, salt and kind summed.
 
-    def dense(kind: int, packs) -> bytes:
-        n, outcomes, _ = SIZES[kind]
-        a = np.zeros(n * outcomes, np.float64)
-        for at, c in packs:
-            if c is None:
-                a += np.frombuffer(at, np.float64)
-            else:
-                a[np.frombuffer(at, "<i4")] += np.frombuffer(c, "<u4")
-        return a.tobytes()
+    Kinds 0 and 1 stay sparse cells.  Kind 2 gives pairs seen twice or more: ``first`` is the
+    range they are looked up in, ``n`` log10 of their share among the pairs of their first
+    word and class.  Kind 3 gives the class totals of a range: all tokens, and tokens of
+    pairs seen three times or more.
+    """
 
-    def some(key: tuple, group: pa.Table) -> pa.Table:
-        kind, first = key[0].as_py(), key[1].as_py()
-        raw = dense(kind, zip(group["at"].to_pylist(), group["n"].to_pylist()))
-        return pa.table({"kind": pa.array([kind], pa.int32()), "first": pa.array([first], pa.int32()), "at": pa.array([raw], pa.binary())})
-
-    def all_(key: tuple, group: pa.Table) -> pa.Table:
+    def run(key: tuple, group: pa.Table) -> pa.Table:
         kind, first = key[0].as_py(), key[1].as_py()
-        a = np.frombuffer(dense(kind, ((x, None) for x in group["at"].to_pylist())), np.float64).astype(np.float32)
-        return pa.table({"kind": pa.array([kind], pa.int32()), "first": pa.array([first], pa.int32()), "counts": pa.array([a.tobytes()], pa.binary())})
+        at, n = group["at"].to_pylist(), np.frombuffer(b"".join(group["n"].to_pylist()), "<u4").astype(np.int64)
+        if kind < 2:
+            at, n = merged(np.frombuffer(b"".join(at), "<i4"), n)
+            rows = [(kind, first, at.astype("<i4").tobytes(), n.astype("<f8").tobytes())]
+        else:
+            keys, n = merged(unpack(at), n)
+            cls = _vocabulary(shared).cls[keys & ((1 << INDEX_BITS) - 1)].astype(np.int64) - BLOCKS
+            totals = np.stack([np.bincount(cls, n, SUFFIXES), np.bincount(cls, np.where(n > 2, n, 0), SUFFIXES)])
+            keys, n = keys[n > 1], n[n > 1]
+            f, of = np.unique(keys >> INDEX_BITS, return_inverse=True)
+            share = np.log10(n / np.bincount(of, n, len(f))[of])
+            r = range_of(keys, ranges)
+            order = np.lexsort((keys, r))
+            r, keys, share = r[order], keys[order], share[order]
+            cuts = np.flatnonzero(np.diff(r)) + 1
+            rows = [(2, int(a[0]), pack(b), c.astype("<f4").tobytes()) for a, b, c in zip(np.split(r, cuts), np.split(keys, cuts), np.split(share, cuts)) if len(a)]
+            rows.append((3, first, totals.astype("<f8").tobytes(), b""))
+        return pa.table([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary()), pa.array([x[3] for x in rows], pa.binary())], names=["kind", "first", "at", "n"])
+
+    return packs.groupBy("kind", "first", "salt").applyInArrow(run, "kind int, first int, at binary, n binary")
 
-    parts = cells.groupBy("kind", "first", "salt").applyInArrow(some, "kind int, first int, at binary")
-    return parts.groupBy("kind", "first").applyInArrow(all_, "kind int, first int, counts binary")
 
-
-def _pair_table(packs: DataFrame, shared, ranges: int) -> DataFrame:
-    """Rows (rng, keys, shares) of pairs seen twice or more, with log10 of their share among those of their first word and class; and one row (rng -1) of class totals a range: all tokens, tokens of pairs seen three times or more."""
+def _summed(cells: DataFrame) -> DataFrame:
+    """One row for each value of the first feature: its dense counts of (second feature, outcome), whose number is fixed."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        at, n = group["at"].to_pylist(), group["n"].to_pylist()
-        keys, n = merged(np.concatenate([np.frombuffer(x, "<i8") for x in at]), np.concatenate([np.frombuffer(x, "<u4") for x in n]).astype(np.int64))
-        cls = _vocabulary(shared).cls[keys & ((1 << INDEX_BITS) - 1)] - BLOCKS
-        totals = np.stack([np.bincount(cls, n, SUFFIXES), np.bincount(cls, np.where(n > 2, n, 0), SUFFIXES)])
-        keys, n = keys[n > 1], n[n > 1]
-        f, of = np.unique(keys >> INDEX_BITS, return_inverse=True)
-        share = np.log10(n / np.bincount(of, n, len(f))[of])
-        r = range_of(keys, ranges)
-        order = np.lexsort((keys, r))
-        r, keys, share = r[order], keys[order], share[order]
-        cuts = np.flatnonzero(np.diff(r)) + 1
-        rows = [(int(a[0]), b.astype("<i8").tobytes(), c.astype("<f4").tobytes()) for a, b, c in zip(np.split(r, cuts), np.split(keys, cuts), np.split(share, cuts)) if len(a)]
-        rows.append((-1, totals.astype("<f8").tobytes(), b""))
-        return pa.table({"rng": pa.array([x[0] for x in rows], pa.int32()), "keys": pa.array([x[1] for x in rows], pa.binary()), "shares": pa.array([x[2] for x in rows], pa.binary())})
-
-    return packs.where("kind = 2").groupBy("first").applyInArrow(run, "rng int, keys binary, shares binary")
+        kind, first = key[0].as_py(), key[1].as_py()
+        n, outcomes, _ = SIZES[kind]
+        a = np.zeros(n * outcomes)
+        for at, c in zip(group["at"].to_pylist(), group["n"].to_pylist()):
+            a[np.frombuffer(at, "<i4")] += np.frombuffer(c, "<f8")
+        return pa.table({"kind": pa.array([kind], pa.int32()), "first": pa.array([first], pa.int32()), "counts": pa.array([a.astype(np.float32).tobytes()], pa.binary())})
+
+    return cells.groupBy("kind", "first").applyInArrow(run, "kind int, first int, counts binary")
 
 
 def fit_weights(cells: DataFrame, rounds: int = 8, rate: float = 0.7, smooth: float = 0.5) -> dict[int, tuple]:
@@ -393,15 +406,15 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, Dat
     for w, c in top[:HEAD]:
         room[_suffix(w) % SUFFIXES] -= c + 1
     ranges = max(1, -(-n_words // RANGE_TOKENS))
-    packs = common.stage(_counted(train, shared, text_col, ranges), "lm-packs")
+    packs = common.stage(_merged_packs(_counted(train, shared, text_col, ranges), shared, ranges), "lm-packs")
     weights = fit_weights(packs.where("kind < 2"))
-    pairs = common.stage(_pair_table(packs, shared, ranges), "lm-pairs")
     totals = np.zeros((2, SUFFIXES))
-    for r in pairs.where("rng = -1").select("keys").toLocalIterator():  # one short row a range
-        totals += np.frombuffer(r["keys"], "<f8").reshape(2, SUFFIXES)
+    for r in packs.where("kind = 3").select("at").toLocalIterator():  # one short row a range
+        totals += np.frombuffer(r["at"], "<f8").reshape(2, SUFFIXES)
     chance = np.clip((totals[1] + 0.5) / (totals[0] + 1), 1e-6, 0.9)
     model = Model(words, freq, n_words + ends, v_words + (ends > 0), ends, room, weights, chance)
-    return model, pairs.where("rng >= 0"), counts.where(rung < least) if least is not None else counts, ranges
+    pairs = packs.where("kind = 2").select(F.col("first").alias("rng"), F.col("at").alias("keys"), F.col("n").alias("shares"))
+    return model, pairs, counts.where(rung < least) if least is not None else counts, ranges
 
 
 def _pair_gains(asked: DataFrame, pairs: DataFrame, shared, ranges: int) -> DataFrame:
@@ -411,8 +424,8 @@ def _pair_gains(asked: DataFrame, pairs: DataFrame, shared, ranges: int) -> Data
         for whole in batches:
             for i in range(0, whole.num_rows, 2000):
                 b = whole.slice(i, 2000)
-                parts = [np.frombuffer(x, "<i8") for x in b[1].to_pylist()]
-                keys, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), list(map(len, parts)))
+                parts = b[1].to_pylist()
+                keys, row = unpack(parts), np.repeat(np.arange(len(parts)), [len(x) // KEY_BYTES for x in parts])
                 r = range_of(keys, ranges)
                 order = np.argsort(r, kind="stable")
                 keys, row, r = keys[order], row[order], r[order]
@@ -421,11 +434,11 @@ def _pair_gains(asked: DataFrame, pairs: DataFrame, shared, ranges: int) -> Data
                 for x, y, z in zip(np.split(r, cuts), np.split(keys, cuts), np.split(row, cuts)):
                     if len(x):
                         own, of = np.unique(z, return_inverse=True)  # the documents that have tokens in this range
-                        rows.append((int(x[0]), ids[own].astype("<i8").tobytes(), y.tobytes(), of.astype("<u2").tobytes()))
+                        rows.append((int(x[0]), ids[own].astype("<i8").tobytes(), pack(y), of.astype("<u2").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), *[pa.array([x[k] for x in rows], pa.binary()) for k in (1, 2, 3)]], names=["rng", "ids", "keys", "row"])
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        known = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, "<i8") for x in right["keys"].to_pylist()]])
+        known = unpack(right["keys"].to_pylist())
         share = np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(x, "<f4") for x in right["shares"].to_pylist()]])
         order = np.argsort(known, kind="stable")
         known, share = known[order], share[order]
@@ -433,7 +446,7 @@ def _pair_gains(asked: DataFrame, pairs: DataFrame, shared, ranges: int) -> Data
         vocab = common.kept(f"pairs {model.tag}", lambda: Vocabulary(model.words, model.freq))
         out_row, out_gain = [np.zeros(0, np.int64)], [np.zeros(0)]
         for ids, keys, row in zip(left["ids"].to_pylist(), left["keys"].to_pylist(), left["row"].to_pylist()) if len(known) else ():
-            keys = np.frombuffer(keys, "<i8")
+            keys = unpack([keys])
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             hit = known[at] == keys
             word = keys[hit] & ((1 << INDEX_BITS) - 1)
@@ -477,7 +490,7 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
                 is_known = np.where(ids < 0, int(m.ends > 0), ids < vocab.size)
                 at, keys = pairs_of(vocab, ids, cls, starts)
                 cuts = np.searchsorted(at, starts)
-                asked = pa.array([keys[x:y].astype("<i8").tobytes() for x, y in zip(cuts[:-1], cuts[1:])], pa.binary())
+                asked = pa.array([pack(keys[x:y]) for x, y in zip(cuts[:-1], cuts[1:])], pa.binary())
                 rare = np.flatnonzero(ids >= vocab.size)
                 doc_of = np.searchsorted(starts, rare, "right") - 1
                 # a rare word's occurrences, and those that are not repetitions and so count for the score
