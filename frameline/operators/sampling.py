@@ -72,8 +72,8 @@ def length_penalised_best(df: DataFrame, keys: list[str], log_prob: str, length:
 
 
 def seeded_pick(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows in a fixed pseudo-random order of their key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """``n`` rows in a fixed pseudo-random order of their key: that of a digest of seed and key."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def window_from(start: Column, length: int) -> Column:

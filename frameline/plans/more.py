@@ -168,7 +168,7 @@ def smp_2(spark, sf_dir):
     return far.withColumn("n", F.row_number().over(near)).withColumn("s", F.row_number().over(shut)).where("n <= 20 and s <= 20").select("clip_id", "frame_idx")
 
 
-@query("smp_1_seeded_pick")
+@query("smp_1_seeded_pick", "SELECT * FROM sv_clips WHERE n_frames >= 50 ORDER BY md5('0:' || clip_id), clip_id LIMIT 5")
 def smp_1(spark, sf_dir):
     return sampling.seeded_pick(T.clips(spark, sf_dir).where("n_frames >= 50"), "clip_id", 5)
 
