@@ -10,7 +10,8 @@ features from a range read of the member, decoded again.
 
 A shard's name holds a random part, and the rows are committed by Spark with the name
 that their own attempt wrote, so a task that is run again leaves no row that points
-to a broken shard.  A shard is written once, front to back.
+to a broken shard; the shards of attempts that failed stay in the folder, unnamed.  A
+shard is written once, front to back.
 
 Defined results: a null text is the empty text, one row of spaces; texts are stored
 whole; equal texts give equal digests, metadata and features, whatever shard holds
