@@ -57,7 +57,7 @@ LOW, LOW_SHIFT, LOW_BYTES = 62, 14, 6
 #: N-grams of the lowest quarter in more sets than this are left to step 3's second half.
 COLD = 64
 #: Sets that share an n-gram and are held against others in one task, about.
-HOT = 64
+HOT = 1024
 #: Bits of the filters that spare other documents; their size is fixed, a full filter only spares fewer.
 FILTER_BITS = 1 << 26
 #: Bits of one bucket of Spark's bitmap functions; value v is bit (v - 1) % BUCKET_BITS of bucket (v - 1) / BUCKET_BITS + 1.
