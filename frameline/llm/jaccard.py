@@ -51,7 +51,7 @@ from .graph import components
 #: Sets of one trie at most; distinct words kept by a task; sets a task remembers.
 CHUNK, CACHE_WORDS, CACHE_SETS = 256, 120_000, 60_000
 #: Parts that the sets of an n-gram are dealt into for a join by n-gram.
-SALTS = 4
+SALTS = 2
 #: N-gram hashes below 2**62 are the lowest quarter; of these, 48 bits are kept.
 LOW, LOW_SHIFT, LOW_BYTES = 62, 14, 6
 #: N-grams of the lowest quarter in more sets than this are left to step 3's second half.
@@ -341,10 +341,10 @@ def _links(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     roots = components(links).select(F.col("id").alias("sid"), "root")
     comp = common.stage(member.join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("comp")), "jaccard-comps")
     # what is still apart: pairs of different components that share one of their rarest n-grams
-    own = common.stage(prefixes.join(comp, "sid"), "jaccard-own")
-    mixed = own.groupBy("kind", "token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("c0 <> c1")
+    all_own = common.stage(prefixes.join(comp, "sid"), "jaccard-own")
+    mixed = all_own.groupBy("kind", "token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("c0 <> c1")
     mixed = _salted(mixed.select("kind", "token", "parts"))
-    own = common.stage(own.withColumn("salt", _part(SALTS)).join(mixed, ["kind", "token", "salt"]).drop("salt"), "jaccard-apart")
+    own = common.stage(all_own.withColumn("salt", _part(SALTS)).join(mixed, ["kind", "token", "salt"]).drop("salt"), "jaccard-apart")
     # sets of a frequent n-gram are dealt out, so that no task meets more than about HOT of them at once
     other = own.select("kind", "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rn").alias("rm"), F.col("comp").alias("comp_b"))
     own = own.withColumn("part", _part(F.col("parts")))
@@ -353,7 +353,7 @@ def _links(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     pairs = own.join(other, ["kind", "token", "part"]).where("comp < comp_b").where(F.col("m") * 100 >= F.col("n") * percent).where(F.col("n") * 100 >= F.col("m") * percent)
     pairs = pairs.where(reach * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
     # both sets' rarest n-grams are held against each other before any whole set is moved
-    rarest = prefixes.groupBy("kind", "sid").agg(F.collect_list("token").alias("ts"))  # a set's own: bounded by its text
+    rarest = all_own.groupBy("kind", "sid").agg(F.collect_list("token").alias("ts"))  # a set's own: bounded by its text
     pairs = pairs.select("kind", F.col("sid").alias("a"), "b", "n", "m").distinct()
     pairs = pairs.join(rarest.select("kind", F.col("sid").alias("a"), F.col("ts").alias("x")), ["kind", "a"]).join(rarest.select("kind", F.col("sid").alias("b"), F.col("ts").alias("y")), ["kind", "b"])
     n, m = F.col("n"), F.col("m")
