@@ -435,7 +435,8 @@ def _pair_gains(asked: DataFrame, pairs: DataFrame, shared, ranges: int) -> Data
                     if len(x):
                         own, of = np.unique(z, return_inverse=True)  # the documents that have tokens in this range
                         rows.append((int(x[0]), ids[own].astype("<i8").tobytes(), pack(y), of.astype("<u2").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), *[pa.array([x[k] for x in rows], pa.binary()) for k in (1, 2, 3)]], names=["rng", "ids", "keys", "row"])
+                some = [int(ids[0]) if len(ids) else 0] * len(rows)  # names the batch, whose gains come together again
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([x[0] for x in rows], pa.int32()), *[pa.array([x[k] for x in rows], pa.binary()) for k in (1, 2, 3)]], names=["some", "rng", "ids", "keys", "row"])
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         known = unpack(right["keys"].to_pylist())
@@ -444,8 +445,8 @@ def _pair_gains(asked: DataFrame, pairs: DataFrame, shared, ranges: int) -> Data
         known, share = known[order], share[order]
         model = shared.value
         vocab = common.kept(f"pairs {model.tag}", lambda: Vocabulary(model.words, model.freq))
-        out_row, out_gain = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for ids, keys, row in zip(left["ids"].to_pylist(), left["keys"].to_pylist(), left["row"].to_pylist()) if len(known) else ():
+        out: list[tuple[int, bytes, bytes]] = []
+        for batch, ids, keys, row in zip(*(left[c].to_pylist() for c in ("some", "ids", "keys", "row"))) if len(known) else ():
             keys = unpack([keys])
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             hit = known[at] == keys
@@ -453,15 +454,20 @@ def _pair_gains(asked: DataFrame, pairs: DataFrame, shared, ranges: int) -> Data
             cls = vocab.cls[word].astype(np.int64) - BLOCKS
             gain = share[at[hit]] + model.pair[cls] - (model.other[cls] + vocab.log_count[word] - model.room[cls])
             row, ids = np.frombuffer(row, "<u2")[hit], np.frombuffer(ids, "<i8")
-            sums = np.bincount(row, gain, len(ids))
-            some = np.unique(row)
-            out_row.append(ids[some])
-            out_gain.append(sums[some])
-        return pa.table({"#row": pa.array(np.concatenate(out_row)), "gain": pa.array(np.concatenate(out_gain))})
-
-    dealt = asked.mapInArrow(deal, "rng int, ids binary, keys binary, row binary")
-    met = dealt.groupBy("rng").cogroup(pairs.groupBy("rng")).applyInArrow(meet, "`#row` bigint, gain double")
-    return met.groupBy("#row").agg(F.sum("gain").alias("#pairs"))
+            sums, hits = np.bincount(row, gain, len(ids)), np.unique(row)
+            if len(hits):
+                out.append((batch, ids[hits].astype("<i8").tobytes(), sums[hits].astype("<f8").tobytes()))
+        return pa.table({"some": pa.array([x[0] for x in out], pa.int64()), "ids": pa.array([x[1] for x in out], pa.binary()), "sums": pa.array([x[2] for x in out], pa.binary())})
+
+    def total(group: pa.Table) -> pa.Table:
+        """The gains of one batch of documents, over all ranges."""
+        ids, of = np.unique(np.frombuffer(b"".join(group["ids"].to_pylist()), "<i8"), return_inverse=True)
+        return pa.table({"#row": pa.array(ids), "#pairs": pa.array(np.bincount(of, np.frombuffer(b"".join(group["sums"].to_pylist()), "<f8"), len(ids)))})
+
+    dealt = asked.mapInArrow(deal, "some bigint, rng int, ids binary, keys binary, row binary")
+    # one row a batch and range, so that the rows do not grow with documents x ranges
+    met = dealt.groupBy("rng").cogroup(pairs.groupBy("rng")).applyInArrow(meet, "some bigint, ids binary, sums binary")
+    return met.groupBy("some").applyInArrow(total, "`#row` bigint, `#pairs` double")
 
 
 def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFrame:
