@@ -2,12 +2,14 @@
 
 from .ann import op1_ann
 from .bpe import op10_bpe
+from .clusters import lloyd_sql, op11_lloyd
 from .jaccard import op8_jaccard
 from .langid import op6_langid
 from .lm import op5_lm
 from .media import op9_media
 from .mixing import op7_mixing
 from .quality import op4_quality
+from .repair import op13_repair
 from .sharding import op2_sharding
 from .tokencount import op3_token_counts
 
@@ -22,6 +24,8 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_media": op9_media,
     "op10_bpe": op10_bpe,
+    "op11_lloyd": op11_lloyd,
+    "op13_repair": op13_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_lloyd": lloyd_sql()}
