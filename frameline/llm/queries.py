@@ -12,6 +12,7 @@ from .quality import op4_quality
 from .repair import op13_repair
 from .sharding import op2_sharding
 from .tokencount import op3_token_counts
+from .tokenfile import op12_tokenfile
 
 QUERIES = {
     "op1_ann": op1_ann,
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_media": op9_media,
     "op10_bpe": op10_bpe,
     "op11_lloyd": op11_lloyd,
+    "op12_tokenfile": op12_tokenfile,
     "op13_repair": op13_repair,
 }
 
