@@ -56,8 +56,10 @@ def id_remainder(doc_id: Column, k: int) -> Column:
 
 
 def hash_below(doc_id: Column, fraction: float, seed: int = 7) -> Column:
-    """True for a fixed pseudo-random ``fraction`` of ids; the same ids at every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1_000_000)) < F.lit(int(round(fraction * 1_000_000)))
+    """True for a fixed pseudo-random ``fraction`` of ids, however small; the same ids at every run."""
+    if fraction >= 1:
+        return F.lit(True)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 1) < F.lit(int(fraction * (1 << 63)))
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

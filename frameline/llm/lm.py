@@ -41,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -215,7 +216,7 @@ def _counted(texts: DataFrame, shared, text_col: str, ranges: int) -> DataFrame:
         vocab = _vocabulary(shared)
         sums = {k: np.zeros((n, n * outcomes), np.int32) for k, (n, outcomes, _) in SIZES.items()}
         held: list[np.ndarray] = []
-        salt = np.random.default_rng().integers(SALTS)  # which group sums a pack first; sums do not depend on it
+        salt = TaskContext.get().partitionId() % SALTS  # which group sums a pack first; a task that runs again must choose the same
 
         def packed(kind: int, first: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             """One row for each value of ``first``, which is in order."""

@@ -25,6 +25,7 @@ kept under any name, and a new column whose name is taken raises ``ValueError``.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from math import log
 
@@ -37,8 +38,8 @@ from . import common
 BINS = 8
 #: Shares below the first value are in bin 0, those from the second on in the last bin; between them bins are even on a log scale.
 LEAST, MOST = 0.0005, 0.5
-#: More combinations of bins than this are joined without a broadcast.
-BROADCAST_CELLS = 50_000
+#: More combinations of bins than this are joined without a broadcast; three domains have 8 ** 6 at most.
+BROADCAST_CELLS = 8**6
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SIGNS = "!#$%&*|<>{}[]=+~^@_\\/"
 #: What stands between words: white space and ASCII punctuation.
@@ -135,7 +136,9 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: Mapping[str, float]
     the sign turned, found by Newton steps.  A step needs the domains' totals and the
     domains x domains sums over the rows with a rate, one aggregation.  Ends when no gap is
     over ``close``, or when the duality gap shows that the squared gap is within a
-    thousandth of the least possible; ``RuntimeError`` if ``rounds`` are too few for that.
+    thousandth of the least possible.  Where ``rounds`` are too few for that, or ``eps`` falls
+    below what doubles can tell apart, the point with the smallest gap that was seen is
+    taken, and its gap is logged as a warning.
     """
     size = len(domains)
     weight = sum(targets.get(d, 0.0) for d in domains)
@@ -147,13 +150,11 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: Mapping[str, float]
     share = F.col("tokens") / F.lit(float(total))
     # decimals, so that the order of the rows changes nothing
     exact = lambda x: F.sum(x.cast("decimal(38,16)")).cast("double")
-    done = 0
+    done, best = 0, (float("inf"), np.zeros(size))
 
     def at(push: np.ndarray, eps: float):
         """Objective, its gradient and curvature, the totals, and the greatest push on a row."""
-        nonlocal done
-        if done >= rounds:
-            raise RuntimeError(f"the rates have not converged in {rounds} rounds")
+        nonlocal done, best
         done += 1
         x = rate_of(p, push)
         on = F.when(x > 0, share).otherwise(0.0)
@@ -168,33 +169,35 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: Mapping[str, float]
         for i, j in pairs:
             curve[i, j] += r[f"h{i}_{j}"]
             curve[j, i] = curve[i, j]
+        best = min(best, (float(np.abs(totals - want).max()), push), key=lambda b: b[0])
         return eps / 2 * push @ push + r["s"] / 2 - want @ push, eps * push + totals - want, curve, totals, r["most"]
 
     push, eps = np.zeros(size), 1e-2
-    while True:
+    while done < rounds and eps > 1e-16:
         value, slope, curve, totals, most = at(push, eps)
-        while np.abs(slope).max() > 1e-12:
-            move, step = -np.linalg.solve(curve, slope), 1.0
+        while np.abs(slope).max() > 1e-12 and done < rounds:
+            move, step = -np.linalg.lstsq(curve, slope, rcond=None)[0], 1.0
             while True:
                 new = at(push + step * move, eps)
                 if new[0] <= value + 1e-4 * step * (slope @ move) or np.abs(new[1]).max() <= np.abs(slope).max() / 2:
                     break
                 step /= 2
-                if step < 1e-6:
+                if step < 1e-6 or done >= rounds:
                     break
-            if step < 1e-6:  # as near as doubles allow
+            if step < 1e-6 or not np.isfinite(new[0]):  # as near as doubles allow
                 break
             push = push + step * move
             value, slope, curve, totals, most = new
         gap = totals - want
         if np.abs(gap).max() <= close:
-            break
+            return [float(v) for v in push]
         # the tokens of the best rates are no more than the targets' and the gap's; no row has a steeper way down than eps * most
         mass = want.sum() + size**0.5 * np.linalg.norm(gap)
         if gap @ totals + mass * eps * max(0.0, most) <= 1e-3 * (gap @ gap):
-            break
+            return [float(v) for v in push]
         eps /= 10
-    return [float(v) for v in push]
+    logging.getLogger(__name__).warning("rates after %d rounds: the largest gap to a target share is %.3g", done, best[0])
+    return [float(v) for v in best[1]]
 
 
 def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], text_col: str = "text", budget: float | None = None, new: tuple[str, str, str] = ("n_tokens", "membership", "rate"), keep_text: bool = True) -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from frameline.llm import clusters, repair
+from frameline.llm import clusters, common, mixing, repair, tokenfile
 from frameline.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -176,3 +179,126 @@ def test_repair_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = {r["conv_id"]: tuple(r)[1:] for r in QUERIES["op13_repair"](spark, SF).collect()}
     assert got == {c: repair_loop(rs)[0] for c, rs in by_conversation(rows).items()}
+
+
+# ---- defects of earlier rounds
+
+
+def test_rates_of_skewed_cells_end_with_the_best_point(spark):
+    cells = spark.createDataFrame([(10**12, 0.999999, 1e-6, 1e-9), (3, 0.1, 0.1, 0.8)], "tokens bigint, p0 double, p1 double, p2 double")
+    push = mixing.fit_rates(cells, ["clean", "poor", "toxic"], mixing.TARGETS, 1e12 + 3, rounds=60)
+    assert len(push) == 3 and all(map(math.isfinite, push))
+
+
+def test_a_small_fraction_draws_rows(spark):
+    n = 2_000_000
+    drawn = spark.range(n).where(common.hash_below(F.col("id"), 4e-6 / 10)).count()  # under a millionth
+    assert common.hash_below(F.col("id"), 1e-12) is not None and drawn <= 8
+    assert 60 <= spark.range(n).where(common.hash_below(F.col("id"), 5e-5)).count() <= 140
+    assert spark.range(100).where(common.hash_below(F.col("id"), 1.0)).count() == 100
+    fraction = "shiftrightunsigned(xxhash64(7, id), 1) < %d" % int(4e-7 * (1 << 63))
+    assert spark.range(20_000_000).where(fraction).count() == spark.range(20_000_000).where(common.hash_below(F.col("id"), 4e-7)).count() > 0
+
+
+# ---- token files
+
+
+def test_blocks_come_back():
+    rng = np.random.default_rng(4)
+    for n, top in ((1, 5), (1000, 50_257), (1024, 1), (64, 1 << 32)):
+        for percentile in (1.0, 50.0, 98.0, 100.0):
+            rows = (rng.pareto(1, (7, n)) * 3 % top).astype(np.uint32)
+            rows[3] = 9 % top
+            packed = tokenfile.pack(rows, percentile)
+            assert (tokenfile.unpack([memoryview(b) for b in packed]) == rows.ravel()).all()
+    few = np.zeros((1, 100), np.uint32)
+    few[0, 50] = 1 << 31
+    assert len(tokenfile.pack(few, 98.0)[0]) == tokenfile.HEAD.size + 6  # one exception, no bits for the rest
+
+
+class Memory:
+    def __init__(self, data):
+        self.data = data
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, n, at):
+        return self.data[at : at + n]
+
+
+def test_a_file_is_read_by_ranges():
+    rng = random.Random(6)
+    docs = [(None if i < 2 else i * 3, np.array([rng.randrange(60_000) for _ in range(rng.choice([0, 1, 5, 700]))], np.uint32)) for i in range(300)]
+    out = io.BytesIO()
+    out.close = lambda: None
+    w = tokenfile.Writer(out, block=64)
+    for i, ids in docs:
+        w.add(i, ids)
+    assert w.close() == len(out.getvalue())
+    r = tokenfile.Reader(Memory(out.getvalue()))
+    got = [x for a in range(0, r.n_ids + 1, 5000) for x in r.documents(a, a + 5000, at_once=1000)]
+    assert [(i, ids.tolist()) for i, _, ids in got] == [(i, ids.tolist()) for i, ids in docs]
+    assert [at for _, at, _ in got] == np.cumsum([0] + [len(d) for _, d in docs])[:-1].tolist()
+    for broken in (b"", out.getvalue()[:-1], out.getvalue()[:2000] + out.getvalue()[-44:]):
+        with pytest.raises(ValueError):
+            tokenfile.Reader(Memory(broken))
+
+
+ODD = [None, "", " ", "  two  spaces ", "a b c d", "tab\t and\nline \n end", " lead", "trail ", "x<|endoftext|>y <|endoftext|> z", "it's we'll", "é\x1c \x1df", "東京 12,345 🎉🎉", "w" * 3000, "same words here", "same words here"]
+
+
+def tokenizer_file():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_encoder_against_the_library():
+    from tokenizers import Tokenizer
+
+    library, mine = Tokenizer.from_file(tokenizer_file()), tokenfile.Encoder(open(tokenizer_file(), encoding="utf-8").read())
+    rng = random.Random(8)
+    signs = ["a", "B", " ", " ", " ", "\n", "\t", "'s", "é", "1", ".", " ", "<|endoftext|>", "\x1d", "Ġ", "\u0085"]
+    texts = [t or "" for t in ODD] + ["".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(3000)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in mine.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    words = tokenfile.Encoder(open(tokenizer_file().replace("byte_bpe_50k", "word_bpe_49k"), encoding="utf-8").read())
+    assert not words.by_words and words.encode(["one Two"]) == words._ids(["one Two"])
+
+
+@pytest.mark.parametrize("sizes", [{}, {"file_bytes": 900, "block": 16}])
+def test_token_files_against_the_library(spark, sizes):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_file())
+    rows = [(i, t, i) for i, t in enumerate(ODD)] + [(None, "no id", 1), (5, "again", 2), (5, "again", 2), (-3, "first", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, start int").repartition(3)
+    folder = common.fresh_path(spark, "tokens")
+    manifest = tokenfile.write(df, folder, open(tokenizer_file(), encoding="utf-8").read(), 2, **sizes)
+    got = sorted(tokenfile.read(manifest, folder, read_ids=50).collect(), key=lambda r: (r["start"], r["n_tokens"]))
+    ids = lambda t: library.encode(t or "", add_special_tokens=False).ids + [2]
+    assert sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist()) for r in got) == sorted((str(i), ids(t)) for i, t, _ in rows)
+    keys = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+    assert keys == sorted(keys) and [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+    crc = {(r["start"], r["ids_crc32"]) for r in tokenfile.checksums(manifest, folder).collect()}
+    assert crc == {(r["start"], zlib.crc32(r["ids"])) for r in got}
+    assert manifest.count() == (1 if not sizes else manifest.count()) and manifest.agg(F.sum("n_docs")).first()[0] == len(rows)
+
+
+def test_token_files_of_nothing(spark):
+    df = spark.createDataFrame([], "doc_id bigint, text string")
+    folder = common.fresh_path(spark, "tokens")
+    manifest = tokenfile.write(df, folder, open(tokenizer_file(), encoding="utf-8").read(), 2)
+    assert manifest.count() == 0 and tokenfile.checksums(manifest, folder).count() == 0
+
+
+def test_token_file_query(spark):
+    from tokenizers import Tokenizer
+
+    library, at = Tokenizer.from_file(tokenizer_file()), 0
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op12_tokenfile"](spark, SF).collect()}
+    for i, t in sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+        assert got.pop(i) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert not got
