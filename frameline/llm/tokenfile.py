@@ -60,6 +60,8 @@ FILE_BYTES = 64 << 20
 READ_IDS = 4_000_000
 #: Distinct words, and letters of them, that a task keeps.
 WORDS, LETTERS = 800_000, 16 << 20
+#: Signs that may end a word.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # ---- blocks
@@ -214,6 +216,7 @@ class Encoder:
         self.after_space = np.zeros(max(names.values()) + 1, bool)
         self.after_space[[i for t, i in names.items() if t[0] == "Ġ"]] = True
         self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         self.letters = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -238,11 +241,18 @@ class Encoder:
             return self._ids(texts)
         if len(self.known) > WORDS or self.letters > LETTERS:
             self.known.clear()
+            self.signs.clear()
             self.letters = 0
         split = [t.split(" ") for t in texts]
-        new = {w for s in split for w in s[1:] if w not in self.known}
+        new = {w for w in set().union(*split) if w not in self.known}
         odd = {w for w in new if w != w.strip() or not w}
-        self._learn(list(new - odd))
+        # letters and the signs that end a word are pieces of their own
+        ended = {w: (b, w[len(b) :]) for w in new - odd if (b := w.rstrip(SIGNS)) != w and b.isalpha()}
+        self._learn(list({*(new - odd - ended.keys()), *(b for b, _ in ended.values() if b not in self.known)}))
+        signs = list({s for _, s in ended.values()} - self.signs.keys())
+        self.signs.update(zip(signs, self._ids(signs)))
+        for w, (b, s) in ended.items():
+            self.known[w] = self.known[b] + self.signs[s]
         # a space beside white space is no seam: such texts go whole
         whole = [not s[0] or s[0] != s[0].strip() or bool(odd) and not odd.isdisjoint(s[1:]) for s in split]
         first = self._ids([t if w else s[0] for t, s, w in zip(texts, split, whole)])
