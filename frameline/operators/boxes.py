@@ -1,13 +1,11 @@
-"""Order-dependent box operators: suppression, tracking, shot numbering, inverse filters.
+"""Order-dependent box operators: suppression, tracking, cuts, reuse of restored faces.
 
-What can be folded over a bounded array is a built-in expression; trackers are grouped
-Python over numpy columns, a shot (where tracks end) or a clip at a time.
+What can be folded over a bounded array is a built-in expression; suppression is grouped
+Python over numpy columns; trackers, in `tracking`, take a clip's frames one by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -49,31 +47,6 @@ def suppress(df: DataFrame, threshold: float, keys: list[str], score: str = "sco
     return df.groupBy(*keys).applyInPandas(run, df.schema)
 
 
-def track_one(df: DataFrame, least_iou: float = 0.15, most_diagonals: float = 1.5, width: float = 640, height: float = 480) -> DataFrame:
-    """(clip_id, frame_idx, det_id) of one face followed through the frames: best IoU, else nearest centre, else lost and seeded anew at the next frame."""
-    middle = np.array([width, height]) / 2
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((g["det_id"].to_numpy(), g["frame_idx"].to_numpy()))
-        box, frame = g[BOX].to_numpy(float)[order], g["frame_idx"].to_numpy()[order]
-        centre = (box[:, :2] + box[:, 2:]) / 2
-        seed = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1]) * np.maximum(0.2, 1 - np.hypot(*(centre - middle).T) / np.hypot(*middle))
-        picked, now = [], -1
-        for part in np.split(np.arange(len(box)), np.flatnonzero(np.diff(frame)) + 1):
-            if now < 0:
-                now = part[seed[part].argmax()]
-            else:
-                near = pair_iou(box[now : now + 1], box[part])[0]
-                away = np.hypot(*(centre[part] - centre[now]).T)
-                reach = most_diagonals * max(1.0, np.hypot(*(box[now, 2:] - box[now, :2])))
-                now = part[near.argmax()] if near.max() >= least_iou else part[away.argmin()] if away.min() <= reach else -1
-            if now >= 0:
-                picked.append(order[now])
-        return g.iloc[picked][["clip_id", "frame_idx", "det_id"]]
-
-    return df.groupBy("clip_id").applyInPandas(run, "clip_id bigint, frame_idx int, det_id int")
-
-
 class Faces:
     """Live tracks of one shot, as arrays: names, boxes, frames of the last match."""
 
@@ -105,97 +78,12 @@ class Faces:
         self.name, self.box, self.seen = self.name[live], self.box[live], self.seen[live]
 
 
-def followed(frame: np.ndarray, forced: np.ndarray, boxes: dict[int, np.ndarray], least_iou: float, most_missed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(frame, tracks, boxes) through the frames of one shot; boxes are looked for where ``forced`` says so and while nothing is tracked, held between."""
-    faces, none = Faces(least_iou, most_missed), np.zeros((0, 4))
-    for f, must in zip(frame.tolist(), forced.tolist()):
-        if must or not len(faces.name):
-            found = boxes.get(f, none)
-            names = faces.look(f, found)
-            faces.drop(f)
-        else:
-            faces.drop(f)
-            names, found = faces.name, faces.box
-        if len(names):
-            yield f, names, found.copy()
-
-
-def track_many(detections: DataFrame, frames: DataFrame, stride: int = 3, least_iou: float = 0.3, most_missed: int = 8) -> DataFrame:
-    """(clip_id, frame_idx, track_id, box) of all faces.
-
-    Boxes are detected every ``stride`` frames, at cuts, at both ends of the clip, and while
-    nothing is tracked; between, live tracks hold their boxes.  A track ends ``most_missed``
-    frames after its last match, and all end at a cut, so each shot is followed on its own
-    and the tracks are numbered through the clip afterwards.
-    """
-    clip = Window.partitionBy("clip_id").orderBy("frame_idx")
-    rows = frames.select("clip_id", "frame_idx", "shot_id").withColumn("cut", F.coalesce(F.lag("shot_id").over(clip) != F.col("shot_id"), F.lit(True)))
-    forced = F.col("cut") | F.lead("frame_idx").over(clip).isNull() | ((F.row_number().over(clip) - 1) % max(stride, 1) == 0)
-    rows = rows.select("clip_id", "frame_idx", F.sum(F.col("cut").cast("int")).over(clip).alias("part"), forced.alias("forced"))
-    found = detections.select("clip_id", "frame_idx", "det_id", *BOX).join(rows.select("clip_id", "frame_idx", F.col("part").alias("of")), ["clip_id", "frame_idx"])
-
-    def run(key: tuple, d: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        d, f = d.sort_values(["frame_idx", "det_id"]), f.sort_values("frame_idx")
-        at, box = d["frame_idx"].to_numpy(), d[BOX].to_numpy(float)
-        cuts = np.flatnonzero(np.diff(at)) + 1
-        boxes = {int(k[0]): b for k, b in zip(np.split(at, cuts), np.split(box, cuts)) if len(k)}
-        got = list(followed(f["frame_idx"].to_numpy(), f["forced"].to_numpy(), boxes, least_iou, most_missed))
-        out = pd.DataFrame(np.concatenate([b for *_, b in got]) if got else np.zeros((0, 4)), columns=BOX)
-        out.insert(0, "clip_id", key[0])
-        out.insert(1, "part", key[1])
-        out.insert(2, "frame_idx", np.repeat([g[0] for g in got], [len(g[1]) for g in got]))
-        out.insert(3, "track", np.concatenate([g[1] for g in got]) if got else np.zeros(0, int))
-        return out
-
-    kind = "clip_id bigint, part bigint, frame_idx int, track int, x1 double, y1 double, x2 double, y2 double"
-    shots = found.groupBy("clip_id", "of").cogroup(rows.groupBy("clip_id", "part")).applyInPandas(run, kind)
-    born = shots.groupBy("clip_id", "part").agg((F.max("track") + 1).alias("n"))
-    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("clip_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    met = shots.join(born.select("clip_id", "part", earlier.alias("earlier")), ["clip_id", "part"])
-    return met.select("clip_id", "frame_idx", (F.col("track") + F.col("earlier")).cast("int").alias("track_id"), *BOX)
-
-
 def cut_between(distance: Column, difference: Column, hard: float = 0.45, soft: float = 0.30, least_difference: float = 25.0) -> Column:
     """Is there a cut before this frame?  A large distance alone, or a fair one with a large difference; a threshold of 0 or less turns the second off."""
     both = (distance >= soft) & (difference >= least_difference) if soft > 0 and least_difference > 0 else F.lit(False)
     return F.coalesce((distance >= hard) | both, F.lit(False))
 
 
-def number_shots(df: DataFrame, cut: Column, least: int, out: str = "shot_no") -> DataFrame:
-    """Shot numbers from cut flags; a cut counts only ``least`` frames after the last one that counted (at first: frame 0).
-
-    Only the frames of a clip's cuts meet in one row; the numbers are a running count.
-    """
-    rows = df.select("clip_id", "frame_idx", F.coalesce(cut, F.lit(False)).alias("cut"))
-    cuts = rows.where("cut and frame_idx > 0").groupBy("clip_id").agg(F.array_sort(F.collect_list("frame_idx")).alias("at"))
-    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("kept"))
-    step = lambda s, f: F.when(f - s["last"] >= least, F.struct(f.alias("last"), F.array_append(s["kept"], f).alias("kept"))).otherwise(s)
-    kept = cuts.select("clip_id", F.explode(F.aggregate("at", start, step)["kept"]).alias("frame_idx"), F.lit(1).alias("new"))
-    w = Window.partitionBy("clip_id").orderBy("frame_idx")
-    number = F.sum(F.coalesce("new", F.lit(0))).over(w).cast("int")
-    return rows.join(kept, ["clip_id", "frame_idx"], "left").select("clip_id", "frame_idx", number.alias(out))
-
-
-def undo_pre_emphasis(df: DataFrame, value: str, k: float = 0.97, out: str = "restored", part: int = 64) -> DataFrame:
-    """y[t] = x[t] + k * y[t - 1] over the frames of a clip.
-
-    Parts of ``part`` frames are summed from nothing by a window; what each hands on to the
-    next is folded over one number a part.
-    """
-    clip = Window.partitionBy("clip_id").orderBy("frame_idx")
-    rows = df.select("clip_id", "frame_idx", F.col(value).cast("double").alias("x")).withColumn("at", F.row_number().over(clip) - 1)
-    rows = rows.withColumns({"p": F.floor(F.col("at") / part).cast("int"), "i": (F.col("at") % part).cast("int")})
-    inside = Window.partitionBy("clip_id", "p").orderBy("i")
-    rows = rows.withColumn("own", F.sum(F.col("x") * F.pow(F.lit(k), -F.col("i"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(k), F.col("i")))
-    ends = rows.groupBy("clip_id", "p").agg(F.max_by("own", "i").alias("end"), (F.max("i") + 1).alias("n"))
-    ends = ends.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("p", "end", "n"))).alias("l"))
-    start = F.array(F.lit(0.0))
-    carried = F.aggregate("l", start, lambda s, e: F.array_append(s, e["end"] + F.pow(F.lit(k), e["n"]) * F.element_at(s, -1)))
-    carry = ends.select("clip_id", F.posexplode(carried).alias("p", "carry"))
-    met = rows.join(carry, ["clip_id", "p"])
-    return met.select("clip_id", "frame_idx", (F.col("own") + F.col("carry") * F.pow(F.lit(k), F.col("i") + 1)).alias(out))
-
-
 def reuse_plan(df: DataFrame, keys: list[str], stride: int = 3, least_iou: float = 0.35) -> DataFrame:
     """Adds ``source``: the frame whose restored face each frame takes, itself or the last one restored.
 

@@ -1,8 +1,9 @@
 """Interval joins and cuts.  Segments: clip_id, pos, seg_start, seg_end; visual intervals: clip_id, speaker_id, t0, t1, in seconds, half-open.
 
-Ranges meet in an equi-join on the clip and a bin of time, so that a clip costs what
-overlaps in it and not segments x intervals; a nearest interval is found by running
-extremes over the clip's times.
+Ranges meet in an equi-join on the clip and a bin of time, longer ranges in coarser bins,
+so that a clip costs what overlaps in it and not segments x intervals or seconds; a
+nearest interval is found by running extremes over the clip's times.  Segments are given
+to speakers by one such join and a sweep over each segment's own times.
 """
 
 from __future__ import annotations
@@ -11,24 +12,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import interval_gap, interval_overlap
+from .stages import stage
 
 NOBODY = -1
-#: Seconds of a bin; longer ranges stand in several bins.
-BIN = 4.0
+#: Seconds of the finest bins, and how much coarser each next level of bins is.
+BIN, COARSER = 4.0, 8.0
+#: Times beyond this, in seconds, are no times; ranges with such an end, or one that is not a number, meet nothing.
+LAST_TIME = 1e15
+
+
+def _timed(*times: str) -> Column:
+    sound = F.lit(True)
+    for t in times:
+        c = F.col(t).cast("double")
+        sound = sound & F.coalesce(~F.isnan(c) & (F.abs(c) <= LAST_TIME), F.lit(False))
+    return sound
+
+
+def _level(lo: str, hi: str) -> Column:
+    """The finest level whose bins are as long as the range, so that it stands in two bins at most."""
+    long = (F.col(hi) - F.col(lo)) / BIN
+    return F.when(long < 1 - 1e-9, 0).otherwise(F.ceil(F.log(COARSER, F.greatest(long, F.lit(1.0))) + 1e-9)).cast("int")
+
+
+def _bin(level: Column, time: Column) -> Column:
+    return F.floor(time / (BIN * F.pow(F.lit(COARSER), level)))
 
 
 def meeting(left: DataFrame, right: DataFrame, a: Column | str, b: Column | str, t0: str, t1: str, touch: bool = False) -> DataFrame:
-    """Left rows with the right rows of their clip whose [t0, t1) overlaps [a, b); with ``touch``, also those that only meet."""
+    """Left rows with the right rows of their clip whose [t0, t1) overlaps [a, b); with ``touch``, also those that only meet.
+
+    Two ranges meet if one begins inside the other.  A range of any length stands in two
+    bins of its own level at most, and a beginning in one bin of every level that the other
+    side has, so what is joined grows with the rows and their pairs, and not with lengths.
+    Each pair comes up once: by the left one's beginning, if that is not the earlier one,
+    else by the right one's.
+    """
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
-    at = lambda c: F.floor(c / BIN)
-    bins = lambda lo, hi: F.explode(F.sequence(at(lo), F.greatest(at(lo), at(hi))))
-    rows = left.withColumns({"__a": a, "__b": b}).withColumn("__bin", bins(F.col("__a"), F.col("__b")))
-    other = right.withColumn("__bin", bins(F.col(t0), F.col(t1)))
-    met = rows.join(other, ["clip_id", "__bin"])
-    # a pair that shares several bins counts in the first of them
-    met = met.where(F.col("__bin") == F.greatest(at(F.col("__a")), at(F.col(t0))))
+    rows = left.withColumns({"__a": a, "__b": b}).where(_timed("__a", "__b"))
+    other = right.where(_timed(t0, t1))
+
+    def dealt(df: DataFrame, levels: DataFrame, lo: str, hi: str, range_side: int, point_side: int) -> DataFrame:
+        df = df.withColumns({"__levels": levels.scalar(), "__own": _level(lo, hi)})
+        where = lambda side, level, time: F.struct(F.lit(side).alias("side"), level.cast("int").alias("level"), _bin(level, time).alias("bin"))
+        stands = F.array_distinct(F.array(where(range_side, F.col("__own"), F.col(lo)), where(range_side, F.col("__own"), F.greatest(lo, hi))))
+        begins = F.transform("__levels", lambda v: where(point_side, v, F.col(lo)))
+        return df.withColumn("__at", F.explode(F.concat(stands, begins))).drop("__levels", "__own")
+
+    def levels(df: DataFrame, lo: str, hi: str) -> DataFrame:
+        """One row with a few numbers."""
+        return df.agg(F.collect_set(_level(lo, hi)))
+
+    # side 0: the left one begins inside the right one; side 1: the right one begins later, inside the left one
+    met = dealt(rows, levels(other, t0, t1), "__a", "__b", 1, 0).join(dealt(other, levels(rows, "__a", "__b"), t0, t1, 0, 1), ["clip_id", "__at"])
     near = (F.col(t0) <= F.col("__b")) & (F.col(t1) >= F.col("__a")) if touch else (F.col(t0) < F.col("__b")) & (F.col(t1) > F.col("__a"))
-    return met.where(near).drop("__a", "__b", "__bin")
+    return met.where(near & (F.col("__at.side") == F.when(F.col(t0) <= F.col("__a"), 0).otherwise(1))).drop("__a", "__b", "__at")
 
 
 def best_overlap(runs: DataFrame, segments: DataFrame, fps: float, share: float = 0.5) -> DataFrame:
@@ -105,42 +143,87 @@ def speakers_of(pieces: DataFrame, intervals: DataFrame, key: list[str], a: str,
     return first.groupBy("clip_id", *key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ipos", "speaker_id"))), lambda s: s["speaker_id"]).alias("speakers"))
 
 
+def _counted(pairs: DataFrame, marks: DataFrame, key: list[str], lo: Column, hi: Column, hi_too: bool) -> DataFrame:
+    """Each pair with the numbers ``i`` of the marks that shut at ``lo`` or later and open before ``hi``, or at ``hi`` with ``hi_too``.
+
+    ``marks``: ``key``, opens, shuts, both rising with the number, which counts from 0.  A
+    sweep: all these times stand in one order, and running counts of what has shut and
+    opened give each pair its first and last number.  ``pairs``: ``key`` and a struct ``p``
+    with a number ``ipos``.
+    """
+    begin, shuts, opens, end = 0, 2, 3, 4 if hi_too else 1
+    event = lambda at, order: F.struct(at.alias("at"), F.lit(order).alias("order"))
+    both = lambda df, p, one, two: df.select(*key, p.alias("p"), F.explode(F.array(one, two)).alias("e")).select(*key, "p", "e.*")
+    none = F.lit(None).cast(pairs.schema["p"].dataType)
+    swept = both(pairs, F.col("p"), event(lo, begin), event(hi, end)).unionByName(both(marks, none, event(F.col("opens"), opens), event(F.col("shuts"), shuts)))
+    w = Window.partitionBy(*key).orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda order: F.count_if(F.col("order") == order).over(w)
+    swept = swept.withColumns({"shut": of(shuts), "opened": of(opens)}).where(F.col("order").isin(begin, end))
+    ends = swept.groupBy(*key, "p.ipos").agg(F.any_value("p").alias("p"), F.max(F.when(F.col("order") == begin, F.col("shut"))).alias("from"), F.max(F.when(F.col("order") == end, F.col("opened"))).alias("to"))
+    return ends.where("to > from").select(*key, "p", F.explode(F.sequence("from", F.col("to") - 1)).alias("i"))
+
+
+def _numbered(df: DataFrame, key: list[str], at: str) -> DataFrame:
+    return df.withColumn("i", (F.row_number().over(Window.partitionBy(*key).orderBy(at)) - 1).cast("long"))
+
+
+def _pairs(segments: DataFrame, intervals: DataFrame, grown: float) -> DataFrame:
+    """(clip_id, pos, seg_start, seg_end, p) of the intervals that overlap a segment, touch it or lie within ``grown`` seconds of it."""
+    own = segments.select("clip_id", "pos", "seg_start", "seg_end")
+    met = meeting(own, positioned(intervals), F.col("seg_start") - grown, F.col("seg_end") + grown, "t0", "t1", touch=True)
+    return met.select("clip_id", "pos", "seg_start", "seg_end", F.struct("speaker_id", "t0", "t1", "ipos").alias("p"))
+
+
+def _switches(segments: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(clip_id, pos, at): of ``segments``, by their ``pairs``."""
+    key = ["clip_id", "pos"]
+    ends = pairs.select(*key, "seg_start", "seg_end", F.explode(F.array("p.t0", "p.t1")).alias("at"))
+    inside = ends.where("at > seg_start and at < seg_end").select(*key, "at")
+    times = _numbered(inside.unionByName(segments.select(*key, F.col("seg_start").alias("at"))).distinct(), key, "at")
+    probe = F.col("at") + 1e-6
+    marks = times.select(*key, probe.alias("opens"), probe.alias("shuts"))
+    shown = _counted(pairs, marks, key, F.col("p.t0"), F.col("p.t1"), False)
+    longest = F.struct((F.col("p.t1") - F.col("p.t0")).alias("long"), (-F.col("p.ipos")).alias("first"))
+    shown = shown.groupBy(*key, "i").agg(F.max_by("p.speaker_id", longest).alias("speaker_id"))
+    seen = times.join(shown, [*key, "i"], "left").withColumn("now", F.coalesce("speaker_id", F.lit(-2)))
+    seen = seen.withColumn("before", F.lag("now").over(Window.partitionBy(*key).orderBy("at")))
+    return seen.where("before is not null and before <> now").select(*key, "at")
+
+
 def switch_points(segments: DataFrame, intervals: DataFrame) -> DataFrame:
     """(clip_id, pos, at): times inside a segment at which the speaker shown changes; silence is a speaker of its own."""
-    ends = intervals.select("clip_id", F.explode(F.array("t0", "t1")).alias("at")).distinct()
-    own = segments.select("clip_id", "pos", "seg_start", "seg_end")
-    inside = meeting(own, ends.withColumn("to", F.col("at")), "seg_start", "seg_end", "at", "to").select("clip_id", "pos", "at")
-    times = inside.unionByName(own.select("clip_id", "pos", F.col("seg_start").alias("at"))).withColumn("probe", F.col("at") + 1e-6)
-    shown = meeting(times, positioned(intervals), "probe", "probe", "t0", "t1", touch=True).where(F.col("probe") < F.col("t1"))
-    w = Window.partitionBy("clip_id", "pos", "at").orderBy(F.desc(F.col("t1") - F.col("t0")), "ipos")
-    shown = shown.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("clip_id", "pos", "at", "speaker_id")
-    row = Window.partitionBy("clip_id", "pos").orderBy("at")
-    seen = times.join(shown, ["clip_id", "pos", "at"], "left").withColumn("now", F.coalesce("speaker_id", F.lit(-2)))
-    seen = seen.withColumn("before", F.lag("now").over(row)).where("before is not null and before <> now")
-    return seen.select("clip_id", "pos", "at")
-
-
-def _assigned(pieces: DataFrame, intervals: DataFrame, key: list[str], a: str, b: str, most_gap: float) -> DataFrame:
-    """Speaker of each piece: the only one that overlaps, else the nearest if within ``most_gap`` seconds (of any of that speaker's intervals)."""
-    met = pieces.join(overlapping(pieces, intervals, key, a, b), ["clip_id", *key], "left")
-    near = nearest(pieces, intervals, key, a, b).withColumnRenamed("speaker_id", "near")
-    met = met.join(near, ["clip_id", *key], "left")
-    one = F.coalesce("n_speakers", F.lit(0)) == 1
-    return met.withColumn("speaker_id", F.when(one, F.col("only")).when(F.col("gap") <= most_gap, F.col("near")).otherwise(NOBODY)).drop("only", "near", "gap")
+    return _switches(segments, stage(_pairs(segments, intervals, 1e-6), "switch-pairs"))
 
 
 def assign_split(segments: DataFrame, intervals: DataFrame, most_gap: float = 0.5) -> DataFrame:
-    """(clip_id, pos, t_start, t_end, speaker_id): segments given to speakers; one that several overlap is cut where the speaker changes."""
-    own = segments.select("clip_id", "pos", "seg_start", "seg_end")
-    many = overlapping(own, intervals, ["pos"], "seg_start", "seg_end").where("n_speakers > 1").select("clip_id", "pos")
-    whole = _assigned(own.join(many, ["clip_id", "pos"], "left_anti"), intervals, ["pos"], "seg_start", "seg_end", most_gap)
-    split = own.join(many, ["clip_id", "pos"], "left_semi")
-    cuts = split.select("clip_id", "pos", F.explode(F.array("seg_start", "seg_end")).alias("at"))
-    cuts = cuts.unionByName(switch_points(split, intervals)).select("clip_id", "pos", F.round("at", 6).alias("at")).distinct()
-    w = Window.partitionBy("clip_id", "pos").orderBy("at")
-    pieces = cuts.select("clip_id", "pos", F.col("at").alias("a"), F.lead("at").over(w).alias("b")).where("b - a >= 1e-4")
-    done = _assigned(pieces, intervals, ["pos", "a"], "a", "b", most_gap)
-    return whole.select("clip_id", "pos", F.col("seg_start").alias("t_start"), F.col("seg_end").alias("t_end"), "speaker_id").unionByName(done.select("clip_id", "pos", F.col("a").alias("t_start"), F.col("b").alias("t_end"), "speaker_id"))
+    """(clip_id, pos, t_start, t_end, speaker_id): segments given to speakers; one that several overlap is cut where the speaker changes.
+
+    A piece goes to the only speaker that overlaps it, else to the nearest within ``most_gap``
+    seconds, else to nobody.  One range join brings the intervals to the segments; what each
+    piece meets is counted off along its segment.
+    """
+    key, grown = ["clip_id", "pos"], most_gap + 1e-5
+    own = segments.select(*key, "seg_start", "seg_end")
+    pairs = stage(_pairs(own, intervals, grown), "assign-pairs")  # read several times below
+    over = F.least("p.t1", "seg_end") > F.greatest("p.t0", "seg_start")
+    many = pairs.where(over).groupBy(*key).agg((F.min("p.speaker_id") < F.max("p.speaker_id")).alias("split")).where("split")
+    told = own.join(many, key, "left")
+    split = told.where("split").drop("split")
+    cut = pairs.join(many.select(*key), key, "left_semi")
+    ends = split.select(*key, F.explode(F.array("seg_start", "seg_end")).alias("at"))
+    cuts = ends.unionByName(_switches(split, cut)).select(*key, F.round("at", 6).alias("at")).distinct()
+    whole = told.where("split is null").select(*key, F.col("seg_start").alias("at"), F.col("seg_end").alias("end"))
+    cuts = cuts.withColumn("end", F.lead("at").over(Window.partitionBy(*key).orderBy("at"))).where("end is not null")
+    pieces = stage(_numbered(whole.unionByName(cuts), key, "at").select(*key, "i", F.col("at").alias("a"), F.col("end").alias("b")), "assign-pieces")
+    near = _counted(pairs, pieces.select(*key, F.col("a").alias("opens"), F.col("b").alias("shuts")), key, F.col("p.t0") - grown, F.col("p.t1") + grown, True)
+    met = near.join(pieces, [*key, "i"])
+    gap = interval_gap(F.col("a"), F.col("b"), F.col("p.t0"), F.col("p.t1"))
+    off = F.abs((F.col("p.t0") + F.col("p.t1")) * 0.5 - (F.col("a") + F.col("b")) * 0.5)
+    over = F.when(F.least("p.t1", "b") > F.greatest("p.t0", "a"), F.col("p.speaker_id"))
+    near = met.groupBy(*key, "i").agg(F.min(over).alias("least"), F.max(over).alias("most"), F.min(F.struct(gap.alias("gap"), off.alias("off"), "p.ipos", "p.speaker_id")).alias("near"))
+    speaker = F.when(F.col("least") == F.col("most"), F.col("least")).when(F.col("near.gap") <= most_gap, F.col("near.speaker_id")).otherwise(NOBODY)
+    done = pieces.join(near, [*key, "i"], "left")
+    return done.where((F.col("b") - F.col("a") >= 1e-4)).select(*key, F.col("a").alias("t_start"), F.col("b").alias("t_end"), speaker.alias("speaker_id"))
 
 
 def segment_frames(segments: DataFrame, clips: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 """Queries by area; importing the package fills the registry."""
 
-from . import audio, landmarks, more, registry, segments, words  # noqa: F401
+from . import audio, landmarks, more, registry, scale, segments, words  # noqa: F401

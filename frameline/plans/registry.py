@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import boxes, intervals, runs, sampling, windows
+from ..operators import boxes, intervals, runs, sampling, scans, tracking, windows
 from ..sources import timeline as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -776,12 +776,18 @@ def top_11(spark, sf_dir):
 
 @query("trk_1_one_face")
 def trk_1(spark, sf_dir):
-    return boxes.track_one(detections(spark, sf_dir))
+    return tracking.track_one(detections(spark, sf_dir))
 
 
 @query("trk_2_many_faces")
 def trk_2(spark, sf_dir):
-    return boxes.track_many(detections(spark, sf_dir), T.frames(spark, sf_dir))
+    return tracking.track_many(detections(spark, sf_dir), T.frames(spark, sf_dir))
+
+
+@query("trk_2_streamed")
+def trk_2_streamed(spark, sf_dir):
+    """Looked for at every frame, so that all pairs are matched, and forgotten soon."""
+    return tracking.track_many(detections(spark, sf_dir), T.frames(spark, sf_dir), stride=1, least_iou=0.5, most_missed=2)
 
 
 @query("trk_3_stride", "SELECT clip_id, frame_idx FROM sv_frames JOIN sv_clips USING (clip_id) WHERE frame_idx % 3 = 0 OR frame_idx = n_frames - 1")
@@ -803,7 +809,7 @@ RECURSIVE = VIEWS.replace("WITH sv_base", "WITH RECURSIVE sv_base", 1)
 
 @query("win_6_number_shots", RECURSIVE + numbered_sql("flags AS (SELECT clip_id, frame_idx, event_type = 'purchase' AS cut FROM sv_base)", 5), views=False)
 def win_6(spark, sf_dir):
-    return boxes.number_shots(T.base(spark, sf_dir), F.col("event_type") == "purchase", 5)
+    return scans.number_shots(T.base(spark, sf_dir), F.col("event_type") == "purchase", 5)
 
 
 @query(
@@ -818,7 +824,7 @@ def win_6_distance(spark, sf_dir):
 
     w = Window.partitionBy("clip_id").orderBy("frame_idx")
     rows = T.base(spark, sf_dir).withColumns({"dist": F.abs(F.col("open_prob") - F.lag("open_prob").over(w)), "mae": F.abs(F.col("k") - F.lag("k").over(w))})
-    return boxes.number_shots(rows, boxes.cut_between(F.col("dist"), F.col("mae")), 3)
+    return scans.number_shots(rows, boxes.cut_between(F.col("dist"), F.col("mae")), 3)
 
 
 @query(
@@ -830,7 +836,7 @@ def win_6_distance(spark, sf_dir):
     views=False,
 )
 def prj_26(spark, sf_dir):
-    return boxes.undo_pre_emphasis(T.base(spark, sf_dir), "open_prob").select("clip_id", "frame_idx", *six("restored"))
+    return scans.recurrence(T.base(spark, sf_dir), "open_prob", 0.97).select("clip_id", "frame_idx", *six("restored"))
 
 
 @query(

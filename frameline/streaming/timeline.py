@@ -58,7 +58,7 @@ def number_shots(frames: DataFrame, cut: Column, least: int, idle: str | None =
 def follow_faces(frames: DataFrame, stride: int = 3, least_iou: float = 0.3, most_missed: int = 8, idle: str | None = None) -> DataFrame:
     """(clip_id, frame_idx, track_id, box) of faces in frames that arrive in order by clip: clip_id, frame_idx, shot_id, boxes (an array of structs x1, y1, x2, y2).
 
-    As `boxes.track_many`, but that the last frame of a clip is not known and so not looked at
+    As `tracking.track_many`, but that the last frame of a clip is not known and so not looked at
     for its own sake.  A clip's state is its live tracks, the number of frames and tracks so
     far, and the last shot; with ``idle`` it goes when no frame has come for that long.
     """

@@ -12,7 +12,7 @@ from frameline.functions import english as E
 from frameline.functions import geometry as G
 from frameline.functions import speech as S
 from frameline.functions import text as X
-from frameline.operators import boxes, intervals, runs, sampling, windows
+from frameline.operators import boxes, intervals, runs, sampling, scans, tracking, windows
 from frameline.sources import timeline as T
 
 
@@ -128,16 +128,16 @@ def test_shot_numbers_against_a_loop(spark):
         if i and f and i - at >= 5:
             now, at = now + 1, i
         want.append(now)
-    assert [r.shot_no for r in boxes.number_shots(df, F.col("f"), 5).orderBy("frame_idx").collect()] == want
+    assert [r.shot_no for r in scans.number_shots(df, F.col("f"), 5).orderBy("frame_idx").collect()] == want
 
 
 def test_trackers(spark):
     rows = [(1, i, k, 5.0 * i + 100 * k, 0.0, 5.0 * i + 100 * k + 40, 40.0) for i in range(8) for k in (0, 1)]
     det = spark.createDataFrame(rows, "clip_id bigint, frame_idx int, det_id int, x1 double, y1 double, x2 double, y2 double")
-    got = boxes.track_many(det, frames(spark, "1" * 8, "00001111"), stride=1).collect()
+    got = tracking.track_many(det, frames(spark, "1" * 8, "00001111"), stride=1).collect()
     by = {(r.frame_idx, r.track_id) for r in got}
     assert by == {(i, t) for i in range(4) for t in (0, 1)} | {(i, t) for i in range(4, 8) for t in (2, 3)}
-    assert len({r.det_id for r in boxes.track_one(det).collect()}) == 1
+    assert len({r.det_id for r in tracking.track_one(det).collect()}) == 1
 
 
 def test_nearest_keeps_ties_in_order(spark):
@@ -299,7 +299,7 @@ def test_tracks_expire_and_hold(spark):
     found = [(1, f, d, *box[d]) for f in range(20) for d in range(2) if d == 0 or f == 0]
     frames_ = spark.createDataFrame(rows, "clip_id bigint, frame_idx int, shot_id int")
     dets = spark.createDataFrame(found, "clip_id bigint, frame_idx int, det_id int, x1 double, y1 double, x2 double, y2 double")
-    got = boxes.track_many(dets, frames_, stride=3, most_missed=4).toPandas()
+    got = tracking.track_many(dets, frames_, stride=3, most_missed=4).toPandas()
     # the second face is seen at frame 0 alone: held at 1, 2 and 4, not shown at frame 3 (looked for there), gone after 4
     assert sorted(got[got.track_id == 1].frame_idx) == [0, 1, 2, 4] and sorted(got[got.track_id == 0].frame_idx) == list(range(20))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from frameline.operators import boxes
+from frameline.operators import boxes, scans, tracking
 from frameline.sources import timeline as T
 from frameline.streaming import timeline as S
 
@@ -28,7 +28,7 @@ def test_shot_numbers_over_batches(spark, tmp_path):
         rows.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "frames"))
     stream = S.read_events(spark, str(tmp_path / "frames"), files_a_batch=1)
     got = drained(S.number_shots(stream, F.col("event_type") == "purchase", 5), "shots", tmp_path, "append")
-    want = boxes.number_shots(rows, F.col("event_type") == "purchase", 5)
+    want = scans.number_shots(rows, F.col("event_type") == "purchase", 5)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
@@ -57,7 +57,7 @@ def test_faces_over_batches(spark, tmp_path):
         given.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = drained(S.follow_faces(S.read_events(spark, str(tmp_path / "in"), files_a_batch=1)), "faces", tmp_path, "append")
     dets = tracks.withColumnRenamed("track_id", "det_id")
-    want = boxes.track_many(dets, rows)
+    want = tracking.track_many(dets, rows)
     last = {r.clip_id: r.m for r in rows.groupBy("clip_id").agg(F.max("frame_idx").alias("m")).collect()}
     clean = lambda df: sorted(tuple(r) for r in df.collect() if r.frame_idx < last[r.clip_id])
     assert clean(got) == clean(want)
