@@ -341,7 +341,7 @@ def _links(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     roots = components(links).select(F.col("id").alias("sid"), "root")
     comp = common.stage(member.join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("comp")), "jaccard-comps")
     # what is still apart: pairs of different components that share one of their rarest n-grams
-    all_own = common.stage(prefixes.join(comp, "sid"), "jaccard-own")
+    all_own = common.stage(prefixes.drop("own").join(comp, "sid"), "jaccard-own")
     mixed = all_own.groupBy("kind", "token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("c0 <> c1")
     mixed = _salted(mixed.select("kind", "token", "parts"))
     own = common.stage(all_own.withColumn("salt", _part(SALTS)).join(mixed, ["kind", "token", "salt"]).drop("salt"), "jaccard-apart")
