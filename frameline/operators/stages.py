@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` below ``spark.checkpoint.dir`` and reads it back: a lost executor costs a read, never the rounds before.
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes ``df``, in folders by the values of ``by`` if it is given, below ``spark.checkpoint.dir`` and reads it back: a lost executor costs a read, never the rounds before.
 
     In local mode without that setting a folder of this machine serves; elsewhere that is an error.
     """
@@ -22,5 +22,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         folder = "file://" + tempfile.mkdtemp(prefix="frameline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, iou
-from ..operators import boxes, chunks, intervals, matching, runs, scans, windows
+from ..operators import boxes, chunks, intervals, matching, runs, scans, search, windows
 from ..sources import timeline as T
 from .registry import GATE, RECURSIVE, SPLIT_SQL, iou_sql, mask, numbered_sql, query, six
 
@@ -107,3 +107,42 @@ def prj_26_scan(spark, sf_dir):
     restored = scans.recurrence(rows, "open_prob", 0.97, part=4)
     summed = scans.recurrence(rows, "open_prob", 1.0, "summed", part=4)
     return restored.join(summed, ["clip_id", "frame_idx"]).select("clip_id", "frame_idx", *six("restored", "summed"))
+
+
+# ---------------------------------------------------------------- search
+
+
+@query(
+    "top_7_search",
+    RECURSIVE
+    + """, lp AS (SELECT clip_id, frame_idx AS step, p AS prev, t AS token, -((k * 7 + p * 13 + t * 29 + frame_idx) % 50 + 1) / 8.0::DOUBLE AS lp
+      FROM (SELECT *, unnest(range(4)) AS t FROM (SELECT *, unnest(range(3)) AS p FROM sv_base))),
+    walk AS (
+      SELECT clip_id, 0 AS step, 0 AS beam, [0] AS tokens, 0.0::DOUBLE AS score, false AS done, 0 AS at_, 0 AS rank_ FROM sv_clips
+      UNION ALL
+      SELECT clip_id, step + 1, CAST(saved AS INTEGER), tokens, score, done, at_, CAST(rank_ AS INTEGER) FROM (
+        SELECT *, count(*) FILTER (done) OVER (PARTITION BY clip_id ORDER BY at_, done DESC, rank_) AS n_done FROM (
+          SELECT *, coalesce(count(*) FILTER (was_live AND NOT done) OVER (PARTITION BY clip_id ORDER BY was_live, score DESC, beam, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS saved,
+                 CASE WHEN was_live THEN row_number() OVER (PARTITION BY clip_id ORDER BY was_live, score DESC, beam, place) ELSE old_rank END AS rank_ FROM (
+            SELECT * FROM (
+              SELECT w.clip_id, w.step, w.beam, NOT w.done AS was_live, w.rank_ AS old_rank, w.done OR l.token = 3 AS done, CASE WHEN w.done THEN w.at_ ELSE w.step END AS at_,
+                     CASE WHEN w.done THEN w.tokens ELSE list_append(w.tokens, CAST(l.token AS INTEGER)) END AS tokens, w.score + coalesce(l.lp, 0.0) AS score,
+                     row_number() OVER (PARTITION BY w.clip_id, w.done, w.beam, CASE WHEN w.done THEN w.tokens END ORDER BY l.lp DESC, l.token) AS place,
+                     count(*) FILTER (w.done) OVER (PARTITION BY w.clip_id) AS were_done, count(l.token) OVER (PARTITION BY w.clip_id) AS goes_on
+              FROM walk w LEFT JOIN lp l ON NOT w.done AND l.clip_id = w.clip_id AND l.step = w.step AND l.prev = w.tokens[len(w.tokens)] WHERE w.step < 14)
+            WHERE were_done < 4 AND goes_on > 0 AND place <= 4 AND (done OR score IS NOT NULL))
+        ) WHERE NOT was_live OR saved < 3
+      ) WHERE NOT done OR n_done <= 4),
+    last AS (SELECT * FROM walk QUALIFY step = max(step) OVER (PARTITION BY clip_id)),
+    ended AS (SELECT clip_id, CASE WHEN done THEN tokens ELSE list_append(tokens, 3) END AS tokens, score, done, row_number() OVER (PARTITION BY clip_id ORDER BY done DESC, CASE WHEN done THEN at_ END, CASE WHEN done THEN rank_ END, score DESC, beam DESC) AS n FROM last)
+    SELECT clip_id, array_to_string(tokens, ' ') AS tokens, round(score, 6) AS score, done AS finished FROM ended WHERE done OR n <= 3""",
+    views=False,
+)
+def top_7_search(spark, sf_dir):
+    """Beams of three through fourteen steps at most, patience 1.3: four finished sequences end a clip's search."""
+    rows = T.base(spark, sf_dir)
+    tokens = rows.select("clip_id", "frame_idx", "k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("prev")).withColumn("token", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    lp = -((F.col("k") * 7 + F.col("prev") * 13 + F.col("token") * 29 + F.col("frame_idx")) % 50 + 1) / 8.0
+    table = tokens.select("clip_id", F.col("frame_idx").alias("step"), "prev", "token", lp.alias("lp"))
+    found = search.beam_search(T.clips(spark, sf_dir), table, ["clip_id"], first=0, end=3, beam_size=3, most_steps=14, patience=1.3)
+    return found.select("clip_id", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"), *six("score"), "finished")
