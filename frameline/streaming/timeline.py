@@ -1,17 +1,14 @@
-"""Timeline operators on streams: windowed totals with late rows, shot numbers and face tracks with carried state."""
+"""Timeline operators on streams: windowed totals with late rows, shot numbers with carried state.  Face tracks are in `faces`, sinks in `sinks`."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.boxes import BOX, Faces
-
 
 def read_events(spark: SparkSession, folder: str, files_a_batch: int = 64) -> DataFrame:
     """Stream of the event files that arrive in a folder; the schema is that of the files already there."""
@@ -53,41 +50,3 @@ def number_shots(frames: DataFrame, cut: Column, least: int, idle: str | None =
     rows = frames.select("clip_id", "frame_idx", F.coalesce(cut, F.lit(False)).alias("cut"))
     kind = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
     return rows.groupBy("clip_id").applyInPandasWithState(run, "clip_id bigint, frame_idx int, shot_no int", "now int, at int", "append", kind)
-
-
-def follow_faces(frames: DataFrame, stride: int = 3, least_iou: float = 0.3, most_missed: int = 8, idle: str | None = None) -> DataFrame:
-    """(clip_id, frame_idx, track_id, box) of faces in frames that arrive in order by clip: clip_id, frame_idx, shot_id, boxes (an array of structs x1, y1, x2, y2).
-
-    As `tracking.track_many`, but that the last frame of a clip is not known and so not looked at
-    for its own sake.  A clip's state is its live tracks, the number of frames and tracks so
-    far, and the last shot; with ``idle`` it goes when no frame has come for that long.
-    """
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, born, shot, names, boxes, last = state.get if state.exists else (0, 0, None, [], [], [])
-        faces = Faces(least_iou, most_missed)
-        faces.born = born
-        faces.name, faces.box, faces.seen = np.array(names, np.int64), np.array(boxes, float).reshape(-1, 4), np.array(last, np.int64)
-        rows = []
-        for f in pd.concat(parts).sort_values("frame_idx").itertuples():
-            if shot is not None and f.shot_id != shot:
-                faces.drop(1 << 40)
-            found = np.array([[b[c] for c in BOX] for b in (f.boxes if f.boxes is not None else [])], float).reshape(-1, 4)
-            looks = seen % max(stride, 1) == 0 or shot != f.shot_id or not len(faces.name)
-            name = faces.look(f.frame_idx, found) if looks else None
-            faces.drop(f.frame_idx)
-            name, box = (name, found) if looks else (faces.name, faces.box)
-            rows += [(key[0], f.frame_idx, int(n), *b) for n, b in zip(name, box)]
-            seen, shot = seen + 1, int(f.shot_id)
-        state.update((seen, faces.born, shot, faces.name.tolist(), faces.box.ravel().tolist(), faces.seen.tolist()))
-        if idle:
-            state.setTimeoutDuration(idle)
-        yield pd.DataFrame(rows, columns=["clip_id", "frame_idx", "track_id", *BOX])
-
-    kind = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    kept = "seen int, born int, shot int, names array<bigint>, boxes array<double>, last array<bigint>"
-    rows = frames.select("clip_id", "frame_idx", "shot_id", "boxes")
-    return rows.groupBy("clip_id").applyInPandasWithState(run, "clip_id bigint, frame_idx int, track_id int, x1 double, y1 double, x2 double, y2 double", kept, "append", kind)
