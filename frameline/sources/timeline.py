@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import named
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -84,18 +86,52 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, root: str, repeat: int = 1, header: bool = False) -> DataFrame:
-    """First word of each line, joined to ``root``, given ``repeat`` times; blank lines are left out."""
-    lines = spark.read.text(path).withColumn("value", F.trim("value")).where("value <> ''")
-    if header:
-        lines = lines.withColumn("at", F.monotonically_increasing_id()).where("at <> 0").drop("at")
+    """First word of each line, joined to ``root``, given ``repeat`` times; blank lines are left out, and with ``header`` the first line of every file."""
+    # one column of whole lines: neither separator nor quote occurs in a text line
+    lines = spark.read.schema("value string").csv(path, sep="\u0001", quote="", escape="", header=header, maxCharsPerColumn=-1)
+    lines = lines.withColumn("value", F.trim("value")).where("value <> ''")
     name = F.split("value", r"\s+")[0]
     return lines.select(F.concat_ws("/", F.lit(root.rstrip("/")), name).alias("path"), F.explode(F.sequence(F.lit(1), F.lit(repeat))).alias("copy"))
 
 
-def read_clip_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON file a clip."""
-    kind = "mp4_path string, wav_path string, video_size array<int>, face_size array<int>, frames int, face_list array<array<int>>, landmark_list array<array<array<int>>>, isvalid boolean"
-    return spark.read.schema(kind).json(path, multiLine=True)
+def packed_files(spark: SparkSession, folder: str, glob: str | None = None, task_bytes: int = 64 << 20, task_files: int = 1000, bare: bool = False) -> DataFrame:
+    """(path, length, content) of all files below a folder, whole, many small ones to a task.
+
+    ``glob`` is held against the files' names where they are listed, so no other file is
+    opened; ``bare`` leaves the content out, and then none is.  Tasks get ``task_files`` files or
+    ``task_bytes`` bytes at most, about; a larger file is a task of its own.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(folder)
+    if bare:
+        return files.select("path", "length")
+    size = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()  # lengths are in the listing
+    parts = max(1, -(-size["n"] // task_files), -(-size["bytes"] // task_bytes))
+    return files.select("path", "length", "content").coalesce(parts)
+
+
+#: The metadata that a clip's JSON file holds.
+CLIP_METADATA = "mp4_path string, wav_path string, video_size array<int>, face_size array<int>, frames int, face_list array<array<int>>, landmark_list array<array<array<int>>>, isvalid boolean"
+
+
+def read_json_files(spark: SparkSession, folder: str, kind: str, glob: str = "*.json", **packing) -> DataFrame:
+    """One row a file, a JSON object each: ``path``, the columns of the DDL text ``kind``, and ``error``, why a file is not one.
+
+    Files that are no JSON object, or hold a value of another kind, are rows with their error and
+    with what could be read; none of them ends the job.  A file without a single byte has no row,
+    as Spark leaves it out where it lists.
+    """
+    text = F.col("content").cast("string")
+    got = F.from_json(text, f"{kind}, `__bad` string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    read = packed_files(spark, folder, glob, **packing).select("path", text.alias("__text"), got.alias("__r"))
+    bad = F.col("__r").isNull() | F.col("__r.__bad").isNotNull()
+    why = F.when(F.trim("__text", F.lit(" \t\r\n")) == "", "the file is blank").when(bad, F.concat(F.lit("not the expected JSON: "), F.substring("__text", 1, 80)))
+    return read.withColumn("error", why).select("path", "__r.*", "error").drop("__bad")
+
+
+def read_clip_metadata(spark: SparkSession, folder: str, **packing) -> DataFrame:
+    """The clips' metadata, one JSON file a clip, with ``path`` and ``error``."""
+    return read_json_files(spark, folder, CLIP_METADATA, **packing)
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
@@ -105,18 +141,18 @@ def read_sentences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, endings: list[str]) -> DataFrame:
-    """Paths below a folder with one of the endings, sorted; bytes are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
-    ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.where(ending.isin([e.lower() for e in endings])).orderBy("path")
+    """Paths below a folder with one of the endings, in any case, sorted; no file is opened."""
+    glob = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in endings) + "}"
+    return packed_files(spark, folder, glob, bare=True).orderBy("path")
 
 
 def write_resumable(df: DataFrame, done: DataFrame | None, key: str, path: str) -> None:
-    """Appends the rows whose key is not in ``done``, as JSON lines."""
+    """Appends the rows whose key is not in ``done``, as JSON lines; for one file a key, see `named.write`."""
     todo = df if done is None else df.join(done.select(key).distinct(), key, "left_anti")
     todo.write.mode("append").json(path)
 
 
-def write_list(names: DataFrame, column: str, path: str) -> None:
-    """One name a line, in order, in a text folder that is not there yet."""
-    names.select(F.col(column).cast("string").alias("value")).orderBy("value").write.text(path)
+def write_lists(names: DataFrame, key: str, column: str, path: str) -> None:
+    """One file a key, named ``key``.txt: a name a line, in order, each once.  A key's list fits a row; files that are there stay."""
+    lists = names.groupBy(F.col(key).cast("string").alias("k")).agg(F.array_join(F.array_sort(F.collect_set(F.col(column).cast("string"))), "\n").alias("l"))
+    named.write(lists, F.concat("k", F.lit(".txt")), F.concat("l", F.lit("\n")), path)

@@ -236,8 +236,8 @@ def test_sources_and_lists(spark, tmp_path):
     T.write_resumable(rows.limit(1), None, "k", str(tmp_path / "out"))
     T.write_resumable(rows, spark.read.json(str(tmp_path / "out")), "k", str(tmp_path / "out"))
     assert sorted(r.v for r in spark.read.json(str(tmp_path / "out")).collect()) == ["x", "y"]
-    T.write_list(rows, "v", str(tmp_path / "list"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "list")).collect()] == ["x", "y"]
+    T.write_lists(rows.withColumn("of", F.lit("all")), "of", "v", str(tmp_path / "list"))
+    assert (tmp_path / "list" / "all.txt").read_text() == "x\ny\n"
     said = spark.createDataFrame([(1, 0.0, 1.0, " a --> b "), (1, 1.0, 2.5, "c")], "clip int, a double, b double, said string")
     S.write_transcripts(S.transcript(said, "vtt", ["clip"], ["a"], "a", "b", "said"), "vtt", "clip", str(tmp_path / "vtt"))
     text = "".join(p.read_text() for p in (tmp_path / "vtt/clip=1").glob("*.txt"))
