@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stages import stage
+
 #: Frames a chunk.
 SIZE = 4096
 CLIP = ("clip_id",)
@@ -68,3 +70,13 @@ def placed(df: DataFrame, size: int = SIZE, keys: tuple[str, ...] = CLIP, out: s
     inside = F.row_number().over(Window.partitionBy(*keys, "__chunk").orderBy("frame_idx")) - 1
     met = rows.join(n.select(*keys, "__chunk", before.alias("__before")), [*keys, "__chunk"])
     return met.withColumn(out, F.col("__before") + inside).drop("__chunk", "__before")
+
+
+def in_order(df: DataFrame, by: list[Column], out: str = "place", parts: int | None = None) -> DataFrame:
+    """Adds the row's place (from 1) in the order ``by`` of the whole table: ranges are sorted each on their own and counted on."""
+    ranges = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = stage(ranges.sortWithinPartitions(*by).withColumns({"__part": F.spark_partition_id(), "__i": inside}), "in-order")
+    n = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    return rows.join(n.select("__part", before.alias("__before")), "__part").withColumn(out, F.col("__before") + F.col("__i") + 1).drop("__part", "__i", "__before")

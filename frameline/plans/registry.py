@@ -350,14 +350,15 @@ def win_3(spark, sf_dir):
 
 @query(
     "win_4_active_track",
-    """, t AS (SELECT *, CASE WHEN track_id = 1 THEN mar ELSE open_prob END AS p FROM (SELECT t.*, f.mar FROM sv_tracks t JOIN sv_frames f USING (clip_id, frame_idx)) WHERE track_id < 2),
+    """, t AS (SELECT *, CASE track_id WHEN 0 THEN open_prob WHEN 1 THEN mar ELSE (open_prob + mar) / 2 END AS p FROM (SELECT t.*, f.mar FROM sv_tracks t JOIN sv_frames f USING (clip_id, frame_idx))),
     a AS (SELECT *, count(p) OVER w AS n, stddev_pop(p) OVER w AS sd, avg(p) OVER w AS mean FROM t WINDOW w AS (PARTITION BY clip_id, shot_id, track_id ORDER BY frame_idx RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING))
     SELECT clip_id, frame_idx, track_id FROM a WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY clip_id, frame_idx ORDER BY CASE WHEN n >= 2 THEN round(sd, 9) ELSE 0 END DESC, round(mean, 9) DESC, coalesce(p, 0) DESC, track_id) = 1""",
 )
 def win_4(spark, sf_dir):
     mar = T.frames(spark, sf_dir).select("clip_id", "frame_idx", "mar")
-    tracks = T.tracks(spark, sf_dir).where("track_id < 2").join(mar, ["clip_id", "frame_idx"])
-    return windows.active_track(tracks.withColumn("open_prob", F.when(F.col("track_id") == 1, F.col("mar")).otherwise(F.col("open_prob"))))
+    tracks = T.tracks(spark, sf_dir).join(mar, ["clip_id", "frame_idx"])
+    moved = F.when(F.col("track_id") == 0, F.col("open_prob")).when(F.col("track_id") == 1, F.col("mar")).otherwise((F.col("open_prob") + F.col("mar")) / 2)
+    return windows.active_track(tracks.withColumn("open_prob", moved))
 
 
 @query("win_5_open_presence", f"SELECT clip_id, frame_idx, coalesce(count(open_prob) {AROUND.format(3)} >= 2 AND avg(open_prob) {AROUND.format(3)} >= 0.3, false) AS present FROM sv_frames")

@@ -8,6 +8,7 @@ from ..functions import decoding as D
 from ..functions import english as E
 from ..functions import languages as N
 from ..functions import text as X
+from ..operators import chunks
 from ..sources import timeline as T
 from .registry import query
 
@@ -93,11 +94,9 @@ def txt_14(spark, sf_dir):
     return T.table(spark, sf_dir, "pages").select("page_id", X.stem(F.col("url")).alias("stem"), X.frame_name(F.col("page_id")).alias("name"))
 
 
-@query("top_12_numeric_order", "SELECT page_id, row_number() OVER (ORDER BY CAST(nullif(regexp_extract(url, '(\\d+)', 1), '') AS BIGINT) NULLS FIRST, page_id) AS place FROM pages QUALIFY place <= 100", views=False)
+@query("top_12_numeric_order", "SELECT page_id, row_number() OVER (ORDER BY CAST(nullif(regexp_extract(url, '(\\d+)', 1), '') AS BIGINT) NULLS FIRST, page_id) AS place FROM pages", views=False)
 def top_12(spark, sf_dir):
-    """The first hundred pages by the number in their name, as numbers and not as text."""
-    from pyspark.sql import Window
-
+    """All pages by the number in their name, as numbers and not as text."""
     number = F.nullif(F.regexp_extract("url", r"(\d+)", 1), F.lit("")).cast("bigint")
-    rows = T.table(spark, sf_dir, "pages").select("page_id", number.alias("number")).orderBy(F.asc_nulls_first("number"), "page_id").limit(100)
-    return rows.select("page_id", F.row_number().over(Window.orderBy(F.asc_nulls_first("number"), "page_id")).cast("bigint").alias("place"))
+    rows = T.table(spark, sf_dir, "pages").select("page_id", number.alias("number"))
+    return chunks.in_order(rows, [F.asc_nulls_first("number"), F.asc("page_id")]).select("page_id", "place")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameline.operators import boxes, chunks, intervals, matching, runs, scans, tracking, windows
+from frameline.operators import boxes, chunks, intervals, matching, runs, scans, search, tracking, windows
 
 
 def plan_of(df) -> str:
@@ -60,6 +60,55 @@ def test_places_without_a_window_over_the_clip(spark):
     assert got == {f: i for i, f in enumerate(frames)}
 
 
+def test_places_in_a_whole_table(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice([None, 1.0, 2.0, 3.0, rng.random()]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "v double, k int").repartition(7)
+    got = {r["k"]: r["place"] for r in chunks.in_order(df, [F.asc_nulls_first("v"), F.asc("k")], parts=5).collect()}
+    assert got == {k: i for i, (_, k) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])), 1)}
+
+
+# ---- beam search
+
+
+def searched(table, first, end, size, most_steps, patience):
+    """One key; ``table``: (step, prev) to [(token, lp)]."""
+    live, done, most = [([first], 0.0)], [], round(size * patience)
+    for step in range(most_steps):
+        found = [(s + lp, b, r, t + [w]) for b, (t, s) in enumerate(live) for r, (w, lp) in enumerate(sorted(table.get((step, t[-1]), []), key=lambda x: (-x[1], x[0]))[: size + 1])]
+        if not found:
+            break
+        new, ended = [], []
+        for s, _, _, t in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+            if t[-1] == end:
+                ended.append((t, s, True))
+            else:
+                new.append((t, s))
+                if len(new) == size:
+                    break
+        done = (done + ended)[:most]
+        live = new
+        if len(done) >= most or not live:
+            break
+    if len(done) < size:
+        rest = sorted(enumerate(live), key=lambda x: (x[1][1], x[0]), reverse=True)
+        done += [(t + [end], s, False) for _, (t, s) in rest[: size - len(done)]]
+    return sorted(done)
+
+
+@pytest.mark.parametrize("size,most_steps,patience", [(1, 5, 1.0), (2, 12, 1.0), (3, 12, 2.0), (4, 3, 1.0)])
+def test_beam_search_against_a_loop(spark, size, most_steps, patience):
+    rng = random.Random(size)
+    tables = {k: {(s, p): [(t, -rng.choice([0.5, 1.0, 2.0, 4.0 + t % 2])) for t in range(5) if rng.random() < 0.9] for s in range(rng.randrange(1, 14)) for p in range(4)} for k in range(12)}
+    rows = [(k, s, p, t, lp) for k, table in tables.items() for (s, p), found in table.items() for t, lp in found]
+    df = spark.createDataFrame(rows, "k int, step int, prev int, token int, lp double")
+    start = spark.createDataFrame([(k,) for k in [*range(12), 99]], "k int")
+    got = {}
+    for r in search.beam_search(start, df, ["k"], 0, 4, size, most_steps, patience).collect():
+        got.setdefault(r["k"], []).append((r["tokens"], r["score"], r["finished"]))
+    assert {k: sorted(v) for k, v in got.items()} == {**{k: searched(t, 0, 4, size, most_steps, patience) for k, t in tables.items()}, 99: [([0, 4], 0.0, False)]}
+
+
 # ---- ranges that meet
 
 
