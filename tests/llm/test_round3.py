@@ -14,7 +14,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from frameline.llm import clusters, common, mixing, repair, tokenfile
+from frameline.llm import clusters, common, media, mixing, repair, sharding, tokenfile
 from frameline.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -302,3 +302,43 @@ def test_token_file_query(spark):
         assert got.pop(i) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert not got
+
+
+# ---- tests owed to earlier operators
+
+
+def test_interleaving_against_a_loop(spark):
+    """The definition on one machine: seeded ranks by cell and hash, fractional ranks with a phase, cuts."""
+    rng, cells, shards = random.Random(21), 16, 7
+    rows = [(None if i % 50 == 0 else i, None if rng.random() < 0.1 else "hot" if rng.random() < 0.5 else f"s{rng.randrange(40)}", f"t{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    mix = F.xxhash64(F.lit(42), "doc_id", "doc_id", "source", "text")
+    phase = (F.pmod(F.xxhash64(F.lit(42), F.lit("phase"), name), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    given = df.select("doc_id", "text", name.alias("name"), mix.alias("mix"), phase.alias("phase")).collect()
+    strata = {}
+    for r in given:
+        strata.setdefault(r["name"], []).append(r)
+    placed = []
+    for name, rs in strata.items():
+        rs.sort(key=lambda r: (((r["mix"] % (1 << 64)) >> 40) % cells, r["mix"]))
+        placed += [((k - r["phase"]) / len(rs), name, r["mix"], r["text"]) for k, r in enumerate(rs, 1)]
+    want = {}
+    for place, (*_, text) in enumerate(sorted(placed)):
+        shard = place * shards // len(rows)
+        want[text] = (shard, place - -(-shard * len(rows) // shards))
+    got = {r["text"]: (r["shard"], r["slot"]) for r in sharding.interleave(df, "doc_id", "source", shards, cells=cells).collect()}
+    assert got == want
+
+
+def test_media_features_have_their_values(spark):
+    texts = [None, "", "abc", "é" * 300, "x" * 192, "0123456789" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    folder = common.fresh_path(spark, "media")
+    got = {r["doc_id"]: r for r in media.features(media.metadata(media.store(df, folder), folder), folder).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        raw += b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        bands = [sum(b >> 4 == k for b in raw) * 1000 // len(raw) for k in range(16)]
+        assert got[i]["feature"] == ",".join(map(str, bands)) and got[i]["payload_sha256"] == hashlib.sha256(raw).hexdigest()
+        assert (got[i]["width"], got[i]["height"], got[i]["bit_depth"]) == (192, len(raw) // 192, 8)
