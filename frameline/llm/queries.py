@@ -9,7 +9,7 @@ from .lm import op5_lm
 from .media import op9_media
 from .mixing import op7_mixing
 from .quality import op4_quality
-from .repair import op13_repair
+from .repair import REPAIR_SQL, op13_repair
 from .sharding import op2_sharding
 from .tokencount import op3_token_counts
 from .tokenfile import op12_tokenfile
@@ -30,4 +30,4 @@ QUERIES = {
     "op13_repair": op13_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_lloyd": lloyd_sql()}
+ORACLE_SQL: dict[str, str] = {"op11_lloyd": lloyd_sql(), "op13_repair": REPAIR_SQL}

@@ -409,3 +409,45 @@ def repaired_turns(rows: DataFrame, piece_rows: int = PIECE_ROWS, range_bytes: i
 
 def op13_repair(spark, sf_dir: str) -> DataFrame:
     return repair(damaged(common.table(spark, sf_dir, "conversations")))
+
+
+#: The query's rows by SQL: all edits of every row, the cheapest way to each state kept (ties by audit), conversation by conversation.
+REPAIR_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda s: ord(s)::BIGINT) AS b FROM conversations),
+drawn AS (SELECT * EXCLUDE (b, t), xor(list_reduce(list_prepend(4294967295, b), lambda c, s: xor(c >> 8, t[(xor(c, s) & 255) + 1])), 4294967295) % 20 AS kind FROM named, crc),
+rows_ AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn WHERE kind <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS initial, regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g') AS letters,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM rows_),
+faulty AS (SELECT *, CASE WHEN letters = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(letters, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'n' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before_ FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (before_ || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
+-- states: 0 nothing yet, 1 after s, 2 after u, 3 after a
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, unnest([{q: 0, cost: 0::BIGINT, audit: '', lines: []::VARCHAR[]}, {q: 2, cost: 3, audit: 'I', lines: ['user:']}, {q: 3, cost: 6, audit: 'II', lines: ['user:', 'assistant:']}], recursive := true) FROM counts
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, lines FROM (
+    SELECT conv_id, i, unnest([{q: q, cost: cost, audit: audit, lines: lines},
+        {q: s1, cost: cost + 3, audit: audit || 'I', lines: list_append(lines, CASE s1 WHEN 2 THEN 'user:' ELSE 'assistant:' END)},
+        {q: 5 - s1, cost: cost + 6, audit: audit || 'II', lines: list_append(list_append(lines, CASE s1 WHEN 2 THEN 'user:' ELSE 'assistant:' END), CASE s1 WHEN 3 THEN 'user:' ELSE 'assistant:' END)}], recursive := true)
+    FROM (
+      SELECT conv_id, i, e.q AS q, e.cost AS cost, e.audit AS audit, e.lines AS lines, CASE e.q WHEN 2 THEN 3 ELSE 2 END AS s1 FROM (
+        SELECT w.conv_id, f.i, unnest([
+            {q: w.q, cost: w.cost + 4, audit: w.audit || 'D', lines: w.lines},
+            CASE WHEN f.fault IN ('n', 't') THEN {q: CASE w.q WHEN 2 THEN 3 ELSE 2 END, cost: w.cost + 3 + 3 * (f.fault = 't')::INT, audit: w.audit || 'R', lines: list_append(w.lines, CASE w.q WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text)} END,
+            CASE WHEN f.fault IN ('n', 't') AND (f.initial = 's' AND w.q = 0 OR f.initial = 'u' AND w.q <> 2 OR f.initial = 'a' AND w.q = 2)
+              THEN {q: CASE f.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, cost: w.cost + 3 * (f.fault = 't')::INT, audit: w.audit || 'K', lines: list_append(w.lines, f.role || ':' || f.text)} END]) AS e
+        FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1) WHERE e IS NOT NULL))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, i, q ORDER BY cost, audit) = 1),
+best AS (
+  SELECT c.*, cost, audit, sha256(array_to_string(lines, chr(10))) AS digest FROM counts c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n AND w.q IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY c.conv_id ORDER BY cost, audit) = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -175,6 +175,10 @@ def test_repair_of_nothing(spark):
     assert [tuple(r) for r in got] == [(dropped[0], 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
 
 
+def test_repair_query_and_sql(spark):
+    assert not oracle.compare(QUERIES["op13_repair"](spark, SF), ORACLE_SQL["op13_repair"], oracle.duck(SF))
+
+
 def test_repair_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = {r["conv_id"]: tuple(r)[1:] for r in QUERIES["op13_repair"](spark, SF).collect()}
