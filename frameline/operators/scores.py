@@ -26,7 +26,7 @@ def average_log_prob(total: Column, length: Column) -> Column:
     return total / (length + 1)
 
 
-def gaussian(size: int, sigma: float) -> Column:
+def gaussian(size: int, sigma: float | Column) -> Column:
     """Normalised weights around the middle of ``size`` places."""
     middle = (size - 1) / 2
     raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.exp(-((i - middle) * (i - middle)) / (2 * sigma * sigma)))

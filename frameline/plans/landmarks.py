@@ -152,11 +152,14 @@ def prj_36(spark, sf_dir):
 
 @query(
     "prj_37_gaussian",
-    "WITH i AS (SELECT unnest(range(13)) AS place), r AS (SELECT place, exp(-pow(place - 6, 2) / (2 * 1.7::DOUBLE * 1.7::DOUBLE)) AS w FROM i) SELECT CAST(place AS INTEGER) AS place, round(w / (SELECT sum(w) FROM r), 9) AS weight FROM r",
-    views=False,
+    """, r AS (SELECT clip_id, place, exp(-pow(place - 6, 2) / (2 * pow(0.5::DOUBLE + n_frames % 5, 2))) AS w FROM (SELECT *, unnest(range(13)) AS place FROM sv_clips))
+    SELECT clip_id, CAST(place AS INTEGER) AS place, round(w / sum(w) OVER (PARTITION BY clip_id), 9) AS weight FROM r""",
 )
 def prj_37(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(scores.gaussian(13, 1.7)).alias("place", "w")).select("place", F.round("w", 9).alias("weight"))
+    """Weights around the middle of thirteen places, as wide as each clip's length says."""
+    wide = F.lit(0.5) + F.col("n_frames") % 5
+    weights = T.clips(spark, sf_dir).select("clip_id", F.posexplode(scores.gaussian(13, wide)).alias("place", "w"))
+    return weights.select("clip_id", "place", F.round("w", 9).alias("weight"))
 
 
 PRIOR = "(100 + frame_idx % 5)::DOUBLE AS pcx, 50.0::DOUBLE AS pcy, (30 + frame_idx % 3)::DOUBLE AS pw, 60.0::DOUBLE AS ph"
