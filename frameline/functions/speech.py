@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import named
 from .text import gender as canonical
 from .text import timestamp
 
@@ -60,8 +61,9 @@ def transcript(df: DataFrame, form: str, keys: list[str], order: list[str], star
 
 
 def write_transcripts(entries: DataFrame, form: str, key: str, path: str) -> None:
-    """One folder of text a key, its entries in order; a key's entries are written by one task, after a sort that spills."""
-    if form == "vtt":
-        head = entries.select(key).distinct().select(key, F.lit(0).alias("pos"), F.lit("WEBVTT\n").alias("entry"))
-        entries = entries.unionByName(head)
-    entries.repartition(key).sortWithinPartitions(key, "pos").select(key, "entry").write.partitionBy(key).text(path)
+    """One file a key, named ``key``.``form``, its entries in order; a key's transcript fits a row.  Files that are there stay."""
+    placed = F.array_sort(F.collect_list(F.struct("pos", "entry")))
+    lines = F.transform(placed, lambda e: F.concat(e["entry"], F.lit("\n")))
+    text = F.concat(F.lit("WEBVTT\n\n" if form == "vtt" else ""), F.array_join(lines, ""))
+    texts = entries.groupBy(F.col(key).cast("string").alias("k")).agg(text.alias("t"))
+    named.write(texts, F.concat("k", F.lit(f".{form}")), F.col("t"), path)
