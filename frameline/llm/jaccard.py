@@ -50,8 +50,6 @@ from .graph import components
 
 #: Sets of one trie at most; distinct words kept by a task; sets a task remembers.
 CHUNK, CACHE_WORDS, CACHE_SETS = 256, 120_000, 60_000
-#: Parts that the sets of an n-gram are dealt into for a join by n-gram.
-SALTS = 2
 #: N-gram hashes below 2**62 are the lowest quarter; of these, 48 bits are kept.
 LOW, LOW_SHIFT, LOW_BYTES = 62, 14, 6
 #: N-grams of the lowest quarter in more sets than this are left to step 3's second half.
@@ -289,11 +287,6 @@ def _joined(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     return sets.join(placed, "sid").select("cluster", "chunk", "sid", "tokens").groupBy("cluster", "chunk").applyInArrow(run, "a bigint, b bigint")
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    """One row for each part that `_part` deals sets into."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def _part(parts: Column | int, seed: int = 5) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), "sid"), F.lit(parts) if isinstance(parts, int) else parts).cast("int")
 
@@ -320,8 +313,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that give the components of all sets.  ``prefixes``: kind, token, sid, n, rn, own."""
     held = prefixes.groupBy("kind", "token").agg(F.min("sid").alias("head"), F.max("sid").alias("tail"), F.min(F.struct("own", "sid")).alias("best"))
-    held = _salted(held.where("head <> tail").select("kind", "token", "head", "best"))
-    bound = prefixes.withColumn("salt", _part(SALTS)).join(held, ["kind", "token", "salt"]).groupBy("sid", "head").agg(F.min("best").alias("best"))
+    held = held.where("head <> tail").select("kind", "token", "head", "best")
+    # one row a token on the right: the rows of a frequent one are split by AQE, however many there are
+    bound = prefixes.join(held, ["kind", "token"]).groupBy("sid", "head").agg(F.min("best").alias("best"))
     bound = common.stage(bound, "jaccard-bound")
     clusters = components(bound.select(F.col("sid").alias("a"), F.col("head").alias("b"))).select(F.col("id").alias("sid"), F.col("root").alias("cluster"))
     clusters = common.stage(clusters, "jaccard-clusters")
@@ -343,8 +337,7 @@ def _links(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     # what is still apart: pairs of different components that share one of their rarest n-grams
     all_own = common.stage(prefixes.drop("own").join(comp, "sid"), "jaccard-own")
     mixed = all_own.groupBy("kind", "token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("c0 <> c1")
-    mixed = _salted(mixed.select("kind", "token", "parts"))
-    own = common.stage(all_own.withColumn("salt", _part(SALTS)).join(mixed, ["kind", "token", "salt"]).drop("salt"), "jaccard-apart")
+    own = common.stage(all_own.join(mixed.select("kind", "token", "parts"), ["kind", "token"]), "jaccard-apart")
     # sets of a frequent n-gram are dealt out, so that no task meets more than about HOT of them at once
     other = own.select("kind", "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rn").alias("rm"), F.col("comp").alias("comp_b"))
     own = own.withColumn("part", _part(F.col("parts")))
