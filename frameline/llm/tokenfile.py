@@ -36,6 +36,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,11 +118,13 @@ class Writer:
         self.out, self.percentile, self.block = out, percentile, block
         self.out.write(MAGIC)
         self.at, self.n_ids, self.held, self.waiting = len(MAGIC), 0, 0, []
-        self.starts: list[int] = []
-        self.docs: list[tuple[int, int, int]] = []
+        self.starts = array("Q")
+        self.ids, self.known, self.first = array("q"), array("B"), array("Q")  # 17 bytes a document
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is not None, self.n_ids))
+        self.ids.append(doc_id or 0)
+        self.known.append(doc_id is not None)
+        self.first.append(self.n_ids)
         self.n_ids += len(ids)
         self.waiting.append(ids)
         self.held += len(ids)
@@ -147,9 +150,9 @@ class Writer:
     def close(self) -> int:
         """Ends the file; its bytes."""
         self._flush(True)
-        ids, known, first = (np.array(x) for x in zip(*self.docs)) if self.docs else (np.empty(0),) * 3
-        index = np.array(self.starts, "<u8").tobytes() + ids.astype("<i8").tobytes() + known.astype("u1").tobytes() + first.astype("<u8").tobytes()
-        self.out.write(index + TRAILER.pack(self.at, len(self.starts), len(self.docs), self.n_ids, self.block, MAGIC))
+        parts = ((self.starts, "<u8"), (self.ids, "<i8"), (self.known, "u1"), (self.first, "<u8"))
+        index = b"".join(np.array(x).astype(kind).tobytes() for x, kind in parts)
+        self.out.write(index + TRAILER.pack(self.at, len(self.starts), len(self.ids), self.n_ids, self.block, MAGIC))
         self.out.close()
         return self.at + len(index) + TRAILER.size
 
@@ -289,7 +292,7 @@ def write(df: DataFrame, folder: str, tokenizer_json: str, end_id: int | None, i
                     writer.add(i, np.frombuffer(raw + end, "<u4"))
         if writer is not None:
             n = writer.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids], "n_bytes": [n]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(writer.ids)], "n_ids": [writer.n_ids], "n_bytes": [n]})
 
     made = common.stage(ranges.mapInArrow(run, "part long, file string, n_docs long, n_ids long, n_bytes long"), "tokenfile-manifest")
     # first within bundles of a thousand files, then over the bundles: no task holds all files
