@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scores import log_softmax
+from .once import once
 
 NEVER = float("-inf")
 
@@ -18,9 +19,12 @@ def _from(logits: Column, lo: Column | int, hi: Column | int | None = None) -> C
 
 def log_sum(values: Column) -> Column:
     """log of the sum of exponentials; minus infinity of nothing."""
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - top))
-    return F.when(F.coalesce(top, F.lit(NEVER)) == NEVER, F.lit(NEVER)).otherwise(top + F.log(total))
+
+    def of(values: Column, top: Column) -> Column:
+        total = F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - top))
+        return F.when(F.coalesce(top, F.lit(NEVER)) == NEVER, F.lit(NEVER)).otherwise(top + F.log(total))
+
+    return once(values, lambda values: once(F.array_max(values), lambda top: of(values, top)))
 
 
 def time_rules(logits: Column, said: Column, begin: int, end_token: int, no_times: int | None = None, most_first: int | None = None) -> Column:
@@ -30,16 +34,25 @@ def time_rules(logits: Column, said: Column, begin: int, end_token: int, no_time
     follow, after one behind a word no word may.  The first token is no later than time
     ``most_first``.  Where all times together are likelier than any other token, only times stay.
     """
-    n = F.size(said)
-    time_at = lambda back: F.coalesce(F.try_element_at(said, F.lit(-back)) >= begin, F.lit(False))
-    last, before = (n >= 1) & time_at(1), (n < 2) | time_at(2)
-    z = logits if no_times is None else _from(logits, no_times, no_times + 1)
-    z = F.when(last & before, _from(z, begin)).when(last, _from(z, 0, end_token)).otherwise(z)
-    if most_first is not None:
-        z = F.when(n == 0, _from(z, begin + most_first + 1)).otherwise(z)
-    chance = log_softmax(z)
-    times, others = F.slice(chance, begin + 1, F.greatest(F.size(chance) - begin, F.lit(0))), F.slice(chance, 1, begin)
-    return F.when(log_sum(times) > F.array_max(others), _from(z, 0, begin)).otherwise(z)
+
+    def allowed(said: Column) -> Column:
+        n = F.size(said)
+        time_at = lambda back: F.coalesce(F.try_element_at(said, F.lit(-back)) >= begin, F.lit(False))
+        # from which place to before which the rules leave nothing
+        lo = F.when((n >= 1) & time_at(1), F.when((n < 2) | time_at(2), begin).otherwise(0))
+        hi = F.when((n < 2) | time_at(2), F.size(logits)).otherwise(end_token)
+        first = F.when(n == 0, begin + most_first + 1) if most_first is not None else F.lit(None).cast("int")
+        return once(F.struct(lo.alias("lo"), hi.alias("hi"), first.alias("first")), hidden)
+
+    def hidden(at: Column) -> Column:
+        never = lambda i: (i == no_times if no_times is not None else F.lit(False)) | ((i >= at["lo"]) & (i < at["hi"])) | (i >= at["first"])
+        return F.transform(logits, lambda v, i: F.when(never(i), F.lit(NEVER)).otherwise(v))
+
+    def likelier(z: Column, chance: Column) -> Column:
+        times, others = F.slice(chance, begin + 1, F.greatest(F.size(chance) - begin, F.lit(0))), F.slice(chance, 1, begin)
+        return F.when(log_sum(times) > F.array_max(others), _from(z, 0, begin)).otherwise(z)
+
+    return once(once(said, allowed), lambda z: once(log_softmax(z), lambda chance: likelier(z, chance)))
 
 
 def checked_options(beam_size: Column, best_of: Column, temperature: Column, patience: Column, length_penalty: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.once import once
+
 
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    total = F.log(F.aggregate(logits, F.lit(0.0), lambda s, v: s + F.exp(v - top)))
-    return F.transform(logits, lambda v: v - top - total)
+    total = lambda z, top: F.log(F.aggregate(z, F.lit(0.0), lambda s, v: s + F.exp(v - top)))
+    less = lambda z, top: once(total(z, top), lambda t: F.transform(z, lambda v: v - top - t))
+    return once(logits, lambda z: once(F.array_max(z), lambda top: less(z, top)))
 
 
 def suppressed(logits: Column, places: list[int]) -> Column:
