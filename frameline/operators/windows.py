@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, iou
+from ..functions.once import once
 from .runs import SHOT
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -53,24 +54,36 @@ def motion_gate(df: DataFrame, radius: int = 4, open_thr: float = 0.15, act_thr:
     def same(s: Column) -> Column:
         return s["open_prob"].isNotNull() & (iou(box(), [s[c] for c in BOX]) >= same_iou)
 
-    def deviation(a: Column, least: int) -> Column:
-        n = F.size(a)
-        mean = F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / n
-        square = F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-        return F.when(n >= least, F.sqrt(square / n)).otherwise(0.0)
+    def mean_of(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
 
-    rows = rows.withColumn("__same", F.filter("__near", same))
-    opens = F.transform("__same", lambda s: s["open_prob"])
-    mars = F.filter(F.transform("__same", lambda s: s["mar"]), lambda v: v.isNotNull())
-    rows = rows.withColumn("__opens", opens).withColumn("__mars", mars)
+    def deviation(a: Column, mean: Column) -> Column:
+        square = F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
+        return F.when(F.size(a) >= 3, F.sqrt(square / F.size(a))).otherwise(0.0)
+
+    def measured(opens: Column, mars: Column) -> Column:
+        """activity, mean_open, mar_activity and motion of one frame."""
+        spread = lambda a: once(mean_of(a), lambda mean: F.round(deviation(a, mean), 9))
+        mean = F.round(F.when(F.size(opens) >= 3, mean_of(opens)).otherwise(0.0), 9)
+        return once(F.struct(spread(opens).alias("activity"), mean.alias("mean_open"), spread(mars).alias("mar_activity")), moving)
+
+    def moving(m: Column) -> Column:
+        act, mean = m["activity"], m["mean_open"]
+        soft = (act >= max(1e-4, soft_act)) | (F.lit(mar_thr > 0) & (m["mar_activity"] >= mar_thr))
+        hard = (act >= act_thr) & (mean >= act_thr)
+        moves = F.when(F.lit(soft_mean > 0) & (mean >= soft_mean), soft).otherwise(hard)
+        motion = F.coalesce((F.col("open_prob") >= open_thr) & moves, F.lit(False))
+        return F.struct(act.alias("activity"), mean.alias("mean_open"), m["mar_activity"].alias("mar_activity"), motion.alias("motion"))
+
+    def of_same(s: Column) -> Column:
+        mars = F.filter(F.transform(s, lambda r: r["mar"]), lambda v: v.isNotNull())
+        return once(F.transform(s, lambda r: r["open_prob"]), lambda opens: once(mars, lambda mars: measured(opens, mars)))
+
+    # one expression whose parts are bound: a condition on ``motion`` that is pushed down repeats it once, not each part in each other
     own = F.col("open_prob").isNotNull() & F.col("x1").isNotNull()
-    mean = F.when(F.size("__opens") >= 3, F.aggregate("__opens", F.lit(0.0), lambda s, v: s + v) / F.size("__opens")).otherwise(0.0)
-    rows = rows.withColumns({"activity": F.when(own, F.round(deviation(F.col("__opens"), 3), 9)), "mean_open": F.when(own, F.round(mean, 9)), "mar_activity": F.when(own, F.round(deviation(F.col("__mars"), 3), 9))})
-    act = F.col("activity")
-    soft = (act >= max(1e-4, soft_act)) | (F.lit(mar_thr > 0) & (F.col("mar_activity") >= mar_thr))
-    hard = (act >= act_thr) & (F.col("mean_open") >= act_thr)
-    moves = F.when(F.lit(soft_mean > 0) & (F.col("mean_open") >= soft_mean), soft).otherwise(hard)
-    return rows.withColumn("motion", F.coalesce(own & (F.col("open_prob") >= open_thr) & moves, F.lit(False))).drop("__near", "__same", "__opens", "__mars")
+    rows = rows.withColumn("__m", F.when(own, once(F.filter("__near", same), of_same)))
+    rows = rows.withColumns({c: F.col("__m")[c] for c in ("activity", "mean_open", "mar_activity")})
+    return rows.withColumn("motion", F.coalesce(F.col("__m")["motion"], F.lit(False))).drop("__near", "__m")
 
 
 def active_track(tracks: DataFrame, radius: int = 4) -> DataFrame:

@@ -18,3 +18,10 @@ def plan_of(df) -> str:
 def test_landmarks_are_not_joined_to_frames(spark):
     df = registry.QUERIES["flt_7_eligible_clips_in_full"](spark, SF)
     assert "Join" not in plan_of(df) and "BroadcastExchange" not in plan_of(df)
+
+
+@pytest.mark.parametrize("name", ["mth_1_time_rules", "flt_12_final_gate"])
+def test_parts_are_not_repeated_in_each_other(spark, name):
+    """Whatever the optimiser inlines, the expression stays short, so a row's work does."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction(") < 60
