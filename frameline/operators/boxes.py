@@ -1,17 +1,17 @@
 """Order-dependent box operators: suppression, tracking, cuts, reuse of restored faces.
 
-What can be folded over a bounded array is a built-in expression; suppression is grouped
-Python over numpy columns; trackers, in `tracking`, take a clip's frames one by one.
+What can be folded over a bounded array, as suppression in a frame, is a built-in expression;
+trackers, in `tracking`, take a clip's frames one by one.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
+from ..functions.once import once
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -29,22 +29,27 @@ def pair_iou(a: np.ndarray, b: np.ndarray, pixel: float = 0.0, slack: float = 0.
 def suppress(df: DataFrame, threshold: float, keys: list[str], score: str = "score", pixel: float = 1.0, slack: float = 0.0, tie: str = "det_id", frame: str = "frame_idx") -> DataFrame:
     """Keeps boxes by falling score (ties: smaller ``tie``), leaving out those that overlap a kept one by more than ``threshold``.
 
-    ``keys`` and ``frame`` name what a box may suppress in; one task takes all frames of a key.
+    ``keys`` and ``frame`` name what a box may suppress in.  The boxes of one frame are gathered
+    in a row and folded; no task holds more than a frame.  Boxes without a score come last.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((g[tie].to_numpy(), -g[score].to_numpy(float), g[frame].to_numpy()))
-        box, at = g[BOX].to_numpy(float)[order], g[frame].to_numpy()[order]
-        keep = np.ones(len(g), bool)
-        for part in np.split(np.arange(len(g)), np.flatnonzero(np.diff(at)) + 1):
-            over = pair_iou(box[part], box[part], pixel, slack) > threshold
-            for i in range(len(part)):
-                if keep[part[i]]:
-                    keep[part[i + 1 :]] &= ~over[i, i + 1 :]
-        return g.iloc[order[keep]]
-
-    keys = [k for k in keys if k != frame]
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    side = lambda b, lo, hi: F.greatest(b[hi] - b[lo] + pixel, F.lit(0.0))
+
+    def overlap(a: Column, b: Column) -> Column:
+        w = F.greatest(F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]) + pixel, F.lit(0.0))
+        h = F.greatest(F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]) + pixel, F.lit(0.0))
+        return once(w * h, lambda inter: once(a["size"] + b["size"] - inter, lambda union: F.when((union > 0) & ~F.isnan(union), inter / (union + slack)).otherwise(0.0)))
+
+    def place(row: Column) -> Column:
+        corners = F.struct(*[F.coalesce(row[c].cast("double"), F.lit(float("nan"))).alias(c) for c in BOX])
+        return once(corners, lambda b: F.struct(*[b[c].alias(c) for c in BOX], (side(b, "x1", "x2") * side(b, "y1", "y2")).alias("size"), row.alias("row")))
+
+    order = F.coalesce(-F.col(score).cast("double"), F.lit(float("nan")))
+    found = F.array_sort(F.collect_list(F.struct(order.alias("order"), F.col(tie).alias("tie"), F.struct(*df.columns).alias("row"))))
+    frames = df.groupBy(*dict.fromkeys([*keys, frame])).agg(F.transform(found, lambda s: place(s["row"])).alias("__found"))
+    none = F.slice(F.col("__found"), 1, 0)
+    kept = F.aggregate("__found", none, lambda kept, b: F.when(F.exists(kept, lambda k: overlap(k, b) > threshold), kept).otherwise(F.array_append(kept, b)))
+    rows = frames.select(F.explode(kept).alias("__b"))
+    return rows.select(*[F.col("__b")["row"][c].alias(c) for c in df.columns])
 
 
 class Faces:
