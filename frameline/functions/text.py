@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,15 +56,40 @@ SPACE = r"(?U)[\s\x1C-\x1F]+"
 
 
 def normal_form(text: Column | str, form: str) -> Column:
-    """A Unicode normal form, which Spark has no function for."""
+    """A Unicode normal form, which Spark has no function for.
 
-    @F.pandas_udf("string")
-    def formed(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+    A batch is gone through in slices of few characters: Python's own texts, several times as
+    large as Arrow's, are made for one slice at a time, and for texts outside ASCII alone.
+    """
+
+    @F.arrow_udf("string")
+    def formed(t: pa.Array) -> pa.Array:
+        return _in_slices(t, lambda x: unicodedata.normalize(form, x))
 
     return formed(text)
 
 
+#: Bytes of text that are Python objects at one time.
+SLICE_BYTES = 1 << 20
+
+
+def _in_slices(texts: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """The texts outside ASCII changed, the others as they are."""
+    kind, parts, at = texts.type, [], 0
+    while at < len(texts):
+        size = max(1, SLICE_BYTES * (len(texts) - at) // max(1, texts[at:].nbytes))
+        part = texts.slice(at, size)
+        at += len(part)
+        plain = pc.fill_null(pc.string_is_ascii(part), True)
+        if pc.all(plain).as_py():
+            parts.append(part)
+        else:
+            other = pc.invert(plain)
+            changed = pa.array([change(x) for x in part.filter(other).to_pylist()], kind)
+            parts.append(pc.replace_with_mask(part, other, changed))
+    return pa.concat_arrays(parts) if parts else texts
+
+
 def _signs_to_spaces(text: Column, keep: str = "") -> Column:
     """Every mark, symbol and punctuation sign outside ``keep`` becomes a space."""
     kept = "".join(f"\\{c}" for c in keep)

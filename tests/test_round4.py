@@ -25,3 +25,48 @@ def test_parts_are_not_repeated_in_each_other(spark, name):
     """Whatever the optimiser inlines, the expression stays short, so a row's work does."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lambdafunction(") < 60
+
+
+@pytest.mark.parametrize("name", ["smp_2_pose_similarity", "smp_2_pose_similarity_and_closed_mouth", "smp_2_pose_similarity_and_mouth_dissimilarity", "top_3_mouth_opening"])
+def test_landmarks_are_neither_joined_nor_sorted(spark, name):
+    plan = plan_of(registry.QUERIES[name](spark, SF))
+    assert "Join" not in plan and "min_by" not in plan
+
+
+def test_suppression_holds_one_frame_at_a_time(spark):
+    from frameline.operators import boxes
+
+    kind = "clip_id bigint, frame_idx int, det_id int, x1 double, y1 double, x2 double, y2 double, score double"
+    rows = [(1, 0, 0, 0.0, 0.0, 10.0, 10.0, 0.5), (1, 0, 1, 1.0, 0.0, 11.0, 10.0, 0.9), (1, 0, 2, 2.0, 0.0, 12.0, 10.0, float("nan")), (1, 0, 3, None, 0.0, 12.0, 10.0, None), (1, 1, 0, 0.0, 0.0, 10.0, 10.0, 0.5), (1, 1, 1, 50.0, 0.0, 60.0, 10.0, 0.5)]
+    got = boxes.suppress(spark.createDataFrame(rows, kind), 0.4, ["clip_id"])
+    assert "FlatMapGroups" not in plan_of(got) and got.schema == spark.createDataFrame(rows, kind).schema
+    assert sorted((r.frame_idx, r.det_id) for r in got.collect()) == [(0, 1), (0, 3), (1, 0), (1, 1)]
+
+
+def test_texts_are_changed_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from frameline.functions import text as X
+
+    monkeypatch.setattr(X, "SLICE_BYTES", 64)
+    texts = ["plain " * 20, None, "é", "", "ﬁ", "x" * 500, "å" * 100, None] * 9
+    got = X._in_slices(pa.array(texts), lambda x: x.upper()).to_pylist()
+    assert got == [x if x is None or x.isascii() else x.upper() for x in texts]
+    assert len(X._in_slices(pa.array([], pa.string()), str.upper)) == 0
+
+
+def test_the_search_keeps_no_steps_that_it_cannot_reach(spark, monkeypatch):
+    from frameline.operators import search
+
+    kept, real = {}, search.stage
+
+    def stage(df, name, by=None):
+        done = real(df, name, by)
+        kept.setdefault(name, done)
+        return done
+
+    monkeypatch.setattr(search, "stage", stage)
+    table = spark.range(40).select(F.lit(1).alias("k"), F.col("id").cast("int").alias("step"), F.lit(0).alias("prev"), F.lit(0).alias("token"), F.lit(-1.0).alias("lp"))
+    got = search.beam_search(spark.range(1).select(F.lit(1).alias("k")), table, ["k"], 0, 9, 1, 3).collect()
+    assert [r.tokens for r in got] == [[0, 0, 0, 0, 9]]
+    assert sorted(r.step for r in kept["search-table"].collect()) == [0, 1, 2]
