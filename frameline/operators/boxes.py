@@ -52,6 +52,30 @@ def suppress(df: DataFrame, threshold: float, keys: list[str], score: str = "sco
     return rows.select(*[F.col("__b")["row"][c].alias(c) for c in df.columns])
 
 
+#: Up to so many pairs numbers are handled one by one: an array operation costs more than they do.
+FEW_PAIRS = 64
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, least_iou: float) -> list[tuple[int, int]]:
+    """Places in ``a`` and ``b`` of boxes that overlap by ``least_iou`` or more, by falling IoU, of equal ones the later first."""
+    if len(a) * len(b) > FEW_PAIRS or np.isnan(a).any() or np.isnan(b).any():
+        near = pair_iou(a, b)
+        i, j = np.nonzero(near >= least_iou)
+        order = np.lexsort((j, i, near[i, j]))[::-1]
+        return list(zip(i[order].tolist(), j[order].tolist()))
+    sized = lambda boxes: [(*c, max(c[2] - c[0], 0.0) * max(c[3] - c[1], 0.0)) for c in boxes.tolist()]
+    met, others = [], sized(b)
+    for i, (ax1, ay1, ax2, ay2, size) in enumerate(sized(a)):
+        for j, (bx1, by1, bx2, by2, other) in enumerate(others):
+            inter = max(min(ax2, bx2) - max(ax1, bx1), 0.0) * max(min(ay2, by2) - max(ay1, by1), 0.0)
+            union = size + other - inter
+            near = inter / union if union > 0 else 0.0
+            if near >= least_iou:
+                met.append((near, i, j))
+    met.sort(reverse=True)
+    return [(i, j) for _, i, j in met]
+
+
 class Faces:
     """Live tracks of one shot, as arrays: names, boxes, frames of the last match."""
 
@@ -61,16 +85,20 @@ class Faces:
 
     def look(self, frame: int, found: np.ndarray) -> np.ndarray:
         """Gives the boxes of a frame to tracks; the track of each box.  Pairs are made by falling IoU, of equal ones the later track and box first."""
-        near = pair_iou(self.box, found)
-        track, box = np.nonzero(near >= self.least_iou)
-        of_box, free = np.full(len(found), -1), np.ones(len(self.name), bool)
-        for k in np.lexsort((box, track, near[track, box]))[::-1]:
-            if free[track[k]] and of_box[box[k]] < 0:
-                of_box[box[k]], free[track[k]] = track[k], False
-        old = of_box >= 0
-        self.box[of_box[old]], self.seen[of_box[old]] = found[old], frame
-        fresh = np.flatnonzero(~old)
-        of_box[fresh] = len(self.name) + np.arange(len(fresh))
+        track_of: dict[int, int] = {}
+        taken = set()
+        for track, box in near_pairs(self.box, found, self.least_iou):
+            if track not in taken and box not in track_of:
+                track_of[box] = track
+                taken.add(track)
+        if track_of:
+            tracks = list(track_of.values())
+            self.box[tracks], self.seen[tracks] = found[list(track_of)], frame
+        fresh = [box for box in range(len(found)) if box not in track_of]
+        track_of.update(zip(fresh, range(len(self.name), len(self.name) + len(fresh))))
+        of_box = [track_of[box] for box in range(len(found))]
+        if not fresh:
+            return self.name[of_box] if of_box else self.name[:0]
         self.name = np.concatenate([self.name, self.born + np.arange(len(fresh))])
         self.box = np.concatenate([self.box, found[fresh]])
         self.seen = np.concatenate([self.seen, np.full(len(fresh), frame)])
@@ -80,6 +108,8 @@ class Faces:
     def drop(self, frame: int) -> None:
         """Ends the tracks whose last match lies too far back."""
         live = frame - self.seen <= self.most_missed
+        if live.all():
+            return
         self.name, self.box, self.seen = self.name[live], self.box[live], self.seen[live]
 
 
