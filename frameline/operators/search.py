@@ -26,7 +26,7 @@ def beam_search(start: DataFrame, table: DataFrame, keys: list[str], first: int,
     if patience < 1:
         raise ValueError("patience is at least 1")
     most = most_candidates(beam_size, patience)
-    steps = stage(table.select(*keys, "step", "prev", "token", F.col("lp").cast("double").alias("lp")).where("lp is not null"), "search-table", "step")
+    steps = stage(table.select(*keys, "step", "prev", "token", F.col("lp").cast("double").alias("lp")).where(F.col("lp").isNotNull() & F.col("step").between(0, most_steps - 1)), "search-table", "step")
     live = start.select(*keys).distinct().select(*keys, F.lit(0).alias("beam"), F.array(F.lit(first)).alias("tokens"), F.lit(0.0).alias("score"))
     live, done, left = stage(live, "search-live"), None, None
     of_beam = Window.partitionBy(*keys, "beam").orderBy(F.desc("lp"), "token")
