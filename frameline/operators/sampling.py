@@ -140,10 +140,19 @@ def score_at(scores: Column, frame: Column, fps: float, score_fps: float) -> Col
     return F.coalesce(F.when(F.size(scores) > 0, F.try_element_at(scores, (at + 1).cast("int"))), F.lit(float("-inf")))
 
 
-def mean_of_passes(df: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """Mean of a key's scores to one decimal, half to even; nulls do not count, and a key with nothing else gets minus infinity."""
-    finite = F.when(~F.isnan(score) & (F.abs(score) < float("inf")), F.col(score))
-    return df.groupBy(*keys).agg(F.coalesce(F.bround(F.avg(finite) * 10) / 10, F.lit(float("-inf"))).alias(score))
+def mean_of_passes(scores: list[Column]) -> Column:
+    """Mean of a row's scores to one decimal, half to even; nulls and values without end do not count, and without any other it is minus infinity.  The scores are added in the given order, so that ties of the rounding fall alike in every run."""
+    finite = [F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c) for c in scores]
+    total, n = F.lit(0.0), F.lit(0)
+    for c in finite:
+        total, n = total + F.coalesce(c, F.lit(0.0)), n + c.isNotNull().cast("int")
+    return F.when(n > 0, F.bround(total / n * 10) / 10).otherwise(float("-inf"))
+
+
+def mean_of_window(value: str, length: int, keys: list[str], at: str = "frame_idx") -> Column:
+    """Mean of ``value`` over the row's stretch of ``length`` places of its key, added in order of places; nulls do not count."""
+    stretch = Window.partitionBy(*keys, F.floor(F.col(at) / length)).orderBy(at)
+    return F.avg(value).over(stretch.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
 
 def drawn_start(n: Column, length: int, draw: Column) -> Column:

@@ -184,11 +184,11 @@ DURATIONS = [1, 1, 1, 2, 2, 2, 3, 3, 4, 5, 6]
 )
 def agg_6(spark, sf_dir):
     """Scores of eleven passes over windows of 1 to 6 seconds; missing ones do not count, frames without any get none."""
-    rows = T.frames(spark, sf_dir).join(T.clips(spark, sf_dir), "clip_id").select("clip_id", "frame_idx", "open_prob", "n_frames", F.posexplode(F.array(*map(F.lit, DURATIONS))).alias("pass", "d"))
-    rows = rows.withColumn("w", F.floor(F.col("frame_idx") / (F.col("d") * 25)))
-    means = rows.groupBy("clip_id", "pass", "w").agg(F.avg("open_prob").alias("m"))
-    met = rows.join(means, ["clip_id", "pass", "w"]).withColumn("score", F.when(F.col("frame_idx") < F.col("n_frames") - 4, F.col("m")))
-    got = sampling.mean_of_passes(met, ["clip_id", "frame_idx"], "score")
+    rows = T.frames(spark, sf_dir).select("clip_id", "frame_idx", "open_prob").join(T.clips(spark, sf_dir), "clip_id")
+    rows = rows.withColumns({f"m{d}": sampling.mean_of_window("open_prob", d * 25, ["clip_id"]) for d in sorted(set(DURATIONS))})
+    covered = F.col("frame_idx") < F.col("n_frames") - 4
+    score = sampling.mean_of_passes([F.when(covered, F.col(f"m{d}")) for d in DURATIONS])
+    got = rows.select("clip_id", "frame_idx", score.alias("score"))
     return got.select("clip_id", "frame_idx", F.when(F.col("score") == float("-inf"), "none").otherwise(F.col("score").cast("string")).alias("score"))
 
 

@@ -70,3 +70,36 @@ def test_the_search_keeps_no_steps_that_it_cannot_reach(spark, monkeypatch):
     got = search.beam_search(spark.range(1).select(F.lit(1).alias("k")), table, ["k"], 0, 9, 1, 3).collect()
     assert [r.tokens for r in got] == [[0, 0, 0, 0, 9]]
     assert sorted(r.step for r in kept["search-table"].collect()) == [0, 1, 2]
+
+
+def test_ties_of_passes_fall_as_sums_in_order_do(spark, tmp_path):
+    """Eleven passes are added in their order, the values of a window in the order of frames, however rows are joined and spread."""
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id in (237, 687, 824, 1305)")
+    copies = events.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(59)))).withColumn("event_id", F.col("event_id") + F.col("c") * 100_000).drop("c")
+    copies.repartition(7, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    rows, counts, n = {}, {}, {}
+    for r in sorted(copies.collect(), key=lambda r: (r.user_id, r.ts, r.event_id)):
+        at = n[r.user_id] = n.get(r.user_id, -1) + 1
+        score = None if r.event_type == "error" else int(min(r.value, 100.0)) / 100.0
+        rows[r.user_id, at] = [(r.user_id, d, at // (d * 25)) for d in (1, 1, 1, 2, 2, 2, 3, 3, 4, 5, 6)]
+        for key in set(rows[r.user_id, at]) if score is not None else ():
+            total, k = counts.get(key, (0.0, 0))
+            counts[key] = total + score, k + 1
+    want = {}
+    for (clip, at), keys in rows.items():
+        means = [counts[k][0] / counts[k][1] for k in keys if k in counts] if at < n[clip] - 3 else []
+        total = 0.0
+        for m in means:
+            total += m
+        want[clip, at] = str(round(total / len(means) * 10) / 10) if means else "none"
+    spread = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "29", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in spread}
+    try:
+        for k, v in spread.items():
+            spark.conf.set(k, v)
+        got = {(r.clip_id, r.frame_idx): r.score for r in registry.QUERIES["agg_6_eleven_passes"](spark, str(tmp_path)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(want) > 10_000
+    assert got == want
