@@ -103,3 +103,60 @@ def test_ties_of_passes_fall_as_sums_in_order_do(spark, tmp_path):
             spark.conf.set(k, v)
     assert len(got) == len(want) > 10_000
     assert got == want
+
+
+def one_face_in_arrays(frames: list[list[tuple]], least_iou: float = 0.15, most_diagonals: float = 1.5) -> list[int | None]:
+    """The place of the box that is followed in each frame of a clip, all boxes of a frame in arrays."""
+    import numpy as np
+
+    from frameline.operators.boxes import pair_iou
+
+    face, out = None, []
+    for found in frames:
+        box = np.array(found, float)
+        centre = (box[:, :2] + box[:, 2:]) / 2
+        if face is None:
+            middle = np.array([320.0, 240.0])
+            seed = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1]) * np.maximum(0.2, 1 - np.hypot(*(centre - middle).T) / np.hypot(*middle))
+            pick = int(seed.argmax())
+        else:
+            near, away = pair_iou(face[None], box)[0], np.hypot(*(centre - (face[:2] + face[2:]) / 2).T)
+            reach = most_diagonals * max(1.0, np.hypot(*(face[2:] - face[:2])))
+            pick = int(near.argmax()) if near.max() >= least_iou else int(away.argmin()) if away.min() <= reach else -1
+        face = box[pick] if pick >= 0 else None
+        out.append(pick if pick >= 0 else None)
+    return out
+
+
+@pytest.mark.parametrize("batch", ["1", "3", "10000"])
+def test_one_face_is_followed_over_batches_without_gathered_frames(spark, batch):
+    """Frames that are cut over batches, missing corners, missing numbers and a missing clip; nothing is gathered by frame or sent row by row."""
+    import random
+
+    from frameline.operators import tracking
+
+    draw = random.Random(5)
+    coordinate = lambda: draw.choice([None, float("nan"), 0.0]) if draw.random() < 0.02 else float(draw.randrange(0, 500, 20))
+    rows, want = [], []
+    for clip in (None, 1, 2, 3):
+        frames = []
+        for frame in (None, *range(60)):
+            found = []
+            for k in range(draw.randrange(1, 5)):
+                x, y, side = coordinate(), coordinate(), float(draw.choice([30, 60, 90]))
+                found.append((None if k == 0 and draw.random() < 0.1 else k, x, y, None if x is None else x + side, None if y is None else y + side))
+            rows += [(clip, frame, *b) for b in found]
+            frames.append((frame, found))
+        picks = one_face_in_arrays([[b[1:] for b in found] for _, found in frames])
+        want += [(clip, frame, found[p][0]) for (frame, found), p in zip(frames, picks) if p is not None]
+    draw.shuffle(rows)
+    kind = "clip_id bigint, frame_idx int, det_id int, x1 double, y1 double, x2 double, y2 double"
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = tracking.track_one(spark.createDataFrame(rows, kind))
+        assert "collect_list" not in plan_of(df) and "UDTF" not in plan_of(df)
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 100
