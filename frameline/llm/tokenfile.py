@@ -16,9 +16,10 @@ more bits is an exception.  As the starts of the blocks are known, any document
 read by range reads of the trailer and its own blocks.
 
 The texts are encoded by the tokenizer's library.  For byte-level tokenizers that split as
-the usual pattern does, a text falls apart at every single space between two other signs,
-so that distinct words are encoded once, many together, and kept for later texts; other
-texts and tokenizers are given to the library whole.
+the usual pattern does, a text falls apart at every single space or line's end between two
+other signs, so that distinct words are encoded once, many together, and kept for later
+texts, whose ids are put together by place; other texts and tokenizers are given to the
+library whole.
 
 Defined results: a null text is the empty text, which has only the end id; null ids come
 first; documents of one id are ordered by a hash of their texts, so that an id with very
@@ -41,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,8 @@ TOGETHER = 64
 FILE_BYTES = 64 << 20
 #: Ids that one task reads back, about.
 READ_IDS = 4_000_000
+#: Texts that are encoded together.
+TEXTS = 2000
 #: Distinct words, and letters of them, that a task keeps.
 WORDS, LETTERS = 800_000, 16 << 20
 #: Signs that may end a word.
@@ -216,51 +220,89 @@ class Encoder:
         added = spec.get("added_tokens") or []
         self.by_words = plain and all(t["content"].split() == [t["content"]] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
         names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.after_space = np.zeros(max(names.values()) + 1, bool)
-        self.after_space[[i for t, i in names.items() if t[0] == "Ġ"]] = True
-        self.known: dict[str, bytes] = {}
+        # by the white space that a word follows: which ids begin with it, and the ids of words, it included
+        self.begins = {lead: np.zeros(max(names.values()) + 1, bool) for lead in " \n"}
+        for lead, sign in ((" ", "Ġ"), ("\n", "Ċ")):
+            self.begins[lead][[i for t, i in names.items() if t[0] == sign]] = True
+        self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
         self.signs: dict[str, bytes] = {}
         self.letters = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of each word after a space; the words hold no space, so a token with one begins a word."""
+    def _learn(self, words: list[str], lead: str) -> None:
+        """Ids of each word after a space or a line's end; the words hold no white space, or no space, so a token that begins with it begins a word."""
+        known = self.known[lead]
         for at in range(0, len(words), 5000):
             part = words[at : at + 5000]
-            (raw,) = self._ids([" " + " ".join(part)])
-            begin = np.flatnonzero(self.after_space[np.frombuffer(raw, "<u4")])
+            (raw,) = self._ids([lead + lead.join(part)])
+            begin = np.flatnonzero(self.begins[lead][np.frombuffer(raw, "<u4")])
             if len(begin) == len(part):
                 cut = [*(begin * 4).tolist(), len(raw)]
-                self.known.update(zip(part, [raw[i:j] for i, j in zip(cut, cut[1:])]))
+                known.update(zip(part, [raw[i:j] for i, j in zip(cut, cut[1:])]))
             else:
-                self.known.update(zip(part, self._ids([" " + w for w in part])))
+                known.update(zip(part, self._ids([lead + w for w in part])))
         self.letters += sum(map(len, words))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text."""
-        if not self.by_words:
-            return self._ids(texts)
-        if len(self.known) > WORDS or self.letters > LETTERS:
-            self.known.clear()
-            self.signs.clear()
-            self.letters = 0
-        split = [t.split(" ") for t in texts]
-        new = {w for w in set().union(*split) if w not in self.known}
-        odd = {w for w in new if w != w.strip() or not w}
+    def _know(self, new: set[str], lead: str) -> None:
+        """Keeps the ids of words that are not known yet and hold no white space at either end."""
+        known = self.known[lead]
         # letters and the signs that end a word are pieces of their own
-        ended = {w: (b, w[len(b) :]) for w in new - odd if (b := w.rstrip(SIGNS)) != w and b.isalpha()}
-        self._learn(list({*(new - odd - ended.keys()), *(b for b, _ in ended.values() if b not in self.known)}))
+        ended = {w: (b, w[len(b) :]) for w in new if (b := w.rstrip(SIGNS)) != w and b.isalpha()}
+        self._learn(list({*(new - ended.keys()), *(b for b, _ in ended.values() if b not in known)}), lead)
         signs = list({s for _, s in ended.values()} - self.signs.keys())
         self.signs.update(zip(signs, self._ids(signs)))
         for w, (b, s) in ended.items():
-            self.known[w] = self.known[b] + self.signs[s]
+            known[w] = known[b] + self.signs[s]
+
+    def _know_after_spaces(self, new: set[str]) -> None:
+        """The same for words after a space that may hold line's ends; a single one between two other signs is a seam as a space is."""
+        known, lines = self.known[" "], self.known["\n"]
+        cut = {w: w.split("\n") for w in new if "\n" in w}
+        cut = {w: c for w, c in cut.items() if all(p.split() == [p] for p in c)}
+        self._know({*(new - cut.keys()), *(c[0] for c in cut.values() if c[0] not in known)}, " ")
+        self._know({p for c in cut.values() for p in c[1:] if p not in lines}, "\n")
+        for w, c in cut.items():
+            known[w] = known[c[0]] + b"".join([lines[p] for p in c[1:]])
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Packed little-endian unsigned 32-bit ids of each text."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.by_words:
+            return self._ids(column.to_pylist())
+        if sum(map(len, self.known.values())) > WORDS or self.letters > LETTERS:
+            for known in self.known.values():
+                known.clear()
+            self.signs.clear()
+            self.letters = 0
+        split = pc.split_pattern(column.cast(pa.large_string()), " ")
+        edge, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        known = self.known[" "]
+        raw = list(map(known.get, words))
+        fresh = [i for i, r in enumerate(raw) if r is None]
         # a space beside white space is no seam: such texts go whole
-        whole = [not s[0] or s[0] != s[0].strip() or bool(odd) and not odd.isdisjoint(s[1:]) for s in split]
-        first = self._ids([t if w else s[0] for t, s, w in zip(texts, split, whole)])
-        get = self.known.__getitem__
-        return [f if w else f + b"".join(map(get, s[1:])) for f, s, w in zip(first, split, whole)]
+        odd = np.zeros(len(words), bool)
+        odd[[i for i in fresh if not (w := words[i]) or w != w.strip()]] = True
+        odds = np.concatenate([[0], np.cumsum(odd[at])])
+        whole = odds[edge[1:]] > odds[edge[:-1]]
+        spaced = np.repeat(~whole, np.diff(edge))  # words that follow a space
+        spaced[edge[:-1]] = False
+        first = self._ids([column[i].as_py() if w else words[at[e]] for i, (w, e) in enumerate(zip(whole.tolist(), edge.tolist()))])
+        at, used = at[spaced], np.zeros(len(words), bool)
+        used[at] = True
+        new = [i for i in fresh if used[i]]
+        self._know_after_spaces({words[i] for i in new})
+        for i in new:
+            raw[i] = known[words[i]]
+        raw = [r or b"" for r in raw]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        begin, n = (np.cumsum(size) - size)[at], size[at]
+        end = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(begin - end[:-1], n) + np.arange(end[-1])].tobytes()
+        cut = (4 * end[np.concatenate([[0], np.cumsum(spaced)])[edge]]).tolist()
+        return [f + ids[i:j] for f, i, j in zip(first, cut, cut[1:])]
 
 
 # ---- tables
@@ -281,14 +323,14 @@ def write(df: DataFrame, folder: str, tokenizer_json: str, end_id: int | None, i
 
         part, writer, name = TaskContext.get().partitionId(), None, ""
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
+            for at in range(0, b.num_rows, TEXTS):
                 if writer is None:
                     fs, root = _files(folder)
                     fs.create_dir(root, recursive=True)
                     name = f"ids-{part:06d}-{uuid.uuid4().hex}.flt"
                     writer = Writer(fs.open_output_stream(f"{root}/{name}"), percentile, block)
-                ids, texts = (b[k].slice(at, 1000).to_pylist() for k in (0, 1))
-                for i, raw in zip(ids, common.kept(key, lambda: Encoder(shared.value)).encode(texts)):
+                ids, texts = (b[k].slice(at, TEXTS) for k in (0, 1))
+                for i, raw in zip(ids.to_pylist(), common.kept(key, lambda: Encoder(shared.value)).encode(texts)):
                     writer.add(i, np.frombuffer(raw + end, "<u4"))
         if writer is not None:
             n = writer.close()

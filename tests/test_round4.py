@@ -160,3 +160,16 @@ def test_one_face_is_followed_over_batches_without_gathered_frames(spark, batch)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 100
+
+
+def test_lines_share_their_words():
+    """A line's end between two signs is a seam: words on its sides are encoded once; all texts come out as the library gives them."""
+    import public_tokenizers
+
+    from frameline.llm.tokenfile import Encoder
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        e = Encoder(f.read())
+    texts = ["x one.\nTwo three", "x three\none. Two", "", " ", "a", "a  b", "a\n\nb c", "a b\n", "x don't\n'tis\n12é", "x a\tb\nc", "x <|endoftext|>\nz"]
+    assert e.encode(texts) == e._ids(texts) and e.encode(texts[::-1]) == e._ids(texts[::-1]) and e.encode([]) == []
+    assert {"Two", "one."} <= e.known["\n"].keys() and "Two" in e.known[" "]
