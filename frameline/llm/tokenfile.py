@@ -18,8 +18,9 @@ read by range reads of the trailer and its own blocks.
 The texts are encoded by the tokenizer's library.  For byte-level tokenizers that split as
 the usual pattern does, a text falls apart at every single space or line's end between two
 other signs, so that distinct words are encoded once, many together, and kept for later
-texts, whose ids are put together by place; other texts and tokenizers are given to the
-library whole.
+texts, whose ids are put together by place.  Letters, with the white space before them, are
+one piece to the library, which merges them by its model alone; words of other signs go
+through its splitter too, and other texts and tokenizers are given to it whole.
 
 Defined results: a null text is the empty text, which has only the end id; null ids come
 first; documents of one id are ordered by a hash of their texts, so that an id with very
@@ -39,6 +40,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,8 @@ MAGIC = b"FLT1"
 HEAD, TRAILER = struct.Struct("<IHBH"), struct.Struct("<QQQQQ4s")
 #: Ids a block.
 BLOCK = 1024
+#: Widths of whole bytes, whose low bits are plain numbers in a row.
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 #: Share of a block's ids, in percent, whose bits all fit the width.
 PERCENTILE = 98.0
 #: Blocks that are packed together.
@@ -65,8 +69,22 @@ READ_IDS = 4_000_000
 TEXTS = 2000
 #: Distinct words, and letters of them, that a task keeps.
 WORDS, LETTERS = 800_000, 16 << 20
+#: Distinct words that are encoded together.
+TOGETHER_WORDS = 500
 #: Signs that may end a word.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The sign that byte-level vocabularies write for each byte: its own if it can be seen, the next from U+0100 otherwise.
+SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SHOWN = np.zeros(256, "<u2")
+SHOWN[SEEN] = SEEN
+SHOWN[SHOWN == 0] = 256 + np.arange(256 - len(SEEN))
+#: ASCII signs that are white space to some rule.
+WHITE = np.zeros(256, bool)
+WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+
+
+def all_letters() -> str:
+    return "".join(c for c in map(chr, range(0x110000)) if c.isalpha())
 
 
 # ---- blocks
@@ -82,8 +100,11 @@ def pack(rows: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
     out: list[bytes] = [b""] * len(rows)
     for w in np.unique(width).tolist():
         mine = np.flatnonzero(width == w)
-        bits = np.unpackbits(np.ascontiguousarray(off[mine], "<u4").view(np.uint8).reshape(len(mine), n, 4), axis=2, bitorder="little")[:, :, :w]
-        packed = np.packbits(bits.reshape(len(mine), n * w), axis=1, bitorder="little")
+        if w in WHOLE:
+            packed = off[mine].astype(WHOLE[w]).view(np.uint8)
+        else:
+            bits = np.unpackbits(np.ascontiguousarray(off[mine], "<u4").view(np.uint8).reshape(len(mine), n, 4), axis=2, bitorder="little")[:, :, :w]
+            packed = np.packbits(bits.reshape(len(mine), n * w), axis=1, bitorder="little")
         high = off[mine] >> w if w < 32 else np.zeros_like(off[mine])
         for i, body, over in zip(mine.tolist(), packed, high):
             at = np.flatnonzero(over)
@@ -101,9 +122,12 @@ def unpack(blocks: list[memoryview]) -> np.ndarray:
     for (n, w), mine in groups.items():
         size = -(-n * w // 8)
         body = [np.frombuffer(blocks[i], np.uint8, size, HEAD.size + 6 * heads[i][3]) for i in mine]
-        bits = np.zeros((len(mine), n, 32), np.uint8)
-        bits[:, :, :w] = np.unpackbits(np.stack(body), axis=1, count=n * w, bitorder="little").reshape(len(mine), n, w)
-        ids = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        if w in WHOLE:
+            ids = np.stack(body).view(WHOLE[w]).astype("<u4")
+        else:
+            bits = np.zeros((len(mine), n, 32), np.uint8)
+            bits[:, :, :w] = np.unpackbits(np.stack(body), axis=1, count=n * w, bitorder="little").reshape(len(mine), n, w)
+            ids = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
         for i, row in zip(mine, ids):
             low, _, _, x = heads[i]
             if x:
@@ -207,7 +231,7 @@ class Encoder:
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
@@ -219,52 +243,91 @@ class Encoder:
         plain = not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
         added = spec.get("added_tokens") or []
         self.by_words = plain and all(t["content"].split() == [t["content"]] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+        # letters are one piece, whatever stands beside them, if the library takes for letters what Python does
+        self.by_letters = self.by_words and not any(t["content"][0].isalpha() for t in added) and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(all_letters())) == 1
+        # the same model, for pieces that are cut already
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         names = self.tokenizer.get_vocab(with_added_tokens=True)
-        # by the white space that a word follows: which ids begin with it, and the ids of words, it included
+        # by the white space that a word follows: which ids begin with it, and the places of words, it included
         self.begins = {lead: np.zeros(max(names.values()) + 1, bool) for lead in " \n"}
         for lead, sign in ((" ", "Ġ"), ("\n", "Ċ")):
             self.begins[lead][[i for t, i in names.items() if t[0] == sign]] = True
-        self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
-        self.signs: dict[str, bytes] = {}
-        self.letters = 0
+        self.known: dict[str, dict[str, int]] = {" ": {}, "\n": {}}
+        self.signs: dict[str, int] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        for places in (*self.known.values(), self.signs):
+            places.clear()
+        # place p of the kept ids is ids[ends[p] : ends[p + 1]]
+        self.ids, self.ends, self.letters = np.empty(0, np.uint32), np.zeros(1, np.int64), 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str], lead: str) -> None:
-        """Ids of each word after a space or a line's end; the words hold no white space, or no space, so a token that begins with it begins a word."""
-        known = self.known[lead]
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            (raw,) = self._ids([lead + lead.join(part)])
-            begin = np.flatnonzero(self.begins[lead][np.frombuffer(raw, "<u4")])
-            if len(begin) == len(part):
-                cut = [*(begin * 4).tolist(), len(raw)]
-                known.update(zip(part, [raw[i:j] for i, j in zip(cut, cut[1:])]))
-            else:
-                known.update(zip(part, self._ids([lead + w for w in part])))
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = self._ids(texts)
+        return np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
+    def _keep(self, places: dict[str, int], words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.ends) - 1
+        places.update(zip(words, range(n, n + len(words))))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        self.ids = np.concatenate([self.ids, ids])
         self.letters += sum(map(len, words))
 
-    def _know(self, new: set[str], lead: str) -> None:
-        """Keeps the ids of words that are not known yet and hold no white space at either end."""
-        known = self.known[lead]
-        # letters and the signs that end a word are pieces of their own
-        ended = {w: (b, w[len(b) :]) for w in new if (b := w.rstrip(SIGNS)) != w and b.isalpha()}
-        self._learn(list({*(new - ended.keys()), *(b for b, _ in ended.values() if b not in known)}), lead)
-        signs = list({s for _, s in ended.values()} - self.signs.keys())
-        self.signs.update(zip(signs, self._ids(signs)))
-        for w, (b, s) in ended.items():
-            known[w] = known[b] + self.signs[s]
-
-    def _know_after_spaces(self, new: set[str]) -> None:
-        """The same for words after a space that may hold line's ends; a single one between two other signs is a seam as a space is."""
-        known, lines = self.known[" "], self.known["\n"]
-        cut = {w: w.split("\n") for w in new if "\n" in w}
-        cut = {w: c for w, c in cut.items() if all(p.split() == [p] for p in c)}
-        self._know({*(new - cut.keys()), *(c[0] for c in cut.values() if c[0] not in known)}, " ")
-        self._know({p for c in cut.values() for p in c[1:] if p not in lines}, "\n")
-        for w, c in cut.items():
-            known[w] = known[c[0]] + b"".join([lines[p] for p in c[1:]])
+    def _kept(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at the places, one after another, and how many each has."""
+        begin = self.ends[places]
+        size = self.ends[places + 1] - begin
+        end = np.cumsum(size)
+        return self.ids[np.repeat(begin - end + size, size) + np.arange(end[-1] if len(end) else 0)], size
+
+    def _learn(self, places: dict[str, int], words: list[str], lead: str, letters: bool) -> None:
+        """Keeps the ids of each word after a space or a line's end; the words do not hold it, so a token that begins with it begins a word."""
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for at in range(0, len(words), TOGETHER_WORDS):
+            part = words[at : at + TOGETHER_WORDS]
+            text = lead + lead.join(part)
+            if letters:  # a space belongs to the letters after it, a line's end does not
+                text = SHOWN[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+                text = text.replace("Ġ", " Ġ") if lead == " " else text.replace("Ċ", " Ċ ")
+            (done,) = (self.pieces if letters else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)
+            raw = np.array(done.ids, np.uint32)
+            begin = np.flatnonzero(self.begins[lead][raw])
+            if len(begin) == len(part):
+                size = np.diff(begin, append=len(raw))
+            else:
+                raw, size = self._each([lead + w for w in part])
+            ids.append(raw)
+            sizes.append(size)
+        self._keep(places, words, np.concatenate(ids), np.concatenate(sizes))
+
+    def _know(self, new: list[str], lead: str) -> None:
+        """Keeps the ids of distinct words that are not known yet and hold no white space at either end."""
+        known, plain, others, loose, ended, bases, ends = self.known[lead], [], [], [], [], [], []
+        for w in new:
+            # letters and the signs that end a word are pieces of their own
+            b = w.rstrip(SIGNS)
+            if not self.by_letters or not b.isalpha():
+                (loose if lead in w else others).append(w)
+            elif len(b) == len(w):
+                plain.append(w)
+            else:
+                ended.append(w)
+                bases.append(b)
+                ends.append(w[len(b) :])
+        self._learn(known, others, lead, False)
+        self._learn(known, plain, lead, True)
+        self._learn(known, list({b for b in bases if b not in known}), lead, True)
+        self._keep(known, loose, *self._each([lead + w for w in loose]))
+        signs = list({*ends} - self.signs.keys())
+        self._keep(self.signs, signs, *self._each(signs))
+        parts = np.empty((len(ended), 2), np.int64)
+        parts[:, 0], parts[:, 1] = _places(known, bases), _places(self.signs, ends)
+        ids, size = self._kept(parts.ravel())
+        self._keep(known, ended, ids, size.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
@@ -272,39 +335,62 @@ class Encoder:
         if not self.by_words:
             return self._ids(column.to_pylist())
         if sum(map(len, self.known.values())) > WORDS or self.letters > LETTERS:
-            for known in self.known.values():
-                known.clear()
-            self.signs.clear()
-            self.letters = 0
-        split = pc.split_pattern(column.cast(pa.large_string()), " ")
-        edge, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
-        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        known = self.known[" "]
-        raw = list(map(known.get, words))
-        fresh = [i for i, r in enumerate(raw) if r is None]
-        # a space beside white space is no seam: such texts go whole
-        odd = np.zeros(len(words), bool)
-        odd[[i for i in fresh if not (w := words[i]) or w != w.strip()]] = True
-        odds = np.concatenate([[0], np.cumsum(odd[at])])
-        whole = odds[edge[1:]] > odds[edge[:-1]]
-        spaced = np.repeat(~whole, np.diff(edge))  # words that follow a space
-        spaced[edge[:-1]] = False
-        first = self._ids([column[i].as_py() if w else words[at[e]] for i, (w, e) in enumerate(zip(whole.tolist(), edge.tolist()))])
-        at, used = at[spaced], np.zeros(len(words), bool)
+            self._clear()
+        words, edge = _words(column)
+        coded = words.dictionary_encode()
+        at, lines = coded.indices.to_numpy(), pc.starts_with(coded.dictionary, "\n").to_numpy(zero_copy_only=False)
+        bodies = pc.utf8_slice_codeunits(coded.dictionary, 1).to_numpy(zero_copy_only=False)
+        place = np.empty(len(bodies), np.int64)
+        for lead, mine in ((" ", ~lines), ("\n", lines)):
+            place[mine] = np.fromiter(map(self.known[lead].get, bodies[mine].tolist(), repeat(-1)), np.int64, mine.sum())
+        # white space of other kinds beside a seam, or at a text's end: such texts go whole
+        fresh = np.flatnonzero(place < 0)
+        odd = np.zeros(len(bodies) + 1, bool)
+        odd[fresh[[w != w.strip() for w in bodies[fresh].tolist()]]] = True
+        whole = np.zeros(len(column), bool)
+        if odd.any():
+            odds = np.concatenate([[0], np.cumsum(odd[at])])
+            whole = odds[edge[1:]] > odds[edge[:-1]]
+        led = np.repeat(~whole, np.diff(edge))  # words that follow a seam
+        begin = edge[:-1][np.diff(edge) > 0]
+        led[begin] = False
+        first = self._ids([column[i].as_py() if w else words[e].as_py() if e < f else "" for i, (w, e, f) in enumerate(zip(whole.tolist(), edge.tolist(), edge[1:].tolist()))])
+        at, used = at[led], np.zeros(len(bodies), bool)
         used[at] = True
-        new = [i for i in fresh if used[i]]
-        self._know_after_spaces({words[i] for i in new})
-        for i in new:
-            raw[i] = known[words[i]]
-        raw = [r or b"" for r in raw]
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        begin, n = (np.cumsum(size) - size)[at], size[at]
-        end = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(begin - end[:-1], n) + np.arange(end[-1])].tobytes()
-        cut = (4 * end[np.concatenate([[0], np.cumsum(spaced)])[edge]]).tolist()
+        for lead, mine in ((" ", ~lines), ("\n", lines)):
+            new = np.flatnonzero(used & mine & (place < 0))
+            fresh = bodies[new].tolist()
+            self._know(fresh, lead)
+            place[new] = _places(self.known[lead], fresh)
+        ids, size = self._kept(place[at])
+        end = np.concatenate([[0], np.cumsum(size)])
+        ids = ids.astype("<u4").tobytes()
+        cut = (4 * end[np.concatenate([[0], np.cumsum(led)])[edge]]).tolist()
         return [f + ids[i:j] for f, i, j in zip(first, cut, cut[1:])]
 
 
+def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts cut before each single space and line's end between two other signs, and which pieces are whose: text i has those from edge[i] to before edge[i + 1]."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    edge = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    signs = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if data else np.empty(0, np.uint8)
+    edge = edge - edge[0]
+    black, cut = ~WHITE[signs], np.zeros(len(signs) + 1, bool)
+    cut[1:-2] = ((signs == 0x20) | (signs == 0x0A))[1:-1] & black[:-2] & black[2:]
+    # a text's first and last signs are between no two of its own
+    cut[edge[1:][edge[1:] > 0] - 1] = False
+    cut[edge] = True
+    cut[len(signs)] = False
+    at = np.flatnonzero(cut)
+    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(signs))), pa.py_buffer(signs))
+    return words, np.searchsorted(at, edge)
+
+
+def _places(places: dict[str, int], words: list[str]) -> np.ndarray:
+    return np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+
+
 # ---- tables
 
 

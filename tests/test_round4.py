@@ -173,3 +173,61 @@ def test_lines_share_their_words():
     texts = ["x one.\nTwo three", "x three\none. Two", "", " ", "a", "a  b", "a\n\nb c", "a b\n", "x don't\n'tis\n12é", "x a\tb\nc", "x <|endoftext|>\nz"]
     assert e.encode(texts) == e._ids(texts) and e.encode(texts[::-1]) == e._ids(texts[::-1]) and e.encode([]) == []
     assert {"Two", "one."} <= e.known["\n"].keys() and "Two" in e.known[" "]
+
+
+def test_letters_go_past_the_splitter():
+    """Words of letters and end signs go to the library's model as pieces, not through its splitter; all texts come out as the library gives them."""
+    import random
+
+    import public_tokenizers
+
+    from frameline.llm.tokenfile import Encoder
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.signs = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.signs += sum(map(len, texts))
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        e = Encoder(f.read())
+    whole, e.tokenizer = e._ids, Counted(e.tokenizer)
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choices("abcdéñßÀЖ東ªa", k=draw.randint(1, 12))) + draw.choice(["", "", ".", "!!", ",\nNew"]) for _ in range(300)) for _ in range(20)]
+    got = e.encode(texts)
+    assert e.tokenizer.signs < sum(map(len, texts)) / 20
+    assert got == whole(texts) and e.encode(texts) == got
+    for seam in ("\u0085", "\u00a0", "\u2028", "\u3000", "\x1f", "\x0b", "\r", "\n\n", "  ", "\t"):
+        odd = [f"one{x}two three{y}" for x in (seam, seam + " ", " " + seam, seam + "\n", "\n" + seam, f" {seam} ") for y in ("", seam, " " + seam)]
+        assert e.encode(odd) == whole(odd) and e.encode([x[3:] for x in odd]) == whole([x[3:] for x in odd])
+
+
+def test_added_tokens_may_span_letters_and_signs():
+    import json
+
+    import public_tokenizers
+
+    from frameline.llm.tokenfile import Encoder
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 50257, "content": "oo.", "special": False})
+    e, texts = Encoder(json.dumps(spec)), ["a foo. too. oo.", "foo oo\nboo.!"]
+    assert e.by_words and e.encode(texts) == e._ids(texts)
+
+
+def test_widths_of_whole_bytes_are_written_as_bits():
+    """The format is the same whichever way a block is packed: the low bits of one id after another."""
+    import numpy as np
+
+    from frameline.llm import tokenfile
+
+    for width in (8, 16, 32):
+        row = np.random.default_rng(width).integers(0, 1 << width, (1, 100)).astype(np.uint32)
+        row[0, :2] = 0, (1 << width) - 1
+        bits = "".join(f"{x:0{width}b}"[::-1] for x in row[0].tolist())
+        (block,) = tokenfile.pack(row, 100.0)
+        assert block[tokenfile.HEAD.size :] == bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+        assert (tokenfile.unpack([memoryview(block)]) == row[0]).all()
